@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import pii, urls
+from . import bpe, packing, pii, urls
 
 
 def queries() -> dict:
-    found = [urls.op8_url_filters, pii.op3_pii]
+    found = [pii.op3_pii, bpe.op5_bpe, urls.op8_url_filters, packing.op9_packing]
     return {f.__name__: f for f in found}
 
 
