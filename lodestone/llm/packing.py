@@ -22,7 +22,7 @@ from .common import materialize, read
 MAX_LEN = 1024
 END_ID = 2
 #: Pieces of one length that share a ranking group.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 
 
 @lru_cache(4)

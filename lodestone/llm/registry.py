@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, pii, urls
+from . import bpe, langid, minhash, packing, pii, toxicity, urls
 
 
 def queries() -> dict:
-    found = [pii.op3_pii, bpe.op5_bpe, urls.op8_url_filters, packing.op9_packing]
+    found = [toxicity.op1_toxicity, langid.op2_language_id, pii.op3_pii, minhash.op4_minhash, bpe.op5_bpe, urls.op8_url_filters, packing.op9_packing]
     return {f.__name__: f for f in found}
 
 

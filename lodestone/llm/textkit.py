@@ -140,14 +140,6 @@ def runs(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], ends[keep]
 
 
-def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the words (runs of letters and numbers) of the texts, and each text's bounds among them."""
-    points, bounds = code_points(texts)
-    start, end = runs(classes()[points] <= NUMBER, bounds)
-    ids = ranges(prefixes(point_values(points)), start, end)
-    return ids, np.searchsorted(start, bounds)
-
-
 def segment(reduce, values: np.ndarray, bounds: np.ndarray, empty) -> np.ndarray:
     """reduce.reduceat over [bounds[i], bounds[i+1]), with a value for empty segments."""
     out = np.full((len(bounds) - 1, *values.shape[1:]), empty, values.dtype)

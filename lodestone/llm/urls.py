@@ -105,19 +105,21 @@ def judge(df: DataFrame, rules=RULES, labels: DataFrame | None = None, url: str
     default, on the urls that a rule decides.  With no labels of both kinds every other url is allowed.  Null, empty
     and odd urls have an empty host and path and are judged by their features like any other.
     """
+    made = ("host", "path", "rule", "verdict", "block_probability")
     rule, verdict = rule_columns(rules)
-    rows = url_parts(df, url).withColumns({"rule": rule, "__said": verdict})
-    rows = lexical_features(rows.withColumn("label", F.when(F.col("__said") == "block", 1.0).when(F.col("__said") == "allow", 0.0)), url)
-    train_rows = rows if labels is None else lexical_features(url_parts(labels, url), url)
+    rows = df.drop(*made).select(F.struct("*").alias("__row"), F.col(url).alias("__url"))
+    rows = url_parts(rows, "__url").withColumns({"rule": rule, "__said": verdict})
+    rows = lexical_features(rows.withColumn("label", F.when(F.col("__said") == "block", 1.0).when(F.col("__said") == "allow", 0.0)), "__url")
+    train_rows = rows if labels is None else lexical_features(url_parts(labels.select(F.col(url).alias("__url"), "label"), "__url"), "__url")
     suffixes = suffix_statistics(train_rows)
-    model = train(_with_suffix(train_rows, suffixes), url=url)
+    model = train(_with_suffix(train_rows, suffixes), url="__url")
     rows = _with_suffix(rows, suffixes)
     if model is None:
         rows = rows.withColumn("block_probability", F.lit(0.0))
     else:
         rows = model.transform(rows).withColumn("block_probability", vector_to_array("probability")[1])
     rows = rows.withColumn("verdict", F.coalesce("__said", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")))
-    return rows.select(*df.columns, "host", "path", "rule", "verdict", "block_probability")
+    return rows.select("__row.*", *made)
 
 
 def _with_suffix(df: DataFrame, suffixes: DataFrame) -> DataFrame:

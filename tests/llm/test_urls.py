@@ -25,9 +25,9 @@ def check(rows):
 
 def test_rules_on_odd_urls(spark):
     odd = [None, "", "x", "http://", "http://A.ORG/x", "http://org/", "http://notorg/", "http://x.com/de/1?q=/fr/", "http://x.com/de", "http://É.example.org/en/17#a?b", "ftp://a://b/c", "http://h?x/y", "http://h#x", "http://a.com\n.b/de/\nx?", "http://" + "a" * 5000 + ".com/fr/"]
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(odd)], "page_id long, url string, note string")
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(odd)], "page_id long, url string, label string")
     rows = urls.judge(df).collect()
-    assert len(rows) == len(odd) and all(r.note == "h" for r in rows)
+    assert len(rows) == len(odd) and all(r.label == "h" for r in rows)
     check(rows)
     assert urls.judge(df.limit(0)).count() == 0
 
