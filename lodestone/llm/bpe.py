@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .textkit import LETTER, OTHER, SPACE, chunks, classes, code_points, point_values, prefixes, ranges
+from .textkit import LETTER, SPACE, chunks, classes, code_points, point_values, prefixes, ranges, spread
 
 #: Endings that follow an apostrophe as a piece of their own (fixed values, from the pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -103,13 +103,6 @@ class Merges:
         return self.bytes[spread(self.offsets[ids], count)], count
 
 
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The indices starts[i], starts[i] + 1, ... of all segments one after another."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
-
-
 @lru_cache(4)
 def merges(path: str) -> Merges:
     return Merges(path)

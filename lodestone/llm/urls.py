@@ -19,6 +19,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 FEATURES = ("length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "entropy", "host_entropy", "n_params", "n_hyphens", "longest_label", "has_fragment", "suffix_share", "suffix_blocked")
 #: Labelled rows the trees are fitted on at most, taken by a hash of the url.
 MAX_TRAIN_ROWS = 50_000
+#: Suffixes that have statistics of their own, so that their table can be broadcast; rarer ones read as unseen.
+MAX_SUFFIXES = 2_000
 
 
 def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -73,14 +75,14 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_statistics(df: DataFrame) -> DataFrame:
-    """For each host suffix its share of all urls and its smoothed share of blocked ones among those labelled."""
+def suffix_statistics(df: DataFrame, most: int = MAX_SUFFIXES) -> DataFrame:
+    """For the most frequent host suffixes, their share of all urls and their smoothed share of blocked labelled ones."""
+    total = df.agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked")).first()
+    prior = ((total.blocked or 0.0) + 1) / (total.labelled + 2)
     each = df.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
-    total = df.agg(F.count("*").alias("all_n"), F.count("label").alias("all_labelled"), F.sum("label").alias("all_blocked"))
-    prior = (F.coalesce(F.col("all_blocked"), F.lit(0.0)) + 1) / (F.col("all_labelled") + 2)
-    return each.crossJoin(F.broadcast(total)).select(
+    return each.orderBy(F.desc("n"), "suffix").limit(most).select(
         "suffix",
-        (F.col("n") / F.col("all_n")).alias("suffix_share"),
+        (F.col("n") / max(1, total.n)).alias("suffix_share"),
         ((F.coalesce(F.col("blocked"), F.lit(0.0)) + 10 * prior) / (F.col("labelled") + 10)).alias("suffix_blocked"),
     )
 
@@ -123,7 +125,7 @@ def judge(df: DataFrame, rules=RULES, labels: DataFrame | None = None, url: str
 
 
 def _with_suffix(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-    return df.join(suffixes, "suffix", "left").fillna(0.0, ["suffix_share", "suffix_blocked"])
+    return df.join(F.broadcast(suffixes), "suffix", "left").fillna(0.0, ["suffix_share", "suffix_blocked"])
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
