@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, packing, pii, suffixes, toxicity, urls
+from . import bpe, langid, minhash, packing, partitions, pii, pq, suffixes, toxicity, urls
 
 
 def queries() -> dict:
-    found = [toxicity.op1_toxicity, langid.op2_language_id, pii.op3_pii, minhash.op4_minhash, bpe.op5_bpe, suffixes.op7_suffixes, urls.op8_url_filters, packing.op9_packing]
+    found = [toxicity.op1_toxicity, langid.op2_language_id, pii.op3_pii, minhash.op4_minhash, bpe.op5_bpe, partitions.op6_partitions, suffixes.op7_suffixes, urls.op8_url_filters, packing.op9_packing, pq.op10_pq]
     return {f.__name__: f for f in found}
 
 
