@@ -237,10 +237,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return found.union(windows).where(f"kind = {REPEAT}").select("doc_id", "first", "last")
 
 
-def cut(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): texts without the bytes that repeats cover; kept is binary."""
+def cut(docs: DataFrame, repeats: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns carry with n_bytes, n_removed, n_spans, kept and left: texts without the bytes that repeats cover.
+
+    kept is binary; left is the same as text, without what a cut may leave of a character.
+    """
     spans = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    joined = docs.join(spans, "doc_id", "left").select(F.struct(*carry).alias("carried"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,12 +268,15 @@ def cut(docs: DataFrame, repeats: DataFrame) -> DataFrame:
                 runs = np.concatenate([[0], np.cumsum(begins)])[offsets]
                 size = np.diff(offsets)
                 raw = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(left.tobytes())])
+                text = pa.array([x.as_py().decode("utf-8", "ignore") for x in raw])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[low:high], pa.array(size), pa.array(size - np.diff(bounds)), pa.array(np.diff(runs)), raw],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                    [batch.column("carried")[low:high], pa.array(size), pa.array(size - np.diff(bounds)), pa.array(np.diff(runs)), raw, text],
+                    ["carried", "n_bytes", "n_removed", "n_spans", "kept", "left"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    made = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary, left string")
+    found = joined.mapInArrow(run, T.StructType([joined.schema["carried"], *made.fields]))
+    return found.select("carried.*", *made.fieldNames())
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -279,7 +285,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null texts read as empty.  Texts under LENGTH bytes lose nothing.  Rows with a null doc_id lose nothing and don't
     count as earlier.  Rows that share a doc_id count as copies of one document: equal ones lose the same bytes.
     """
-    return cut(docs, repeated_windows(docs))
+    return cut(docs.select("doc_id", "text"), repeated_windows(docs))
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
