@@ -122,6 +122,7 @@ class Filters:
         parts, bounds = [], []
         for op, v in value.items():
             if op in COMPARE:
+                _scalar(v)
                 bounds.append((op, v))
             elif op == "in":
                 parts.append(self._compiled(target, v if isinstance(v, Between) else list(v)))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQueryError
 from ..functions.analysis import query_tokens, tokens
 from ..operators.scoring import B, K1
+from ..operators.spans import let
 from ..sources.model import SearchModel
 
 #: Expanded terms that are broadcast at most; more are joined by a shuffle.
@@ -37,9 +38,13 @@ def rows_of(model: SearchModel, fields: list[str]) -> DataFrame:
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
-    """One row for each document and distinct term: frequencies are counted inside the token array, without a shuffle."""
-    counted = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-    return rows.select("pk", "field", "dl", F.explode(counted).alias("t")).select("pk", "field", "t.term", "t.tf", "dl")
+    """One row for each document and distinct term: the sorted tokens' runs are counted within the row, without a shuffle."""
+
+    def counted(words: Column) -> Column:
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.coalesce(w != F.get(words, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda x, i: F.struct(F.get(words, x).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(words)) - x).alias("tf"))))
+
+    return rows.select("pk", "field", "dl", F.explode(let(F.array_sort("tokens"), counted)).alias("t")).select("pk", "field", "t.term", "t.tf", "dl")
 
 
 def build_index(model: SearchModel, path: str, fields: list[str] | None = None) -> TextIndex:
