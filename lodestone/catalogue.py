@@ -344,6 +344,10 @@ def collapsed(spark: SparkSession, sf: str) -> DataFrame:
 query("collapse_best_of_group", collapsed, "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY ln(2 + p_size) DESC, p_partkey) = 1")
 
 
+query("top_per_group", lambda s, d: aggregations.best_of_group(parts(s, d).search("widget", fields=["p_name"], boost_by=["p_retailprice"], **EXACT).matched, ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 3).select("p_brand", "p_partkey"), "SELECT p_brand, p_partkey FROM part WHERE list_contains(regexp_extract_all(lower(p_name), '[a-z0-9]+'), 'widget') QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3")
+query("json_text_field", found(lambda s, d: events(s, d).search("87", fields=["props.k"], **EXACT)), "SELECT event_id FROM events WHERE props->>'$.k' = '87'")
+
+
 def custom_rank(spark: SparkSession, sf: str) -> DataFrame:
     hook = lambda df: df.where("p_size > 5").withColumn("_score", F.when(F.col("p_type") == "SMALL", 2.0).otherwise(1.0) * F.ln(F.col("p_retailprice")))
     return parts(spark, sf).search("*", block=hook, limit=25).to_df().select("p_partkey", F.round("_score", 6).alias("score"))

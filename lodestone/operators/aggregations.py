@@ -290,6 +290,6 @@ def buckets(kind: str, facet: DataFrame, options: dict) -> dict:
     return found
 
 
-def best_of_group(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group by an order."""
-    return df.withColumn("__place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("__place = 1").drop("__place")
+def best_of_group(df: DataFrame, group: list[str], order: list[Column], k: int = 1) -> DataFrame:
+    """The first k rows of each group by an order; the limit is pushed below the shuffle, so a large group sends k rows a task."""
+    return df.withColumn("__place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__place") <= k).drop("__place")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidQueryError, UnsupportedError
+from ..errors import InvalidQueryError
 from ..functions import jsonpath
 from ..functions.analysis import tokens
 from ..operators import aggregations, boosts, highlighting, matching, paging, scoring
@@ -392,7 +392,7 @@ class Relation:
 
 def _held(tokens_: Column, test: Callable[[Column], Column]) -> Column:
     """test of the tokens, worked out once: filters move below projections and take the tokens' expression with them."""
-    return S.let(tokens_, lambda t: test(t))
+    return S.let(tokens_, test)
 
 
 def _weighed(tokens_: Column, node: S.Node, words: list[S.Node], stats: scoring.Statistics, boost: float, elide: bool, guarded: bool) -> Column:
@@ -410,6 +410,3 @@ def _hit(node: S.Node) -> Callable[[Column], Column]:
 class _Corpus:
     def __init__(self, documents: int, means: dict[int, float], frequencies: tuple[int, ...]):
         self.documents, self.means, self.frequencies = documents, means, frequencies
-
-
-__all__ = ["Relation", "UnsupportedError", "listeners"]

@@ -33,7 +33,10 @@ class SearchResults:
         if scope := relation.options.get("scope_results"):
             rows = self._scoped(rows, scope)
         self._raw = rows
+        loaded = self._preloaded([r[self.model.pk] for r in rows])
         self.rows = [shown({k: v for k, v in r.items() if k in wanted}) for r in rows]
+        for r, raw in zip(self.rows, rows, strict=True):
+            r.update({name: found.get(raw[self.model.pk], []) for name, found in loaded.items()})
         self.took = (time.perf_counter() - began) * 1000
         self.error = None
 
@@ -45,6 +48,17 @@ class SearchResults:
         self.missing_records = [{"id": i, "model": self.model.name} for i in ids if i not in kept]
         return [r for r in rows if r[pk] in kept]
 
+    def _preloaded(self, ids: list) -> dict[str, dict]:
+        """includes and model_includes, {name: (DataFrame, foreign key)}: the page's child rows by their parent, one lookup each."""
+        wanted = {**(self.relation.options.get("includes") or {}), **(self.relation.options.get("model_includes") or {})}
+        out: dict[str, dict] = {}
+        for name, (children, foreign) in wanted.items():
+            found: dict = {}
+            for r in children.where(F.col(foreign).isin(ids)).collect() if ids else []:
+                found.setdefault(r[foreign], []).append(r.asDict(recursive=True))
+            out[name] = found
+        return out
+
     def __iter__(self) -> Iterator[dict]:
         return iter(self.rows)
 

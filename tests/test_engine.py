@@ -229,6 +229,9 @@ def test_results_and_response(products):
     assert json.dumps(found.response, default=str) and found.response["hits"]["total"]["value"] == 2
     kept = products.search("*", order="id", scope_results=lambda df: df.where("id <> 2")).results()
     assert [r["id"] for r in kept] == [1, 3, 4] and kept.missing_records == [{"id": 2, "model": "products"}]
+    reviews = products.df.sparkSession.createDataFrame([(1, 1, "good"), (2, 1, "bad"), (3, 9, "odd")], "id int, product_id long, body string")
+    rows = products.search("*", order="id", limit=2, includes={"reviews": (reviews, "product_id")}).results().rows
+    assert [sorted(x["body"] for x in r["reviews"]) for r in rows] == [["bad", "good"], []]
     heard = []
     plan.listeners.append(lambda event, ms: heard.append(event))
     products.search("*").count()
