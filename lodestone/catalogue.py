@@ -61,14 +61,14 @@ c AS (SELECT customer.*, priorities, bands, c_nationkey % 4 AS level FROM custom
 _FOLDED = "strip_accents(lower(text))"
 for _letter, _spelled in SPELLED.items():
     _FOLDED = f"replace({_FOLDED}, '{_letter}', '{_spelled}')"
-TOKENS = f"""WITH tok AS (SELECT doc_id, lang, source, n_chars, text, list_filter(regexp_extract_all({_FOLDED}, '{TOKEN_RE.replace("'", "''")}'), lambda x: NOT regexp_matches(x, '^_+$')) AS t FROM documents),
+TOKENS = f"""WITH tok AS (SELECT doc_id, lang, source, n_chars, text, regexp_extract_all({_FOLDED}, '{TOKEN_RE.replace("'", "''")}') AS t FROM documents),
 pos AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM tok), len AS (SELECT doc_id, len(t) AS n FROM tok) """
 
 
 def found(relation: Callable[[SparkSession, str], Relation], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     def make(spark: SparkSession, sf: str) -> DataFrame:
         rel = relation(spark, sf)
-        return rel.matched.select(rel.model.pk, *columns)
+        return rel.rows.select(rel.model.pk, *columns)
 
     return make
 
@@ -359,7 +359,7 @@ query("custom_rank", custom_rank, "SELECT p_partkey, round((CASE WHEN p_type = '
 def highlight_query(name: str, sql: str, **options) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rel = parts(spark, sf).search("widget", fields=["p_name"], highlight=options or True, **EXACT)
-        return rel.highlighted(rel.matched).select("p_partkey", F.col("highlighted_p_name").alias("marked"))
+        return rel.highlighted(rel.rows).select("p_partkey", F.col("highlighted_p_name").alias("marked"))
 
     query(name, run, sql)
 
@@ -372,7 +372,7 @@ highlight_query("highlight_tag", f"SELECT p_partkey, regexp_replace(p_name, '\\b
 def highlight_html(spark: SparkSession, sf: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat(F.lit("<i> & "), "p_name").alias("p_name"))
     rel = SearchModel(df, pk="p_partkey", name="part").search("widget", highlight={"encoder": "html"}, **EXACT)
-    return rel.highlighted(rel.matched).select("p_partkey", F.col("highlighted_p_name").alias("marked"))
+    return rel.highlighted(rel.rows).select("p_partkey", F.col("highlighted_p_name").alias("marked"))
 
 
 query("highlight_html", highlight_html, f"SELECT p_partkey, '&lt;i&gt; &amp; ' || regexp_replace(p_name, '\\bwidget\\b', '<em>widget</em>', 'g') AS marked {WIDGETS}")

@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words with inner apostrophes and points, keycaps, and single emoji.  Java, RE2 and regex read it alike.
-TOKEN_RE = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*|[#*]\x{FE0F}?\x{20E3}|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+TOKEN_RE = r"_*[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}_]*(?:['’.][\p{L}\p{M}\p{N}_]+)*|[#*]\x{FE0F}?\x{20E3}|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 _TOKEN = regex.compile(TOKEN_RE.replace(r"\x{FE0F}", "️").replace(r"\x{20E3}", "⃣").replace(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]", "[\U0001f300-\U0001faff☀-➿]"))
+KEYCAP = "⃣"
 #: Letters that fold to several (fixed values).
 SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l"}
 
@@ -31,11 +32,12 @@ _PLAIN = _plain_letters()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents.  Texts of ASCII alone, told by their length in bytes, skip the rest."""
     plain = F.translate(F.lower(text), "".join(_PLAIN), "".join(_PLAIN.values()))
     for letter, spelled in SPELLED.items():
         plain = F.replace(plain, F.lit(letter), F.lit(spelled))
-    return F.regexp_replace(plain, r"[̀-ͯ]", "")
+    plain = F.regexp_replace(plain, r"[̀-ͯ]", "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(plain)
 
 
 def fold_text(text: str) -> str:
@@ -46,12 +48,12 @@ def fold_text(text: str) -> str:
 
 
 def tokens(text: Column, folded: bool = True) -> Column:
-    """The tokens of a text in order; null texts have none.  Tokens of underscores only don't count."""
+    """The tokens of a text in order; null texts have none.  Underscores alone are no token, a keycap is its sign."""
     found = F.regexp_extract_all(fold(text) if folded else text, F.lit(TOKEN_RE), F.lit(0))
-    kept = F.transform(F.filter(found, lambda x: ~x.rlike("^_+$")), lambda x: F.regexp_replace(x, "[️⃣]", ""))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    signs = F.transform(found, lambda x: F.regexp_replace(x, "[️⃣]", ""))
+    return F.coalesce(F.when(F.contains(text, F.lit(KEYCAP)), signs).otherwise(found), F.array().cast("array<string>"))
 
 
 def query_tokens(text: str, folded: bool = True) -> list[str]:
     found = _TOKEN.findall(fold_text(text) if folded else text)
-    return [re.sub("[️⃣]", "", t) for t in found if not re.fullmatch("_+", t)]
+    return [re.sub("[️⃣]", "", t) for t in found]

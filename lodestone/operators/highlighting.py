@@ -37,22 +37,14 @@ def marked(text: Column, node: Node, tag: str = TAG, html: bool = False) -> Colu
     gaps = F.split(text, TOKEN_RE, -1)
 
     def built(words: Column) -> Column:
-        return let(F.transform(words, lambda w: F.regexp_replace(fold(w), "[️⃣]", "")), lambda folded: placed(words, folded))
-
-    def placed(words: Column, folded: Column) -> Column:
-        # words of underscores are no tokens: tokens holds the others, at where each stands among all words
-        tokens = F.filter(folded, lambda w: ~w.rlike("^_+$"))
-        at = F.filter(F.transform(folded, lambda w, i: F.when(~w.rlike("^_+$"), i)), lambda i: i.isNotNull())
-
-        def moved(places: Column) -> Column:
-            return F.transform(node.spans(tokens), lambda s: F.struct(F.get(places, s["s"] - 1).alias("s"), F.get(places, s["e"] - 1).alias("e")))
-
-        return let(at, lambda places: let(moved(places), lambda spans: let(gaps, lambda between: drawn(words, between, spans))))
+        folded = F.transform(words, lambda w: F.regexp_replace(fold(w), "[️⃣]", ""))
+        return let(let(folded, node.spans), lambda spans: let(gaps, lambda between: drawn(words, between, spans)))
 
     def drawn(words: Column, between: Column, spans: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
-            begins = F.exists(spans, lambda s: s["s"] == i) & ~F.exists(spans, lambda s: (s["s"] < i) & (i <= s["e"]))
-            ends = F.exists(spans, lambda s: s["e"] == i) & ~F.exists(spans, lambda s: (s["s"] <= i) & (i < s["e"]))
+            at = i + 1
+            begins = F.exists(spans, lambda s: s["s"] == at) & ~F.exists(spans, lambda s: (s["s"] < at) & (at <= s["e"]))
+            ends = F.exists(spans, lambda s: s["e"] == at) & ~F.exists(spans, lambda s: (s["s"] <= at) & (at < s["e"]))
             return F.concat(F.when(begins, tag).otherwise(""), clean(w), F.when(ends, tail).otherwise(""), clean(F.get(between, i + 1)))
 
         whole = F.concat(clean(F.get(between, F.lit(0))), F.array_join(F.transform(words, one), ""))

@@ -67,7 +67,7 @@ def word_node(mode: str, term: str, together: str, reach: tuple[int, int] | None
             return S.token_node(lambda x: x.contains(w))
         if mode == "word_end":
             return S.token_node(lambda x: x.endswith(w))
-        return S.token_node(S.fuzzy_test(w, *reach) if reach and reach[0] else S.word_test(w))
+        return S.token_node(S.fuzzy_test(w, *reach)) if reach and reach[0] else S.plain_node(w)
 
     items = [one(w) for w in dict.fromkeys(words)]
     return S.at_least_node(items, len(items) if together == "and" else 1)
@@ -99,5 +99,5 @@ def excluded(field: Field, column: Column, tokens: Column | None, phrases: list[
             out = out | text_condition(field.mode, column, phrase)
         else:
             node = word_node("phrase" if field.mode == "word" else field.mode, phrase, "and", None)
-            out = out | S.let(tokens, lambda t: F.size(node.spans(t)) > 0)  # noqa: B023  used at once
+            out = out | S.let(tokens, node.hit)
     return out

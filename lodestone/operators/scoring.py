@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .spans import Node
@@ -24,13 +24,6 @@ class Statistics:
     frequencies: tuple[int, ...]
 
 
-def measure(tokenised: DataFrame, tokens: str, words: list[Node]) -> Statistics:
-    """One pass over the index: a row of counts reaches the driver.  Documents without tokens count too."""
-    hits = [F.sum((F.size(w.spans(F.col(tokens))) > 0).cast("long")).alias(f"w{k}") for k, w in enumerate(words)]
-    row = tokenised.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean"), *hits).first()
-    return Statistics(row.n, row["mean"] or 1.0, tuple(row[f"w{k}"] or 0 for k in range(len(words))))
-
-
 def idf(documents: int, holding: int) -> float:
     return math.log(1 + (documents - holding + 0.5) / (holding + 0.5))
 
@@ -45,7 +38,7 @@ def bm25(words: list[Node], tokens: Column, found: Statistics, elide: bool, k1:
     for word, holding in zip(words, found.frequencies, strict=True):
         if elide and not word.boosted and found.documents and holding / found.documents >= DENSE:
             continue
-        tf = F.size(word.spans(tokens)).cast("double")
+        tf = word.count(tokens).cast("double")
         weight = idf(found.documents, holding) * word.factor
         total = total + F.lit(weight) * tf * (k1 + 1) / (tf + F.lit(k1) * (1 - b + b * length / F.lit(found.mean_length or 1.0)))
     return total

@@ -10,7 +10,7 @@ import functools
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,16 +71,32 @@ class Node:
     leaves: list[Node] = field(default_factory=list)
     factor: float = 1.0
     boosted: bool = False
+    #: Whether a document matches and how often, where that takes no spans.
+    quick: Callable[[Column], Column] | None = None
+    tally: Callable[[Column], Column] | None = None
 
     def words(self) -> list[Node]:
         return self.leaves or [self]
 
+    def hit(self, tokens: Column) -> Column:
+        return self.quick(tokens) if self.quick else F.size(self.spans(tokens)) > 0
+
+    def count(self, tokens: Column) -> Column:
+        return self.tally(tokens) if self.tally else F.size(self.spans(tokens))
+
+
+def token_node(test: Test, word: str | None = None) -> Node:
+    """One token; a plain word is looked up without a lambda."""
 
-def token_node(test: Test) -> Node:
     def spans(tokens: Column) -> Column:
         return F.filter(F.transform(tokens, lambda x, i: F.when(test(x), span(i + 1, i + 1))), lambda x: x.isNotNull())
 
-    return Node(spans)
+    quick = (lambda tokens: F.array_contains(tokens, F.lit(word))) if word is not None else (lambda tokens: F.exists(tokens, test))
+    return Node(spans, quick=quick, tally=lambda tokens: F.size(F.filter(tokens, test)))
+
+
+def plain_node(word: str) -> Node:
+    return token_node(word_test(word), word)
 
 
 def phrase_node(slots: list[Test | None], slop: int = 0) -> Node:
@@ -174,29 +190,39 @@ def at_least_node(items: list[Node], needed: int) -> Node:
 
         return let(F.array(*(i.spans(tokens) for i in items)), chosen)
 
-    return Node(spans, [w for i in items for w in i.words()])
+    def quick(tokens: Column) -> Column:
+        hits = [i.hit(tokens) for i in items]
+        if needed >= len(items):
+            return functools.reduce(lambda a, b: a & b, hits) if needed == len(items) else F.lit(False)
+        if needed == 1:
+            return functools.reduce(lambda a, b: a | b, hits)
+        return functools.reduce(lambda a, b: a + b, [h.cast("int") for h in hits]) >= needed
+
+    return Node(spans, [w for i in items for w in i.words()], quick=quick)
 
 
 def but_not_node(left: Node, right: Node) -> Node:
-    return Node(lambda tokens: F.when(F.size(right.spans(tokens)) == 0, left.spans(tokens)).otherwise(nothing()), left.words())
+    return Node(lambda tokens: F.when(~right.hit(tokens), left.spans(tokens)).otherwise(nothing()), left.words(), quick=lambda tokens: left.hit(tokens) & ~right.hit(tokens))
 
 
 def all_node() -> Node:
-    return Node(lambda tokens: F.array(span(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))), [none_node()])
+    return Node(lambda tokens: F.array(span(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))), [none_node()], quick=lambda tokens: F.lit(True))
 
 
 def none_node() -> Node:
-    return Node(lambda tokens: nothing())
+    return Node(lambda tokens: nothing(), quick=lambda tokens: F.lit(False), tally=lambda tokens: F.lit(0))
 
 
 def boosted(inner: Node, factor: float) -> Node:
-    words = [Node(w.spans, [], w.factor * factor, True) for w in inner.words()]
-    return Node(inner.spans, words, inner.factor * factor, True)
+    words = [replace(w, leaves=[], factor=w.factor * factor, boosted=True) for w in inner.words()]
+    return replace(inner, leaves=words, factor=inner.factor * factor, boosted=True)
 
 
 def text_node(text: str) -> Node:
     """A word or phrase given as text; text without words matches nothing."""
     words = query_tokens(text)
+    if len(words) == 1:
+        return plain_node(words[0])
     return phrase_node([word_test(w) for w in words]) if words else none_node()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import logging
 import time
@@ -149,7 +150,7 @@ class Relation:
                 out.append(matching.text_condition(field.mode, self._text(field), self.term))
             else:
                 node = self._node(field, spelling)
-                out.append(_held(F.col(f"__tokens_{k}"), _hit(node)))
+                out.append(_held(F.col(f"__tokens_{k}"), node.hit))
         return out
 
     def _lexical(self, df: DataFrame, spelling: matching.Misspellings) -> DataFrame:
@@ -211,7 +212,7 @@ class Relation:
                 stats = scoring.Statistics(found.documents, found.means[k], found.frequencies[first : first + n])
                 words = nodes[k].words()
                 if field.weight is not None:
-                    words = [S.Node(w.spans, [], w.factor, True) for w in words]
+                    words = [dataclasses.replace(w, leaves=[], boosted=True) for w in words]
 
                 base = base + _weighed(F.col(f"__tokens_{k}"), nodes[k], words, stats, field.boost, not mixed, len(self.fields_) > 1)
             base = base + self._conversions()
@@ -221,7 +222,7 @@ class Relation:
         """Counts over the whole index, in one pass, whatever the filters."""
         held = self._tokenised(self.model.df)
         used = sorted({k for k, _ in words})
-        hits = [F.sum(_held(F.col(f"__tokens_{k}"), _hit(w)).cast("long")).alias(f"w{i}") for i, (k, w) in enumerate(words)]
+        hits = [F.sum(_held(F.col(f"__tokens_{k}"), w.hit).cast("long")).alias(f"w{i}") for i, (k, w) in enumerate(words)]
         row = held.agg(F.count("*").alias("n"), *(F.avg(F.size(f"__tokens_{k}")).alias(f"m{k}") for k in used), *hits).first()
         return _Corpus(row.n, {k: row[f"m{k}"] or 1.0 for k in used}, tuple(row[f"w{i}"] or 0 for i in range(len(words))))
 
@@ -250,6 +251,11 @@ class Relation:
         """All matching rows, with _score, whatever the page."""
         return self._clean(self._hooked(self._score(self._lexical(self._filtered(), self.spelling))))
 
+    @functools.cached_property
+    def rows(self) -> DataFrame:
+        """All matching rows without scores: nothing is counted over the index for them.  A block sees scores all the same."""
+        return self.matched if self._option("block") else self._clean(self._lexical(self._filtered(), self.spelling))
+
     @property
     def size(self) -> int:
         n = self.options.get("limit", self.options.get("per_page", DEFAULT_LIMIT))
@@ -335,7 +341,7 @@ class Relation:
 
     def count(self) -> int:
         """All matching rows, whatever the page."""
-        return self._timed("count", self.matched.count)
+        return self._timed("count", lambda: self.rows.count())
 
     def agg_frames(self) -> dict[str, tuple[str, DataFrame, DataFrame | None]]:
         """(kind, facet, doc_count) of each aggregation.
@@ -398,15 +404,11 @@ def _held(tokens_: Column, test: Callable[[Column], Column]) -> Column:
 def _weighed(tokens_: Column, node: S.Node, words: list[S.Node], stats: scoring.Statistics, boost: float, elide: bool, guarded: bool) -> Column:
     def lexical(t: Column) -> Column:
         found = scoring.bm25(words, t, stats, elide) * boost
-        return F.when(F.size(node.spans(t)) > 0, found).otherwise(0.0) if guarded else found
+        return F.when(node.hit(t), found).otherwise(0.0) if guarded else found
 
     return _held(tokens_, lexical)
 
 
-def _hit(node: S.Node) -> Callable[[Column], Column]:
-    return lambda t: F.size(node.spans(t)) > 0
-
-
 class _Corpus:
     def __init__(self, documents: int, means: dict[int, float], frequencies: tuple[int, ...]):
         self.documents, self.means, self.frequencies = documents, means, frequencies
