@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .textkit import LETTER, SPACE, chunks, classes, code_points, point_values, prefixes, ranges, spread
+from .textkit import LETTER, SPACE, chunks, classes, code_points, point_values, prefixes, ranges, slices, spread
 
 #: Endings that follow an apostrophe as a piece of their own (fixed values, from the pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pieces a worker remembers between batches.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Rows whose new pieces are merged together.
+REPLAYED = 4_000
 _KEY = 1 << 20
 
 
@@ -268,7 +270,7 @@ def encode_texts(texts: list[str], table: PieceTable) -> Iterator[tuple[int, int
             key = int(distinct[k])
             if key not in wanted:
                 wanted[key] = joined[start[new[k]] : end[new[k]]].encode()
-        parts.append((first, last, codes, distinct, np.searchsorted(start, bounds)))
+        parts.append((first, last, codes.astype(np.int32), distinct, np.searchsorted(start, bounds)))
     if wanted:
         table.add(np.fromiter(wanted, np.uint64, len(wanted)), list(wanted.values()))
     for first, last, codes, distinct, bounds in parts:
@@ -291,7 +293,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str
     """(id, ids): the ids of each text, null reading as empty.  Rows with equal or null ids are independent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, REPLAYED):
             for first, last, ids, bounds in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists], ["id", "ids"])
@@ -309,7 +311,7 @@ def encoded_digests(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = merges(path)
-        for batch in batches:
+        for batch in slices(batches, REPLAYED):
             for first, last, ids, bounds in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
                 data, count = vocabulary.decode(ids)
                 places = np.concatenate([[0], np.cumsum(count)])[bounds]

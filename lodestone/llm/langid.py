@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import let, materialize, read
-from .textkit import LETTER, classes, code_points, mix, segment, text_chunks
+from .textkit import LETTER, classes, code_points, mix, segment, slices, text_chunks
 
 BUCKETS = 1 << 15
 #: Languages that a model holds at most: the most declared ones, if at least MIN_SHARE of the rows declare them.
@@ -63,7 +63,7 @@ def trigram_table(df: DataFrame, languages: list[str], text: str, declared: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(place), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.column(1).to_pylist()
             for first, last, texts in text_chunks(batch.column(0)):
                 ids, bounds = trigrams(texts)
@@ -91,7 +91,7 @@ def text_evidence(df: DataFrame, table: np.ndarray, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             for first, last, texts in text_chunks(batch.column(at)):
                 ids, bounds = trigrams(texts)
                 sums = np.column_stack([segment(np.add, table[ids, k].astype(np.float64), bounds, 0.0) for k in range(table.shape[1])])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import PieceTable, encode_texts
 from .common import materialize, read
+from .textkit import slices
 
 MAX_LEN = 1024
 END_ID = 2
@@ -86,7 +87,7 @@ def cut_pieces(df: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = E
     """(doc_id, piece, start, length, ids_crc32): a document's ids and end_id, cut from the back if over max_len."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.column(0)
             for first, last, ids, bounds in text_ids([t or "" for t in batch.column(1).to_pylist()], path):
                 n = np.diff(bounds) + 1

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, parallelism, read
-from .textkit import U, byte_values, mix, prefixes, ranges, spread, utf8_chunks
+from .textkit import U, byte_values, mix, prefixes, ranges, slices, spread, utf8_chunks
 
 LENGTH = 100
 FIRST = 32
@@ -135,7 +135,7 @@ def stretch_rows(docs: DataFrame, buckets: int) -> DataFrame:
     a count of windows below 0: they are repeats already and only pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high, data, offsets in utf8_chunks(batch.column(1)):
                 doc, first, last, name, whole = stretches(data, offsets)
@@ -181,7 +181,7 @@ def window_rows(shared: DataFrame, buckets: int) -> DataFrame:
     """The windows of the stretches (doc_id, text, spans), named by all their bytes and packed; as stretch_rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             span_of = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
@@ -246,7 +246,7 @@ def cut(docs: DataFrame, repeats: DataFrame, carry: tuple[str, ...] = ("doc_id",
     joined = docs.join(spans, "doc_id", "left").select(F.struct(*carry).alias("carried"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("spans")
             for low, high, data, offsets in utf8_chunks(batch.column("text")):
                 # 1 where a span begins and -1 behind its end; bytes are kept where the sum is 0

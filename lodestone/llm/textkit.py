@@ -7,7 +7,9 @@ with a chance of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +18,9 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK = 2_000_000
+#: Bytes or characters that array operations work on at once, and rows of a batch that are unpacked at once.
+CHUNK = 500_000
+ROWS = 1_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space (fixed values).
@@ -70,6 +74,22 @@ def ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U))
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows; freed memory goes back to the system after each batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+        _trim()(0)
+
+
 def chunks(sizes: np.ndarray, limit: int = CHUNK):
     """(first, last) row ranges whose sizes sum to about limit; a row is never split."""
     ends = np.cumsum(sizes)

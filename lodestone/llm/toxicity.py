@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read
-from .textkit import NUMBER, classes, code_points, mix, point_values, prefixes, ranges, runs, segment, text_chunks
+from .textkit import NUMBER, classes, code_points, mix, point_values, prefixes, ranges, runs, segment, slices, text_chunks
 
 WIDTHS = (1, 2, 3)
 FILTERS = 12
@@ -231,7 +231,7 @@ def _word_lists(df: DataFrame) -> DataFrame:
     """(doc_id, toxic, lang, parts): the buckets of each text's words, or null for more than MAX_TRAIN_WORDS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for first, last, texts in text_chunks(batch.column("text")):
                 words = read_words(texts)
                 parts = [words.parts[words.codes[i:j]].astype("<i4").tobytes() if j - i <= MAX_TRAIN_WORDS else None for i, j in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
@@ -285,7 +285,7 @@ def score(df: DataFrame, model: Model, text: str = "text", lang: str | None = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             for first, last, texts in text_chunks(batch.column(at)):
                 found = scores(model, read_words(texts))
                 langs = batch.column(by)[first:last].to_pylist() if by is not None else [""] * (last - first)
