@@ -20,20 +20,19 @@ def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of edges (u, v): the least node that can be reached.  Nodes alone don't appear.
 
-    Large-star turns towards each node's least neighbour, small-star does so among the smaller ones; stars are what is
-    left when neither changes anything.  Each pass is written to the shared folder, so a lost executor costs one pass.
+    Large-star turns towards each node's least neighbour, small-star does so among the smaller ones, until every edge
+    points at a node that points nowhere.  Each pass is written to the shared folder, so a lost executor costs one pass.
     """
     current = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, larger_only=True).distinct()
         small = materialize(_to_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), larger_only=False).distinct(), "edges")
-        state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         release(current)
         current = small
-        if state == seen:
+        onward = small.join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+        forked = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if onward.union(forked).agg(F.count("*")).first()[0] == 0:
             break
-        seen = state
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
