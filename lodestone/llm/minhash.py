@@ -4,8 +4,10 @@ A document has TABLES keys in each of two collections, each key made of ROWS min
 and a key from the other is the key of a table, so TABLES**2 tables cost only 2 * TABLES * ROWS minimum hashes.
 
 Documents with equal sets are one class from the start.  In each bucket all classes are compared with its least class,
-then, where that leaves the bucket in several components, with its greatest, and what is still apart is compared pair by
-pair.  So no bucket is capped, and a large group of copies costs a comparison for each member and bucket head.
+then, where that leaves the bucket in several components, with its greatest.  What is still apart, mostly texts that share
+a passage and little else, is compared where the prefixes of its sets meet: with the shingles in one order, rare ones
+first, sets this similar share one among their first quarter, and a quarter of a text that shares less is its own.  So no
+bucket is capped and none emits all its pairs.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read, release
 from .graph import components
-from .textkit import byte_values, mix, prefixes, ranges, runs, segment, utf8_chunks
+from .textkit import byte_values, mix, prefixes, ranges, runs, segment, slices, utf8_chunks
 
 SHINGLE = 5
 #: Documents are linked with PERCENT * union <= 100 * intersection of their sets.
@@ -89,7 +91,7 @@ def sketch(df: DataFrame) -> DataFrame:
     """(doc_id, n, s1, s2, keys) for the rows of df (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for first, last, data, offsets in utf8_chunks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offsets)
                 one, two = set_signs(sets, bounds)
@@ -100,11 +102,39 @@ def sketch(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
+def set_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, component, n, shingle): a row for each shingle of texts (doc_id, text, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for first, last, data, offsets in utf8_chunks(batch.column(1)):
+                sets, bounds = shingle_sets(data, offsets)
+                n = np.diff(bounds)
+                rows = pa.array(np.repeat(np.arange(last - first), n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:last].take(rows), batch.column(2)[first:last].take(rows), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))],
+                    ["doc_id", "component", "n", "shingle"],
+                )
+
+    return texts.select("doc_id", "text", "component").mapInArrow(run, "doc_id long, component long, n long, shingle long")
+
+
+def shared_prefixes(sets: DataFrame) -> DataFrame:
+    """Those rows of set_rows() by which two documents must meet: a set's rarest shingles, so many that any set similar
+    enough holds one of them, but for those that no other document has.  own is the number of the latter."""
+    counts = sets.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    shared = sets.join(counts, "shingle")
+    mine = Window.partitionBy("doc_id")
+    shared = shared.withColumn("place", F.row_number().over(mine.orderBy("c", "shingle"))).withColumn("own", F.col("n") - F.count("*").over(mine))
+    length = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100)) + 1
+    return shared.where(F.col("place") <= length - F.col("own")).select("doc_id", "component", "n", "own", "shingle")
+
+
 def confirmed(pairs: DataFrame) -> DataFrame:
     """The pairs (u, v, u_text, v_text) whose whole sets are similar enough, as (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept = []
             sides = []
             for column in (2, 3):
@@ -136,9 +166,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n", "keys").dropDuplicates(["rep"])
 
     # a key that no other class has can't meet anyone, and neither can a document without a shared key on both sides
-    halves = heads.select("rep", "n", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    halves = halves.join(shared, "key", "left_semi")
+    shared = heads.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     side = {k: F.filter("keys", lambda x: x["side"] == k) for k in (0, 1)}
     place = heads.select("rep", "n", F.posexplode("keys").alias("at", "key")).join(shared, "key", "left_semi")
     place = place.groupBy("rep", "n").agg(F.collect_list(F.struct((F.col("at") >= TABLES).cast("int").alias("side"), "key")).alias("keys"))
@@ -181,10 +209,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = materialize(components(links), "components")
         tried = tried.union(second)
         rest = apart(found)
-    one = rest.select("bucket", F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_component"))
-    two = rest.select("bucket", F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_component"))
-    third = one.join(two, "bucket").where(f"u < v and u_component != v_component and 100 * least(u_n, v_n) >= {PERCENT} * greatest(u_n, v_n)")
-    third = materialize(third.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    left = rest.select(F.col("rep").alias("doc_id"), "component").distinct()
+    sets = materialize(set_rows(texts.join(left, "doc_id")), "sets")
+    prefixes = materialize(shared_prefixes(sets), "prefixes")
+    release(sets)
+    meeting = prefixes.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    met = prefixes.join(meeting, "shingle", "left_semi")
+    one, two = (met.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "own"))) for x in "uv")
+    # neither set can share more than what it doesn't have to itself
+    most = "least(u_n - u_own, v_n - v_own)"
+    third = one.join(two, "shingle").where(f"u_doc_id < v_doc_id and u_component != v_component and 100 * {most} >= {PERCENT} * (u_n + v_n - {most})")
+    third = third.select(F.col("u_doc_id").alias("u"), F.col("v_doc_id").alias("v")).distinct()
+    third = materialize(third.join(tried, ["u", "v"], "left_anti"), "pairs")
     if not third.isEmpty():
         links = links.union(confirm(third))
         found = materialize(components(links), "components")
