@@ -21,13 +21,14 @@ TOP = 20
 #: Vectors the graph, the parts and the network are fitted on at most.
 SAMPLE_ROWS = 8_192
 GRAPH_DEGREE = 10
-PART_ROWS = 2_048
+#: There are sqrt(rows) / PART_SHARE parts, up to MAX_PARTS: what a query brings back grows slower than the rows.
+PART_SHARE = 16
 MAX_PARTS = 256
 SLACK = 1.1
 HIDDEN = 96
 #: Recall that the number of parts a query visits is set for, on sample queries the network hasn't seen.
 RECALL = 0.97
-BLOCK_ROWS, SPLIT_ROWS = 8_192, 8_192
+BLOCK_ROWS, SPLIT_ROWS = 32_768, 8_192
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def learn(x: np.ndarray, total: int, top: int, recall: float) -> tuple[Router, int]:
     """(router, parts that a query visits)"""
-    parts = int(np.clip(total // PART_ROWS, 1, min(MAX_PARTS, max(1, len(x) // 32))))
+    parts = int(np.clip(round(total**0.5 / PART_SHARE), 1, min(MAX_PARTS, max(1, len(x) // 32))))
     held = max(1, min(256, len(x) // 8))
     seen = x[held:] if parts > 1 else x
     degree = min(GRAPH_DEGREE, len(seen) - 1)
