@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,8 @@ from .common import let, materialize, read
 from .textkit import LETTER, classes, code_points, mix, segment, slices, text_chunks
 
 BUCKETS = 1 << 15
-#: Languages that a model holds at most: the most declared ones, if at least MIN_SHARE of the rows declare them.
-MAX_LANGUAGES = 64
-MIN_SHARE = 0.0005
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 1 << 20
 #: Pseudo-counts that a host, site and suffix give to the level above, and the weight of text against hints.
 HOST_LEANS = SITE_LEANS = SUFFIX_LEANS = 5.0
 #: The log-likelihood of a text is scaled down to this many trigrams, as neighbouring trigrams aren't independent.
@@ -30,6 +29,7 @@ UNKNOWN = "und"
 #: A row is rejected if its language is unknown or its posterior is below this.
 MIN_POSTERIOR = 0.5
 #: How much better letters at random must fit, in the scaled log-likelihood, for a text to be in no known language.
+#: A language with so few trigrams that no text could fit it that badly must fit better than letters at random by as much.
 UNKNOWN_MARGIN = 4.0
 
 
@@ -47,22 +47,28 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def declared_languages(df: DataFrame, declared: str) -> list[str]:
-    """The languages a model holds, from how often they are declared."""
-    counts = df.where(F.col(declared).isNotNull() & (F.trim(declared) != "")).groupBy(declared).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    rows = counts.withColumn("all", total).where(F.col("n") >= MIN_SHARE * F.col("all")).orderBy(F.desc("n"), declared).limit(MAX_LANGUAGES).collect()
-    return sorted(r[0] for r in rows)
+    """Every language that a row declares, however few do."""
+    said = F.col(declared).cast("string")
+    return sorted(r[0] for r in df.where(F.trim(said) != "").select(said).distinct().collect())
 
 
-def trigram_table(df: DataFrame, languages: list[str], text: str, declared: str) -> np.ndarray:
-    """languages x BUCKETS log-probabilities from the counts over all declared rows, smoothed by 0.5.
+def trigram_counts(df: DataFrame, languages: list[str], text: str, declared: str) -> np.ndarray:
+    """languages x BUCKETS counts over all declared rows.
 
-    Each task adds up its own counts; what reaches the driver is at most languages x BUCKETS sums.
+    Each task adds up counts by language and bucket; what reaches the driver is at most languages x BUCKETS sums.
     """
     place = {x: k for k, x in enumerate(languages)}
 
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+    def handed(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first : first + 50_000]), pa.array(counts[first : first + 50_000])], ["key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(place), BUCKETS), np.int64)
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for batch in slices(batches):
             names = batch.column(1).to_pylist()
             for first, last, texts in text_chunks(batch.column(0)):
@@ -70,17 +76,28 @@ def trigram_table(df: DataFrame, languages: list[str], text: str, declared: str)
                 lang = np.array([place.get(x, -1) for x in names[first:last]], np.int64)
                 lang = np.repeat(lang, np.diff(bounds))
                 known = lang >= 0
-                counts += np.bincount(lang[known] * BUCKETS + ids[known], minlength=counts.size).reshape(counts.shape)
-        full = np.flatnonzero(counts)
-        for first in range(0, len(full), 50_000):
-            keys = full[first : first + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(counts.ravel()[keys])], ["key", "n"])
-
-    parts = df.select(F.col(text).cast("string"), F.col(declared).cast("string")).mapInArrow(run, "key int, n long")
+                key, n = np.unique(lang[known] * BUCKETS + ids[known], return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > HELD_COUNTS:
+                    key, n = merged(keys, counts)
+                    if len(key) > HELD_COUNTS // 2:
+                        yield from handed(key, n)
+                        key, n = key[:0], n[:0]
+                    keys, counts, held = [key], [n], len(key)
+        yield from handed(*merged(keys, counts))
+
+    parts = df.select(F.col(text).cast("string"), F.col(declared).cast("string")).mapInArrow(run, "key long, n long")
     sums = parts.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
     counts.ravel()[sums.column("key").to_numpy()] = sums.column("n").to_numpy()
-    counts += 0.5
+    return counts
+
+
+def trigram_table(counts: np.ndarray) -> np.ndarray:
+    """languages x BUCKETS log-probabilities, smoothed by 0.5."""
+    counts = counts + 0.5
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -147,7 +164,9 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Co
     n = len(languages)
     if not n:
         return df.select("*", F.lit(UNKNOWN).alias(made[0]), F.lit(0.0).alias(made[1]), F.lit(UNKNOWN).alias(made[2]), F.lit(True).alias(made[3]))
-    table = trigram_table(source, languages, text, declared)
+    counts = trigram_counts(source, languages, text, declared)
+    refutable = EFFECTIVE_TRIGRAMS * np.log1p(counts.sum(1) / (0.5 * BUCKETS)) >= UNKNOWN_MARGIN
+    table = trigram_table(counts)
     said = F.col(declared).cast("string")
     names = F.array(*map(F.lit, languages))
     rows = text_evidence(df, table, text)
@@ -166,20 +185,21 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Co
     # chances of declaring what was declared, for each true language
     tables = np.array([speak.get(x, np.zeros(n)) for x in languages]) + 0.5
     chance = np.log(tables / tables.sum(0, keepdims=True))
-    declares = F.create_map(*(x for k, name in enumerate(languages) for x in (F.lit(name), F.array(*(F.lit(float(v)) for v in chance[k])))))
+    declares = df.sparkSession.createDataFrame([(name, chance[k].tolist()) for k, name in enumerate(languages)], "__said string, __hint array<double>")
     suffixes = _shares(clear, "__suffix", n).select("__suffix", _lean(F.col("mass"), top, SUFFIX_LEANS).alias("__suffix_prior"))
     sites = _shares(clear, "__site", n).withColumn("__suffix", F.substring_index("__site", ".", -1)).join(suffixes, "__suffix", "left")
     sites = sites.select("__site", _lean(F.col("mass"), F.col("__suffix_prior"), SITE_LEANS).alias("__site_prior"))
     hosts = _shares(clear, "__host", n).withColumn("__site", host_levels(F.col("__host"))["__site"]).join(sites, "__site", "left")
     hosts = hosts.select("__host", _lean(F.col("mass"), F.col("__site_prior"), HOST_LEANS).alias("__prior"))
 
-    rows = rows.join(hosts, "__host", "left")
+    rows = rows.join(hosts, "__host", "left").join(F.broadcast(declares), "__said", "left")
     prior = F.coalesce("__prior", F.when(F.lit(host is None), even), top)
-    hint = F.coalesce(F.try_element_at(declares, F.col("__said")), F.transform(even, lambda x: F.lit(0.0)))
+    hint = F.coalesce("__hint", F.transform(even, lambda x: F.lit(0.0)))
     fused = F.zip_with(F.zip_with(flat, hint, lambda a, b: a + b), F.transform(prior, lambda x: F.ln(x)), lambda a, b: a + b)
     rows = rows.withColumn("__posterior", _softmax(fused))
     best = F.array_max("__posterior")
-    foreign = (F.col("__n_trigrams") == 0) | (F.array_max(flat) + UNKNOWN_MARGIN < F.element_at("__text_loglik", -1))
+    margins = F.array(*(F.lit(UNKNOWN_MARGIN if x else -UNKNOWN_MARGIN) for x in refutable))
+    foreign = (F.col("__n_trigrams") == 0) | (F.array_max(F.zip_with(flat, margins, lambda a, m: a + m)) < F.element_at("__text_loglik", -1))
     found = F.when(foreign, UNKNOWN).otherwise(F.element_at(names, F.array_position("__posterior", best).cast("int")))
     rows = rows.withColumns(
         {

@@ -42,3 +42,16 @@ def test_query_on_pages(spark, sf):
     rows = langid.op2_language_id(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert sum(r.language == r.declared for r in rows) >= 0.95 * len(rows) and not any(r.rejected for r in rows)
+
+
+def test_rare_languages_are_modelled_and_odd_letters_still_go(spark):
+    en = "the quick brown fox jumps over the lazy dog and then the other thing with that house "
+    rare = "kono yoru wa totemo shizuka desu ne watashi wa hon o yomimasu "
+    rows = [(i, f"{en} {en} {i}", "en", "a.com") for i in range(4000)] + [(5000, rare * 4, "ja", "b.jp"), (5001, "ΞΨΩ ζηθ λμξ " * 20, None, None)]
+    rows += [(6000 + k, f"{en} {en}", f"q{k:02d}", "a.com") for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    assert len(langid.declared_languages(df, "lang")) == 72
+    found = {r.doc_id: r for r in langid.identify(df, "text", "lang", F.col("host")).where("doc_id >= 5000").collect()}
+    assert (found[5000].language, found[5000].language_rejected) == ("ja", False)
+    assert (found[5001].language, found[5001].language_rejected) == ("und", True)
+    assert sum(found[6000 + k].text_language == "en" for k in range(70)) == 70
