@@ -23,6 +23,8 @@ BUCKETS = 1 << 15
 HELD_COUNTS = 1 << 20
 #: Pseudo-counts that a host, site and suffix give to the level above, and the weight of text against hints.
 HOST_LEANS = SITE_LEANS = SUFFIX_LEANS = 5.0
+#: A text with so many trigrams counts fully for the hints' tables, a shorter one in proportion.
+CLEAR_TRIGRAMS = 10
 #: The log-likelihood of a text is scaled down to this many trigrams, as neighbouring trigrams aren't independent.
 EFFECTIVE_TRIGRAMS = 40.0
 UNKNOWN = "und"
@@ -174,8 +176,9 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Co
     rows = rows.withColumn("__p", _softmax(flat)).withColumns(host_levels(host if host is not None else F.lit(None).cast("string")))
     rows = rows.withColumn("__said", F.when(F.array_contains(names, said), said))
 
-    # The hints' tables come from rows whose text speaks clearly; each has a row for each host, site, suffix or language.
-    clear = rows.where(F.col("__n_trigrams") >= 10).select("__p", "__host", "__site", "__suffix", "__said")
+    # The hints' tables have a row for each host, site, suffix or language; short texts weigh less, those without letters nothing.
+    weight = F.least(F.lit(1.0), F.col("__n_trigrams") / CLEAR_TRIGRAMS)
+    clear = rows.select(F.transform("__p", lambda x: x * weight).alias("__p"), "__host", "__site", "__suffix", "__said")
     clear = materialize(clear, "language-evidence")
     whole = clear.agg(*(F.sum(F.col("__p")[k]).alias(f"m{k}") for k in range(n))).collect()[0]
     mass = np.array([x or 0.0 for x in whole]) + 1.0

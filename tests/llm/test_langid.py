@@ -55,3 +55,14 @@ def test_rare_languages_are_modelled_and_odd_letters_still_go(spark):
     assert (found[5000].language, found[5000].language_rejected) == ("ja", False)
     assert (found[5001].language, found[5001].language_rejected) == ("und", True)
     assert sum(found[6000 + k].text_language == "en" for k in range(70)) == 70
+
+
+def test_hosts_of_short_pages_lean_on_their_site_and_suffix(spark):
+    en = "the quick brown fox jumps over the lazy dog and then the other thing with that house "
+    de = "der schnelle braune fuchs springt über den faulen hund und dann noch einmal durch das haus "
+    rows = [(i, t * 3, lang, host) for i in range(40) for t, lang, host in ((en, "en", f"a{i % 5}.site.com"), (de, "de", f"b{i % 5}.seite.de"))]
+    rows += [(100, "in", None, "short.seite.de"), (101, "in", None, "short.site.com"), (102, "in", None, "other.de"), (103, "in", None, "other.com")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    found = {r.doc_id: (r.language, r.language_posterior) for r in langid.identify(df, "text", "lang", F.col("host")).where("doc_id >= 100").collect()}
+    assert [found[i][0] for i in (100, 101, 102, 103)] == ["de", "en", "de", "en"]
+    assert found[100][1] > 0.9 and found[101][1] > 0.9
