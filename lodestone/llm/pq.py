@@ -1,7 +1,8 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors go to the nearest of a set of coarse centres; what is left of them is coded by subspace.  A vector probes
-every list whose border lies within reach of its near duplicates; there its distances to the coded vectors are sums of
+every list whose border lies within half of the linking distance: of two linked vectors in different lists the line between
+them crosses the border, so one of them at least is that near to it.  There its distances to the coded vectors are sums of
 table entries.  The coding error of each vector is known exactly, so a candidate is dropped only if it can't be near enough,
 and the rest are confirmed by their exact cosine.
 """
@@ -25,8 +26,8 @@ LINK = 0.9
 SAMPLE_ROWS = 16_384
 MAX_LISTS = 1_024
 SUBSPACES, CODES = 8, 128
-#: How many standard deviations of a random direction's share along a border's normal the probes allow for; None: all.
-#: Pairs nearer than REACH / sqrt(dimensions) times the linking distance are found whatever their direction.
+#: For callers who give up links for fewer probes: how many standard deviations of a random direction's share along a
+#: border's normal the probes allow for.  Vectors of low rank lose links by it; no query uses it.
 REACH = 4.5
 BLOCK_ROWS, SPLIT_ROWS = 2_048, 32_768
 
@@ -74,7 +75,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, reach: float | None = REACH) -> DataFrame:
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, reach: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each id of df.
 
     Equal vectors are one class, so a vector repeated any number of times is compared once.  Vectors that are null,
@@ -97,7 +98,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     shared = spark.sparkContext.broadcast(Index(unit(points), total))
     far = math.sqrt(max(0.0, 2 - 2 * link))
     dims = points.shape[1]
-    border = far if reach is None else min(far, far * reach / math.sqrt(dims))
+    border = far / 2 if reach is None else min(far / 2, far * reach / math.sqrt(dims))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -114,8 +115,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     placed = heads.select("id", "weight", "vector").mapInArrow(place, "id long, weight long, vector array<double>, home int, codes binary, error double, probes array<int>")
     placed = materialize(placed, "coded-vectors")
-    members = placed.select(F.col("home").alias("cell"), "id", "weight", "vector", "codes", "error")
-    queries = placed.select(F.explode("probes").alias("cell"), "id", "weight", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+    members = placed.select(F.col("home").alias("cell"), "id", "weight", "vector", "codes", "error", "home", "probes")
+    queries = placed.select(F.explode("probes").alias("cell"), "id", "weight", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "home", F.lit(None).cast("array<int>").alias("probes"))
 
     def link_up(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Rows (u, v, n): n links of u if v is null, else an edge of a spanning forest of the links found here."""
@@ -127,10 +128,15 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         limit = (far + held.column("error").to_numpy() + 1e-4) ** 2
         names, mass = asked.column("id").to_numpy(zero_copy_only=False), asked.column("weight").to_numpy(zero_copy_only=False)
         x = unit(matrix(asked.column("vector")))
+        home = asked.column("home").to_numpy(zero_copy_only=False)
+        probes = held.column("probes").combine_chunks()
+        asks = np.zeros((len(index.centres), len(ids)), bool)
+        asks[probes.flatten().to_numpy(), np.repeat(np.arange(len(ids)), probes.value_lengths().to_numpy())] = True
         found = []
         for first in range(0, len(x), 512):
             rough = index.distances(x[first : first + 512], index.centres[cell], codes) <= limit
-            rough &= ids[None, :] > names[first : first + 512, None]
+            # a pair whose vectors probe each other's lists counts where the smaller id asks
+            rough &= (ids[None, :] > names[first : first + 512, None]) | ~asks[home[first : first + 512]]
             a, b = np.nonzero(rough)
             for low in range(0, len(a), 65_536):
                 i, j = a[low : low + 65_536] + first, b[low : low + 65_536]

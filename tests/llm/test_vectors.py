@@ -98,3 +98,18 @@ def test_codes_bound_distances():
     rough = np.sqrt(index.distances(x[:50], index.centres[cell], codes[rows]))
     exact = np.sqrt(((x[:50, None] - x[None, rows]) ** 2).sum(2))
     assert (np.abs(rough - exact) <= error[rows] + 1e-4).all()
+
+
+def low_rank(rank=3, n=6000, dims=64):
+    rng = np.random.default_rng(11)
+    return rng.standard_normal((n, rank)) @ rng.standard_normal((rank, dims)) + 0.02 * rng.standard_normal((n, dims))
+
+
+def test_no_link_is_lost_on_vectors_of_low_rank(spark):
+    x = low_rank()
+    ids = np.random.default_rng(12).permutation(len(x))
+    u = pq.unit(x.astype(np.float32).astype(np.float64))
+    expected = (u @ u.T >= 0.9).sum(1) - 1
+    rows = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in pq.near_vectors(rows).collect()}
+    assert [got[int(i)] for i in ids] == expected.tolist()
