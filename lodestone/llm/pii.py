@@ -43,6 +43,8 @@ CONTEXT = {
 WINDOW = 40
 THRESHOLD = 0.5
 _BLOCK = 256
+#: Characters of the pieces of a text from which the surroundings of a hit are read, so that long texts aren't read for each hit.
+_PIECE = 256
 
 
 def _digits(text: Column) -> Column:
@@ -127,24 +129,39 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
     found = found.withColumns({names[k][0]: hits(k) for k in KINDS})
     found = found.withColumns({names[k][1]: F.when(F.size(names[k][0]) > 0, F.split(F.col(source), PATTERNS[k], -1)) for k in KINDS})
 
+    pieces = "__pii_pieces"
+    some = F.greatest(*(F.size(names[k][0]) for k in KINDS)) > 0
+    found = found.withColumn(pieces, F.when(some, F.regexp_extract_all(F.col(source), F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+
+    def stretch(start: Column, length: int) -> Column:
+        """So many characters from start on, length at most _PIECE; fewer at the text's end."""
+        first = F.floor(start / _PIECE).cast("int")
+        both = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+        return F.substring(both, start % _PIECE + 1, F.lit(length))
+
     def spans(kind: str) -> Column:
         every, gaps = F.col(names[kind][0]), F.col(names[kind][1])
         ends = _running(F.zip_with(F.slice(gaps, F.lit(1), F.size(every)), every, lambda g, h: F.length(g) + F.length(h)))
 
-        def one(h: Column, i: Column) -> Column:
-            near = F.concat(F.right(F.get(gaps, i), F.lit(WINDOW)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(WINDOW)))
+        def whole(h: Column, e: Column) -> Column:
+            start = e - F.length(h)
+            return F.struct(start.alias("start"), e.alias("end"), h.alias("hit"))
+
+        def scored(x: Column) -> Column:
+            first = F.greatest(x["start"] - WINDOW, F.lit(0))
+            before = F.left(stretch(first, WINDOW), x["start"] - first)
+            near = F.concat(before, F.lit(" "), stretch(x["end"], WINDOW))
             score = F.when(near.rlike(CONTEXT[kind]), SCORES[kind][1]).otherwise(SCORES[kind][0])
-            return F.struct(h.alias("hit"), (-F.length(h)).alias("back"), score.alias("score"))
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
-        kept = F.zip_with(F.transform(every, one), ends, lambda x, e: F.struct(F.lit(kind).alias("kind"), (e + x["back"]).alias("start"), e.alias("end"), x["score"].alias("score"), x["hit"].alias("hit")))
+        kept = F.filter(F.zip_with(every, ends, whole), lambda x: VALID[kind](x["hit"]))
         floor = 0.0 if kind in BASE_KINDS else THRESHOLD
-        kept = F.filter(kept, lambda x: VALID[kind](x["hit"]) & (x["score"] >= floor))
-        kept = F.transform(kept, lambda x: F.struct(*(x[f].alias(f) for f in ("kind", "start", "end", "score"))))
+        kept = F.filter(F.transform(kept, scored), lambda x: x["score"] >= floor)
         return F.when(F.size(every) > 0, kept).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
     found = found.withColumns({f"__spans_{k}": spans(k) for k in KINDS})
     found = found.withColumn(out, F.concat(*(f"__spans_{k}" for k in KINDS)))
-    return found.drop(source, *(x for pair in names.values() for x in pair), *(f"__spans_{k}" for k in KINDS))
+    return found.drop(source, pieces, *(x for pair in names.values() for x in pair), *(f"__spans_{k}" for k in KINDS))
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:

@@ -83,3 +83,10 @@ def test_very_long_texts_stay_linear(spark):
     texts = ["x" * 400_000 + "@", "1" * 400_000, "a." * 200_000 + "@b", "a@" + "b." * 100_000 + "c", "+" * 100_000, "1." * 100_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [len(r.pii_spans) for r in pii.find_spans(df).orderBy("doc_id").collect()] == [0, 0, 0, 1, 0, 50_000 // 2]
+
+
+def test_context_reaches_over_other_hits(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7890", "x" * 250 + " SSN: 123-45-6789, 000-11-2222, 234-56-7890 " + "y" * 600, "SSN" + " " * 60 + "123-45-6789", "234-56-7890 " + "z" * 20 + " ssn"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = pii.find_spans(df).orderBy("doc_id").collect()
+    assert [[(r.text[s.start : s.end], s.score) for s in r.pii_spans] for r in rows] == [[("123-45-6789", 0.85), ("234-56-7890", 0.85)]] * 2 + [[], [("234-56-7890", 0.85)]]
