@@ -25,9 +25,20 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: An account number's pattern finds its first four characters; where it ends depends on its country's length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(f"(?:{x.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, x in IBAN_LENGTHS.items())
+_IBAN_KNOWN = rf"^(?:{_KNOWN})(?![A-Za-z0-9])"
+_IBAN_COUNTRY = rf"^(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})"
+_IBAN_LONGEST = 4 + 2 * 30 + 1
 #: What a text must hold for a kind to be looked for.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
 #: Scores of confirmed spans before and after a context word of the kind stands near.
@@ -77,6 +88,18 @@ def mod97(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0), step) == 1
 
 
+def _account(tail: Column) -> Column:
+    """The account number that tail begins with, or null: of its country's length, else the longest that passes mod97.
+
+    A known country's number may also be all that stands together, as long as it passes.
+    """
+    lengths = F.when(tail.rlike(_IBAN_COUNTRY), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(30), F.lit(11), F.lit(-1)))
+    ends = F.transform(lengths, lambda n: F.regexp_substr(tail, F.concat(F.lit("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){"), n.cast("string"), F.lit("}(?![A-Za-z0-9])"))))
+    whole = F.regexp_extract(tail, "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0)
+    found = F.concat(F.array(F.regexp_extract(tail, _IBAN_KNOWN, 0)), ends, F.array(whole))
+    return F.try_element_at(F.filter(found, lambda x: (F.length(x) > 0) & mod97(x)), F.lit(1))
+
+
 def _octets(text: Column) -> Column:
     """Parts at most 255, however long and however many leading zeros."""
     return F.forall(F.split(text, r"\."), lambda p: p.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
@@ -87,7 +110,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "ip": _octets,
     "card": luhn,
     "phone": lambda t: F.length(_digits(t)).between(9, 15),
-    "iban": mod97,
+    "iban": lambda t: F.length(t) > 0,
     "ssn": lambda t: ~t.rlike("^(?:000|666|9)|-00-|-0000$"),
 }
 
@@ -145,7 +168,9 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
 
         def whole(h: Column, e: Column) -> Column:
             start = e - F.length(h)
-            return F.struct(start.alias("start"), e.alias("end"), h.alias("hit"))
+            if kind != "iban":
+                return F.struct(start.alias("start"), e.alias("end"), h.alias("hit"))
+            return let(F.coalesce(_account(stretch(start, _IBAN_LONGEST)), F.lit("")), lambda x: F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("hit")))
 
         def scored(x: Column) -> Column:
             first = F.greatest(x["start"] - WINDOW, F.lit(0))
@@ -155,6 +180,8 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
         kept = F.filter(F.zip_with(every, ends, whole), lambda x: VALID[kind](x["hit"]))
+        if kind == "iban":
+            kept = let(kept, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x["start"] >= F.get(all_, i - 1)["end"])))
         floor = 0.0 if kind in BASE_KINDS else THRESHOLD
         kept = F.filter(F.transform(kept, scored), lambda x: x["score"] >= floor)
         return F.when(F.size(every) > 0, kept).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))

@@ -85,6 +85,21 @@ def test_very_long_texts_stay_linear(spark):
     assert [len(r.pii_spans) for r in pii.find_spans(df).orderBy("doc_id").collect()] == [0, 0, 0, 1, 0, 50_000 // 2]
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    cases = {
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": ["DE89 3704 0044 0532 0130 00"],
+        "DE89370400440532013000 2024": ["DE89370400440532013000"],
+        "GB82WEST12345698765432 I paid": ["GB82WEST12345698765432"],
+        "TO AB12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 NOW": ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"],
+        "DE89370400440532013000X": [],
+        "é" * 300 + " NO9386011117947, " + "x" * 300: ["NO9386011117947"],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    rows = pii.find_spans(df).orderBy("doc_id").collect()
+    assert [[r.text[s.start : s.end] for s in r.pii_spans if s.kind == "iban"] for r in rows] == list(cases.values())
+    assert pii.redact(pii.find_spans(df)).where("doc_id = 1").first().text == "<IBAN> 2024"
+
+
 def test_context_reaches_over_other_hits(spark):
     texts = ["SSN: 123-45-6789, 234-56-7890", "x" * 250 + " SSN: 123-45-6789, 000-11-2222, 234-56-7890 " + "y" * 600, "SSN" + " " * 60 + "123-45-6789", "234-56-7890 " + "z" * 20 + " ssn"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
