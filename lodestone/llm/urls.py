@@ -42,13 +42,14 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a character, from the counts of the distinct characters."""
+    """Bits a character, from the runs of the sorted characters."""
 
     def bits(chars: Column) -> Column:
-        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
-        return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+        starts = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1)))
+        shares = let(starts, lambda s: F.transform(s, lambda at, k: (F.coalesce(F.get(s, k + 1), F.size(chars)) - at) / F.size(chars)))
+        return F.when(F.size(chars) == 0, 0.0).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
-    return let(F.filter(F.split(text, ""), lambda c: c != ""), bits)
+    return let(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")), bits)
 
 
 def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
@@ -64,8 +65,8 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
             "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")).cast("double"),
             "host_depth": F.size(labels).cast("double"),
             "digit_ratio": F.length(F.regexp_replace(text, "[^0-9]", "")) / F.greatest(F.length(text), F.lit(1)),
-            "entropy": _entropy(F.left(text, F.lit(2048))),
-            "host_entropy": _entropy(F.left("host", F.lit(256))),
+            "entropy": _entropy(text),
+            "host_entropy": _entropy(F.col("host")),
             "n_params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")).cast("double"),
             "n_hyphens": (F.length("host") - F.length(F.replace(F.col("host"), F.lit("-"), F.lit("")))).cast("double"),
             "longest_label": F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double"),

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from lodestone.llm import urls
 
 
@@ -45,3 +48,15 @@ def test_query_on_pages(spark, sf):
     rows = urls.op8_url_filters(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     check(rows)
+
+
+def test_entropy_counts_whole_urls(spark):
+    tail = "".join(chr(33 + i * i % 90) for i in range(3000)).replace("/", "é")
+    texts = ["http://" + "a" * 300 + "bcdefgh.com/" + "x" * 2100 + tail, "", "http://a.b/", None]
+    df = urls.url_parts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, url string"))
+
+    def bits(t):
+        return -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())
+
+    for r in urls.lexical_features(df).collect():
+        assert math.isclose(r.entropy, bits(r.url or ""), abs_tol=1e-9) and math.isclose(r.host_entropy, bits(r.host), abs_tol=1e-9)
