@@ -12,14 +12,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import let, materialize, read
 
 #: (verdict, host, path): fixed rules of the url query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 FEATURES = ("length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "entropy", "host_entropy", "n_params", "n_hyphens", "longest_label", "has_fragment", "suffix_share", "suffix_blocked")
 #: Labelled rows the trees are fitted on at most, taken by a hash of the url.
 MAX_TRAIN_ROWS = 50_000
-#: Suffixes that have statistics of their own, so that their table can be broadcast; rarer ones read as unseen.
+#: Suffixes whose statistics are broadcast, the most frequent ones; those of rarer suffixes are joined by a shuffle.
 MAX_SUFFIXES = 2_000
 
 
@@ -76,16 +76,21 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_statistics(df: DataFrame, most: int = MAX_SUFFIXES) -> DataFrame:
-    """For the most frequent host suffixes, their share of all urls and their smoothed share of blocked labelled ones."""
-    total = df.agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked")).first()
-    prior = ((total.blocked or 0.0) + 1) / (total.labelled + 2)
+def suffix_statistics(df: DataFrame, most: int = MAX_SUFFIXES) -> tuple[DataFrame, DataFrame | None, float]:
+    """(frequent, rare, prior): for every host suffix its share of all urls and its smoothed share of blocked labelled ones.
+
+    frequent has the most frequent suffixes, rare the others, or is None without others; prior is the share of blocked
+    urls for a suffix that df doesn't have.
+    """
     each = df.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
-    return each.orderBy(F.desc("n"), "suffix").limit(most).select(
-        "suffix",
-        (F.col("n") / max(1, total.n)).alias("suffix_share"),
-        ((F.coalesce(F.col("blocked"), F.lit(0.0)) + 10 * prior) / (F.col("labelled") + 10)).alias("suffix_blocked"),
-    )
+    each = materialize(each, "suffixes")
+    total = each.agg(F.count("*").alias("suffixes"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
+    prior = ((total.blocked or 0.0) + 1) / ((total.labelled or 0) + 2)
+    shares = ("suffix", (F.col("n") / max(1, total.n or 0)).alias("suffix_share"), ((F.coalesce(F.col("blocked"), F.lit(0.0)) + 10 * prior) / (F.col("labelled") + 10)).alias("suffix_blocked"))
+    if total.suffixes <= most:
+        return each.select(*shares), None, prior
+    frequent = each.orderBy(F.desc("n"), "suffix").limit(most)
+    return frequent.select(*shares), each.join(F.broadcast(frequent), "suffix", "left_anti").select(*shares), prior
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS, url: str = "url", trees: int = 8, depth: int = 4) -> PipelineModel | None:
@@ -125,8 +130,17 @@ def judge(df: DataFrame, rules=RULES, labels: DataFrame | None = None, url: str
     return rows.select("__row.*", *made)
 
 
-def _with_suffix(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(suffixes), "suffix", "left").fillna(0.0, ["suffix_share", "suffix_blocked"])
+def _with_suffix(df: DataFrame, statistics: tuple[DataFrame, DataFrame | None, float]) -> DataFrame:
+    """df with the statistics of its suffixes; rows of frequent suffixes are dealt out by url where rare ones are joined."""
+    frequent, rare, prior = statistics
+    out = df.join(F.broadcast(frequent), "suffix", "left")
+    if rare is not None:
+        # no suffix holds a dot, so the keys of rows that have their statistics meet nothing
+        key = F.when(F.col("suffix_share").isNull(), F.col("suffix")).otherwise(F.concat(F.lit("."), F.xxhash64("__url").cast("string")))
+        others = rare.select(F.col("suffix").alias("__key"), F.col("suffix_share").alias("__share"), F.col("suffix_blocked").alias("__blocked"))
+        out = out.withColumn("__key", key).join(others, "__key", "left")
+        out = out.withColumns({"suffix_share": F.coalesce("suffix_share", "__share"), "suffix_blocked": F.coalesce("suffix_blocked", "__blocked")}).drop("__key", "__share", "__blocked")
+    return out.fillna({"suffix_share": 0.0, "suffix_blocked": prior})
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import urls
 
 
@@ -60,3 +62,16 @@ def test_entropy_counts_whole_urls(spark):
 
     for r in urls.lexical_features(df).collect():
         assert math.isclose(r.entropy, bits(r.url or ""), abs_tol=1e-9) and math.isclose(r.host_entropy, bits(r.host), abs_tol=1e-9)
+
+
+def test_rare_suffixes_keep_their_statistics_and_unseen_ones_get_the_prior(spark):
+    rows = [(f"http://h{i}.s{i % 30}/{k}", float(i % 2)) for i in range(60) for k in range(1 + 3 * (i % 30 < 3))]
+    df = urls.lexical_features(urls.url_parts(spark.createDataFrame(rows, "__url string, label double"), "__url"), "__url")
+    whole, capped = urls.suffix_statistics(df, 100), urls.suffix_statistics(df, 3)
+    assert whole[1] is None and capped[1].count() == 27
+    odd = urls.lexical_features(urls.url_parts(spark.createDataFrame([("http://x.unseen/",)], "__url string"), "__url"), "__url")
+    for table in (df, odd):
+        got = [sorted(map(tuple, urls._with_suffix(table, x).select("__url", "suffix_share", "suffix_blocked").collect())) for x in (whole, capped)]
+        assert got[0] == got[1] and len(got[0]) == table.count()
+    assert got[0][0][1:] == (0.0, whole[2]) and whole[2] > 0.4
+    assert urls._with_suffix(df, capped).where(F.col("suffix_share") == 0).count() == 0
