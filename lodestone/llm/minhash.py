@@ -43,7 +43,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """The distinct shingles of UTF-8 texts laid one after another, sorted within each text, and each text's bounds."""
     low = _LOWER[data]
     start, end = runs(~_SEPARATES[low], offsets)
-    words = ranges(prefixes(byte_values()[low]), start, end)
+    words = ranges(prefixes(byte_values(low)), start, end)
     first = np.searchsorted(start, offsets)
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)

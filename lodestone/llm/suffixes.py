@@ -1,16 +1,20 @@
 """Repeated passages: bytes covered by a LENGTH-byte string that also starts earlier.
 
-Prefix doubling over sampled starts.  The first length, FIRST bytes, is looked at only where a minimiser of the windows
-stands, so equal windows are looked at in equal places and about one place in (LENGTH - FIRST) / 2 is sorted.  Windows
-that share a minimiser are a stretch, and a place goes on to the next length only while its name is shared:
-
-  1. names of FIRST bytes at minimisers: a name that only one kind of stretch has ends there;
-  2. names of whole stretches: of equal stretches all but the earliest are repeats as a whole;
-  3. names of LENGTH bytes for each window of the earliest stretches whose minimiser others share.
-
-Names are fingerprints, so they can be given where the text lies; ranks among them, the sorting and the search for the
-earliest are distributed.  Each task first reduces its own repeats, so a passage that a third of all documents share is
-one row a task.  Rows travel packed, many to a bucket.
+Places are sorted by Spark, at a growing length, as prefix doubling does, and go on to the next length only while their
+name is shared; three things differ from the textbook.  The first length, FIRST bytes, is looked at only where a minimiser
+of the windows stands: equal windows have equal minimisers, so equal windows are looked at in equal places and about one
+place in (LENGTH - FIRST) / 2 is sorted.  Windows that share a minimiser are a stretch.  Names are fingerprints of the
+bytes, made where the text lies, instead of dense ranks that a sort hands back to every place.  And the second name of a
+place is that of all it must be equal in, not that of the next FIRST bytes.  Spark sorts
+
+  1. (name of FIRST bytes, name of the whole stretch): of equal stretches all but the earliest are repeats as a whole; a
+     stretch goes on if another one shares its first name but not its second;
+  2. the names of LENGTH bytes of each window of those that go on: all but the earliest are repeats.
+
+Names that decide a removal have 93 bits (two residues and a third one, see textkit), so 3e12 of them, which is 100 TB of
+text, hold a false pair with a chance of under 0.1 %.  Each task first reduces its own repeats, so a passage that a third of all documents share is
+one row for some hundred documents.  Rows cross the network packed, many to a bucket, are unpacked batch by batch, sorted by
+the JVM, which spills, and read in order: no task holds a group.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, parallelism, read
-from .textkit import U, byte_values, mix, prefixes, ranges, slices, spread, utf8_chunks
+from .textkit import U, byte_values, checks, mix, prefixes, ranges, slices, spread, utf8_chunks
 
 LENGTH = 100
 FIRST = 32
@@ -49,11 +53,11 @@ def minimisers(names: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray):
-    """(document, first window, last window, name of FIRST bytes, name of the stretch) of all texts' stretches."""
-    prefix = prefixes(byte_values()[data])
+    """(document, first window, last window, name of FIRST bytes, name and check of the stretch) of all texts' stretches."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none.view(U), none.view(U)
+        return none, none, none, none.view(U), none.view(U), none.astype(np.int32)
+    prefix = prefixes(byte_values(data, 3))
     starts = np.arange(len(data) - FIRST + 1)
     names = ranges(prefix, starts, starts + FIRST)
     place = minimisers(names)
@@ -69,7 +73,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     whole = ranges(prefix, first, last + LENGTH)
     # the minimiser's place in the stretch belongs to its name
     whole = mix(whole + (place[first] - first).astype(U) * U(0x9E3779B97F4A7C15))
-    return doc[first], first - offsets[:-1][doc[first]], last - offsets[:-1][doc[first]], names[place[first]], whole
+    return doc[first], first - offsets[:-1][doc[first]], last - offsets[:-1][doc[first]], names[place[first]], whole, checks(prefix, first, last + LENGTH)
 
 
 def merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,59 +105,72 @@ def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    parts: dict[str, list[bytes]] = {k: [] for k in kinds}
-    for batch in batches:
-        for k in kinds:
-            parts[k] += [x for x in batch.column(k).to_pylist() if x]
-    return {k: np.frombuffer(b"".join(parts.pop(k)), t) for k, t in kinds.items()}
-
-
-_STRETCH = {"name": "<u8", "whole": "<u8", "doc": "<i8", "first": "<i4", "count": "<i4"}
-_WINDOWS = {"name": "<u8", "doc": "<i8", "first": "<i4"}
+_STRETCH = {"name": "<i8", "whole": "<i8", "check": "<i4", "doc": "<i8", "first": "<i4", "count": "<i4"}
+_WINDOWS = {"name": "<i8", "check": "<i4", "doc": "<i8", "first": "<i4", "count": "<i4"}
 _SPANS = "doc_id long, kind int, first int, last int"
+_KINDS = {"<i8": "long", "<i4": "int"}
 
 
 def _schema(kinds: dict[str, str]) -> T.StructType:
     return T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(k, T.BinaryType()) for k in kinds)])
 
 
-def _earliest(names: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, head): rows sorted by name, document and place, and which of them are their name's earliest."""
-    order = np.lexsort((place, doc, names))
-    head = np.ones(len(order), bool)
-    head[1:] = names[order][1:] != names[order][:-1]
-    return order, head
+def _ordered(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The packed rows dealt out by bucket, unpacked and sorted within each task; every value is one column, in order."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            columns = [np.frombuffer(b"".join(batch.column(k).to_pylist()), t) for k, t in kinds.items()]
+            for first in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 100_000]) for c in columns], list(kinds))
+
+    flat = rows.repartition(parallelism(rows.sparkSession), "bucket").mapInArrow(unpack, ", ".join(f"{k} {_KINDS[t]}" for k, t in kinds.items()))
+    return flat.sortWithinPartitions(*kinds)
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+
+
+def _new(names: tuple[np.ndarray, ...], before: tuple | None) -> np.ndarray:
+    """Where a row's names differ from the row's before it; before has those of the row before the first."""
+    out = np.ones(len(names[0]), bool)
+    out[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in names])
+    out[0] = before is None or any(x[0] != y for x, y in zip(names, before, strict=True))
+    return out
+
+
+def _earliest(names: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): rows sorted by names, document and place, and which of them are their names' earliest."""
+    order = np.lexsort((place, doc, *names))
+    return order, _new(tuple(x[order] for x in names), None) if len(order) else np.zeros(0, bool)
 
 
 def _spans(doc: np.ndarray, kind: int, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "kind", "first", "last"])
 
 
+def _with_done(columns: dict[str, np.ndarray], doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Packed rows of columns, and of spans that are repeats already: these pass through with a count below 0."""
+    n = len(doc)
+    done = {"doc": doc, "first": start, "count": start - end}
+    route = np.concatenate([columns["name"].view(U), mix(doc.astype(U))]) % U(buckets)
+    return _packed({k: np.concatenate([v, done.get(k, np.zeros(n, np.int64))]).astype(v.dtype) for k, v in columns.items()}, route.astype(np.int64))
+
+
 def stretch_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """All stretches, packed by bucket of their first name.  Of those that repeat in a group of texts the later ones have
-    a count of windows below 0: they are repeats already and only pass through."""
+    """All stretches, packed by bucket of their first name; of those that repeat in a group of texts only the earliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high, data, offsets in utf8_chunks(batch.column(1)):
-                doc, first, last, name, whole = stretches(data, offsets)
-                doc = ids[low:high][doc]
-                order, head = _earliest(whole, doc, first)
-                later = order[~head]
-                # repeats found here travel as merged spans
-                d, s, e = merged(first[later], last[later] + 1, doc[later])
-                keep = order[head]
-                columns = {
-                    "name": np.concatenate([name[keep], np.zeros(len(d), U)]),
-                    "whole": np.concatenate([whole[keep], np.zeros(len(d), U)]),
-                    "doc": np.concatenate([doc[keep], d]).astype("<i8"),
-                    "first": np.concatenate([first[keep], s]).astype("<i4"),
-                    "count": np.concatenate([last[keep] - first[keep] + 1, s - e]).astype("<i4"),
-                }
-                route = np.concatenate([name[keep], mix(d.astype(U))]) % U(buckets)
-                yield _packed(columns, route.astype(np.int64))
+                doc, first, last, name, whole, check = stretches(data, offsets)
+                doc = ids[low:high][doc].astype(np.int64)
+                order, head = _earliest((check, whole), doc, first)
+                later, keep = order[~head], order[head]
+                columns = {"name": name[keep].view(np.int64), "whole": whole[keep].view(np.int64), "check": check[keep], "doc": doc[keep], "first": first[keep].astype(np.int32), "count": (last[keep] - first[keep] + 1).astype(np.int32)}
+                yield _with_done(columns, *merged(first[later], last[later] + 1, doc[later]), buckets)
 
     return docs.mapInArrow(run, _schema(_STRETCH))
 
@@ -162,19 +179,38 @@ def judged_stretches(rows: DataFrame) -> DataFrame:
     """(doc_id, kind, first, last): windows that repeat, and stretches whose windows must be looked at one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _unpacked(batches, _STRETCH)
-        done = x["count"] < 0
-        yield _spans(x["doc"][done], REPEAT, x["first"][done], x["first"][done] - x["count"][done] - 1)
-        x = {k: v[~done] for k, v in x.items()}
-        order, head = _earliest(x["whole"], x["doc"], x["first"])
-        later, heads = order[~head], order[head]
-        last = x["first"] + x["count"] - 1
-        yield _spans(x["doc"][later], REPEAT, x["first"][later], last[later])
-        _, inverse, count = np.unique(x["name"][heads], return_inverse=True, return_counts=True)
-        shared = heads[count[inverse] > 1]
-        yield _spans(x["doc"][shared], SHARED, x["first"][shared], last[shared])
-
-    return rows.repartition("bucket").mapInArrow(run, _SPANS)
+        before, held = None, None  # the names of the last row; the only head so far of its first name
+        for batch in batches:
+            x = _columns(batch)
+            done = x["count"] < 0
+            if done.any():
+                yield _spans(x["doc"][done], REPEAT, x["first"][done], x["first"][done] - x["count"][done] - 1)
+                x = {k: v[~done] for k, v in x.items()}
+            n = len(x["name"])
+            if not n:
+                continue
+            names = (x["name"], x["whole"], x["check"])
+            head = _new(names, before)
+            last = x["first"] + x["count"] - 1
+            yield _spans(x["doc"][~head], REPEAT, x["first"][~head], last[~head])
+            heads = np.flatnonzero(head)
+            if len(heads):
+                name = x["name"][heads]
+                opens = np.ones(len(heads), bool)  # the first head of its name
+                opens[1:] = name[1:] != name[:-1]
+                opens[0] = before is None or name[0] != before[0]
+                joined = np.ones(len(heads), bool)  # shares its name with the head before or behind it
+                joined[:-1] = ~opens[:-1] | ~opens[1:]
+                joined[-1] = not opens[-1]
+                if not opens[0] and held:
+                    yield _spans(*(np.array([v]) if k != 1 else v for k, v in enumerate(held)))
+                shared = heads[joined]
+                yield _spans(x["doc"][shared], SHARED, x["first"][shared], last[shared])
+                k = heads[-1]
+                held = (x["doc"][k], SHARED, x["first"][k], last[k]) if opens[-1] else None
+            before = tuple(v[-1] for v in names)
+
+    return _ordered(rows, _STRETCH).mapInArrow(run, _SPANS)
 
 
 def window_rows(shared: DataFrame, buckets: int) -> DataFrame:
@@ -188,42 +224,42 @@ def window_rows(shared: DataFrame, buckets: int) -> DataFrame:
             values = lists.flatten()
             firsts, lasts = values.field("first").to_numpy(zero_copy_only=False), values.field("last").to_numpy(zero_copy_only=False)
             for low, high, data, offsets in utf8_chunks(batch.column(1)):
-                prefix = prefixes(byte_values()[data])
+                prefix = prefixes(byte_values(data, 3))
                 a, b = span_of[low], span_of[high]
                 owner = np.repeat(np.arange(high - low), np.diff(span_of[low : high + 1]))
                 count = (lasts[a:b] - firsts[a:b] + 1).astype(np.int64)
                 place = spread(firsts[a:b].astype(np.int64), count)
                 owner = np.repeat(owner, count)
                 start = place + offsets[:-1][owner]
-                name, doc = ranges(prefix, start, start + LENGTH), ids[low:high][owner]
-                order, head = _earliest(name, doc, place)
+                name, check, doc = ranges(prefix, start, start + LENGTH), checks(prefix, start, start + LENGTH), ids[low:high][owner].astype(np.int64)
+                order, head = _earliest((check, name), doc, place)
                 later, keep = order[~head], order[head]
-                d, s, e = merged(place[later], place[later] + 1, doc[later])
-                n = len(d)
-                # a span found here travels as two rows of name 0: its first window, and its last one as -1 - window
-                columns = {
-                    "name": np.concatenate([name[keep], np.zeros(2 * n, U)]),
-                    "doc": np.concatenate([doc[keep], np.repeat(d, 2)]).astype("<i8"),
-                    "first": np.concatenate([place[keep], np.column_stack([s, -e]).ravel()]).astype("<i4"),
-                }
-                route = np.concatenate([name[keep], np.repeat(mix(d.astype(U)), 2)]) % U(buckets)
-                yield _packed(columns, route.astype(np.int64))
+                columns = {"name": name[keep].view(np.int64), "check": check[keep], "doc": doc[keep], "first": place[keep].astype(np.int32), "count": np.ones(len(keep), np.int32)}
+                yield _with_done(columns, *merged(place[later], place[later] + 1, doc[later]), buckets)
 
     return shared.mapInArrow(run, _schema(_WINDOWS))
 
 
 def judged_windows(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _unpacked(batches, _WINDOWS)
-        done = np.flatnonzero(x["name"] == 0)
-        yield _spans(x["doc"][done[::2]], REPEAT, x["first"][done[::2]], -x["first"][done[1::2]] - 1)
-        keep = np.flatnonzero(x["name"] != 0)
-        name, doc, first = (x[k][keep] for k in ("name", "doc", "first"))
-        order, head = _earliest(name, doc, first)
-        d, s, e = merged(first[order[~head]], first[order[~head]] + 1, doc[order[~head]])
-        yield _spans(d, REPEAT, s, e - 1)
+    """(doc_id, kind, first, last) of the windows that repeat."""
 
-    return rows.repartition("bucket").mapInArrow(run, _SPANS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            x = _columns(batch)
+            done = x["count"] < 0
+            if done.any():
+                yield _spans(x["doc"][done], REPEAT, x["first"][done], x["first"][done] - x["count"][done] - 1)
+                x = {k: v[~done] for k, v in x.items()}
+            if not len(x["name"]):
+                continue
+            names = (x["name"], x["check"])
+            head = _new(names, before)
+            d, s, e = merged(x["first"][~head].astype(np.int64), x["first"][~head].astype(np.int64) + 1, x["doc"][~head])
+            yield _spans(d, REPEAT, s, e - 1)
+            before = tuple(v[-1] for v in names)
+
+    return _ordered(rows, _WINDOWS).mapInArrow(run, _SPANS)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -283,7 +319,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """cut() of docs (doc_id, text) by their own repeats.
 
     Null texts read as empty.  Texts under LENGTH bytes lose nothing.  Rows with a null doc_id lose nothing and don't
-    count as earlier.  Rows that share a doc_id count as copies of one document: equal ones lose the same bytes.
+    count as earlier.  Rows that share a doc_id count as copies of one document: equal ones lose the same bytes.  Ties
+    (equal strings at one place) lose nothing more.  One text, however long, is read by one task, with some 40 bytes a byte
+    of it; no table gives no rows.
     """
     return cut(docs.select("doc_id", "text"), repeated_windows(docs))
 

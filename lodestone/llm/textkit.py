@@ -1,8 +1,10 @@
 """Vectorised text work for Arrow batches: fingerprints of byte and code-point ranges, runs, word ids.
 
-A range fingerprint is a polynomial over random 64-bit symbol values modulo 2**64, read from prefix sums, so the
-fingerprint of any [start, end) costs two lookups.  Equal ranges have equal fingerprints; different ones collide
-with a chance of about 2**-64 a pair.
+A range fingerprint is made of polynomials over random symbol values modulo the prime 2**31 - 1, each at a random point of
+its own, read from prefix sums: the fingerprint of any [start, end) costs two lookups a residue.  Equal ranges have equal
+fingerprints.  Two different ranges of n symbols agree in one residue with a chance of at most n / 2**31, whatever they
+hold (a modulus that is a power of two has no such bound: Thue-Morse words collide there for any symbol values).  ranges()
+joins two residues, checks() is a third.  Who needs certainty compares the symbols.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_P, _BITS = U(_PRIME), U(31)
+_rng = np.random.default_rng(6180339887)
+#: The points that the residues are taken at, and the values of the bytes.
+_POINTS = [int(x) for x in _rng.integers(1 << 20, _PRIME - 1, 3)]
+_BYTES = _rng.integers(1, _PRIME, (3, 256)).astype(U)
 #: Bytes or characters that array operations work on at once, and rows of a batch that are unpacked at once.
 CHUNK = 500_000
 ROWS = 1_000
@@ -38,40 +44,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = [np.ones(1, U), np.ones(1, U)]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for a fresh array."""
+    for _ in range(2):
+        high = x >> _BITS
+        x &= _P
+        x += high
+    x -= _P * (x >= _P)
+    return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * len(_powers[0]), 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+_powers = [[np.ones(1, U), np.ones(1, U)] for _ in _POINTS]
 
 
-@lru_cache(1)
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+def powers(k: int, n: int) -> list[np.ndarray]:
+    """The residue's point to the i and to the -i for i up to n."""
+    if len(_powers[k][0]) <= n:
+        size = max(n + 1, 2 * len(_powers[k][0]), 1 << 16)
+        for side, base in enumerate((_POINTS[k], pow(_POINTS[k], -1, _PRIME))):
+            steps = np.ones(size, U)
+            have = 1
+            while have < size:
+                more = min(have, size - have)
+                steps[have : have + more] = _reduced(steps[:more] * U(pow(base, have, _PRIME)))
+                have += more
+            _powers[k][side] = steps
+    return _powers[k]
 
 
 def prefixes(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ranges() reads fingerprints."""
-    up, _ = powers(len(values))
-    out = np.empty(len(values) + 1, U)
-    out[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum(values * up[: len(values)], dtype=U, out=out[1:])
+    """Prefix sums of symbol values (residues x symbols) from which ranges() and checks() read fingerprints."""
+    n = values.shape[1]
+    out = np.zeros((len(values), n + 1), U)
+    for k, x in enumerate(values):
+        x = x * powers(k, n)[0][:n]
+        high = x >> _BITS
+        x &= _P
+        x += high
+        np.cumsum(x, out=out[k, 1:])  # terms below 2**32: no overflow under 2**32 symbols
     return out
 
 
+def _residue(prefix: np.ndarray, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _reduced(_reduced(prefix[k][end] - prefix[k][start]) * powers(k, prefix.shape[1])[1][start])
+
+
 def ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    with np.errstate(over="ignore"):
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U))
+    """The first two residues of each range, mixed into 64 bits."""
+    return mix(_residue(prefix, 0, start, end) | (_residue(prefix, 1, start, end) << _BITS))
+
+
+def checks(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The third residue of each range."""
+    return _residue(prefix, 2, start, end).astype(np.int32)
+
+
+def byte_values(data: np.ndarray, residues: int = 2) -> np.ndarray:
+    return np.stack([_BYTES[k][data] for k in range(residues)])
 
 
 @lru_cache(1)
@@ -142,7 +171,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK):
 
 
 def point_values(points: np.ndarray) -> np.ndarray:
-    return mix((points.astype(U) + U(1)) * U(0xD6E8FEB86659FD93))
+    """Two values below the prime for each code point, above 0."""
+    x = mix((points.astype(U) + U(1)) * U(0xD6E8FEB86659FD93))
+    return np.stack([(x & U(0x3FFFFFFF)) + U(1), (x >> U(33)) % U(_PRIME - 1) + U(1)])
 
 
 def runs(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

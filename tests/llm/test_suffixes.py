@@ -48,6 +48,31 @@ def test_shared_passages_copies_and_periods(spark):
     compare(spark, docs)
 
 
+def test_thue_morse_words(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    compare(spark, [(1, a), (2, b), (3, a[:700] + b), (4, (b + a)[500:900])])
+
+
+def test_groups_larger_than_an_arrow_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = random.Random(3)
+        line = "".join(rng.choice("abcdefg ") for _ in range(130))
+        tail = lambda: "".join(rng.choice("abcdefg ") for _ in range(rng.randint(0, 90)))
+        compare(spark, [(i, tail() + line[rng.randint(0, 20) :] + tail()) for i in range(200)], parts=40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_query_itself(spark, sf):
+    rows = suffixes.op7_suffixes(spark, sf)
+    assert rows.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == brute(docs)
+
+
 def test_documents_against_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     compare(spark, docs)
