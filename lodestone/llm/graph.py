@@ -1,7 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, all of them joins on shuffled tables."""
+"""Connected components by alternating large-star and small-star steps, all of them joins on shuffled tables; forests within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least node of its component, node) that connect what the edges (u, v) connect."""
+    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inverse[: len(u)], inverse[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        fresh = label.copy()
+        np.minimum.at(fresh, a, low)
+        np.minimum.at(fresh, b, low)
+        np.minimum.at(fresh, label[a], low)
+        np.minimum.at(fresh, label[b], low)
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            break
+        label = fresh
+    keep = label != np.arange(len(nodes))
+    return nodes[label[keep]], nodes[keep]

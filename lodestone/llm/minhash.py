@@ -1,13 +1,14 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on whole shingle sets.
 
 A document has TABLES keys in each of two collections, each key made of ROWS minimum hashes.  Every pair of a key from one
-and a key from the other is the key of a table, so TABLES**2 tables cost only 2 * TABLES * ROWS minimum hashes.
-
-Documents with equal sets are one class from the start.  In each bucket all classes are compared with its least class,
-then, where that leaves the bucket in several components, with its greatest.  What is still apart, mostly texts that share
-a passage and little else, is compared where the prefixes of its sets meet: with the shingles in one order, rare ones
-first, sets this similar share one among their first quarter, and a quarter of a text that shares less is its own.  So no
-bucket is capped and none emits all its pairs.
+and a key from the other is the key of a table, so TABLES**2 tables cost only 2 * TABLES * ROWS minimum hashes.  A pair of
+similarity s shares a bucket with probability (1 - (1 - s**ROWS)**TABLES)**2: 0.991 at 0.75, 0.22 at 0.5, 0.002 at 0.3.
+
+Documents with equal sets are one class from the start.  In each bucket all classes are compared with its least class.
+Buckets that still hold several components are looked at again: a shingle that no other such document has can't be shared,
+so a document most of whose set is its own links with nothing; of the rest, those outside a key's largest component are
+compared with all that have the key, in blocks, each against an inverted index of the other.  So no bucket is capped and
+none emits its pairs: a task returns the edges of a forest.
 """
 
 from __future__ import annotations
@@ -19,19 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release
-from .graph import components
+from .common import materialize, parallelism, read, release
+from .graph import components, forest
 from .textkit import byte_values, mix, prefixes, ranges, runs, segment, slices, utf8_chunks
+from .vectors import meet
 
 SHINGLE = 5
 #: Documents are linked with PERCENT * union <= 100 * intersection of their sets.
 PERCENT = 75
-TABLES, ROWS = 14, 3
+TABLES, ROWS = 20, 5
+#: Members that are compared with one copy of their hub's text, and rows of the blocks compared with one another.
+HUB_ROWS, BLOCK_ROWS = 256, 256
 
 _rng = np.random.default_rng(20240229)
 _STEPS = _rng.integers(1, 2**63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = _rng.integers(1, 2**63, (2, TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _rng.integers(0, 2**63, (2, TABLES, ROWS), np.uint64)
+_FACTORS = _rng.integers(1, 2**31, (2, TABLES, ROWS), np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _rng.integers(0, 2**32, (2, TABLES, ROWS), np.uint32)
 _SIGNS = _rng.integers(0, 2**63, 2, np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,12 +62,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         keep = np.where(short, begins, left >= SHINGLE)
         sums = mix(sums[keep] + np.minimum(np.repeat(count, count), SHINGLE)[keep].astype(np.uint64) * _STEPS[SHINGLE])
     doc = doc[keep]
-    order = np.lexsort((sums, doc))
-    sums, doc = sums[order], doc[order]
-    new = np.ones(len(sums), bool)
-    new[1:] = (sums[1:] != sums[:-1]) | (doc[1:] != doc[:-1])
-    sums, doc = sums[new], doc[new]
-    return sums, np.searchsorted(doc, np.arange(len(count) + 1))
+    # sorted by document and the high bits of the shingle; only if these tie between different shingles by all its bits
+    near = (doc.astype(np.uint64) << np.uint64(44)) | (sums >> np.uint64(20))
+    order = np.argsort(near, kind="stable")
+    near, sums_, doc_ = near[order], sums[order], doc[order]
+    if len(count) >= 1 << 20 or ((near[1:] == near[:-1]) & (sums_[1:] != sums_[:-1])).any():
+        order = np.lexsort((sums, doc))
+        sums_, doc_ = sums[order], doc[order]
+    new = np.ones(len(sums_), bool)
+    new[1:] = (sums_[1:] != sums_[:-1]) | (doc_[1:] != doc_[:-1])
+    return sums_[new], np.searchsorted(doc_[new], np.arange(len(count) + 1))
 
 
 def set_signs(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +81,21 @@ def set_signs(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def half_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """texts x 2 x TABLES: the keys of both collections, each from ROWS minimum hashes."""
+    """texts x 2 x TABLES: the keys of both collections, each from ROWS minimum hashes; 0 for empty sets."""
     out = np.zeros((len(bounds) - 1, 2, TABLES), np.uint64)
-    with np.errstate(over="ignore"):
-        for side in range(2):
-            for table in range(TABLES):
-                key = np.full(len(bounds) - 1, side * TABLES + table + 1, np.uint64)
-                for row in range(ROWS):
-                    values = (sets ^ _MASKS[side, table, row]) * _FACTORS[side, table, row]
-                    values ^= values >> np.uint64(32)
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + segment(np.minimum, values, bounds, 0))
-                out[:, side, table] = key
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        high, begins = (sets >> np.uint64(32)).astype(np.uint32), bounds[:-1][full]
+        values = np.empty_like(high)
+        with np.errstate(over="ignore"):
+            for side in range(2):
+                for table in range(TABLES):
+                    key = np.full(len(full), side * TABLES + table + 1, np.uint64)
+                    for row in range(ROWS):
+                        np.bitwise_xor(high, _MASKS[side, table, row], out=values)
+                        np.multiply(values, _FACTORS[side, table, row], out=values)
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, begins))
+                    out[full, side, table] = key
     return out.view(np.int64)
 
 
@@ -102,54 +114,104 @@ def sketch(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
-def set_rows(texts: DataFrame) -> DataFrame:
-    """(doc_id, component, n, shingle): a row for each shingle of texts (doc_id, text, component)."""
+def set_arrays(texts: DataFrame) -> DataFrame:
+    """(doc_id, set) for texts (doc_id, text, n, s1, s2): the sets as arrays, of those rows whose set has these signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            wanted = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)]
             for first, last, data, offsets in utf8_chunks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offsets)
-                n = np.diff(bounds)
-                rows = pa.array(np.repeat(np.arange(last - first), n))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last].take(rows), batch.column(2)[first:last].take(rows), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))],
-                    ["doc_id", "component", "n", "shingle"],
-                )
+                fits = np.logical_and.reduce([x[first:last] == y for x, y in zip(wanted, (np.diff(bounds), *set_signs(sets, bounds)), strict=True)])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists], ["doc_id", "set"]).filter(pa.array(fits))
 
-    return texts.select("doc_id", "text", "component").mapInArrow(run, "doc_id long, component long, n long, shingle long")
+    return texts.select("doc_id", "text", "n", "s1", "s2").mapInArrow(run, "doc_id long, set array<long>")
 
 
-def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """Those rows of set_rows() by which two documents must meet: a set's rarest shingles, so many that any set similar
-    enough holds one of them, but for those that no other document has.  own is the number of the latter."""
-    counts = sets.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-    shared = sets.join(counts, "shingle")
-    mine = Window.partitionBy("doc_id")
-    shared = shared.withColumn("place", F.row_number().over(mine.orderBy("c", "shingle"))).withColumn("own", F.col("n") - F.count("*").over(mine))
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100)) + 1
-    return shared.where(F.col("place") <= length - F.col("own")).select("doc_id", "component", "n", "own", "shingle")
+def similar(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and of m shingles that have so many in common are linked."""
+    return (both > 0) & (100 * both >= PERCENT * (n + m - both))
 
 
-def confirmed(pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v, u_text, v_text) whose whole sets are similar enough, as (u, v)."""
+def linked_to_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (hub, rep) whose whole sets are similar enough, as (u, v).
+
+    A hub's set goes once to every HUB_ROWS of its members, not once to each, and members of one hub to many tasks.
+    """
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
+    hubs = salts.join(sets.withColumnRenamed("doc_id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("rep"), "set")
+    dealt = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    members = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "salt", "rep", "set")
+    rows = hubs.union(members).repartition(parallelism(sets.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("rep").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
         for batch in slices(batches):
-            kept = []
-            sides = []
-            for column in (2, 3):
-                sets = []
-                for _, _, data, offsets in utf8_chunks(batch.column(column)):
-                    found, bounds = shingle_sets(data, offsets)
-                    sets += np.split(found, bounds[1:-1])
-                sides.append(sets)
-            for i, (a, b) in enumerate(zip(*sides, strict=True)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both and 100 * both >= PERCENT * (len(a) + len(b) - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["u", "v"])
-
-    return pairs.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+            hub, rep, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), batch.column(3)
+            opens = rep.is_null().to_numpy(zero_copy_only=False)
+            rep = rep.fill_null(0).to_numpy(zero_copy_only=False)
+            shingles, bounds = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            cuts = sorted({0, len(rep), *np.flatnonzero(opens).tolist()})
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if opens[low]:
+                    held = np.sort(shingles[bounds[low] : bounds[low + 1]])
+                    low += 1
+                if low < high and len(held):
+                    part = shingles[bounds[low] : bounds[high]]
+                    found = held[np.minimum(np.searchsorted(held, part), len(held) - 1)] == part
+                    both = segment(np.add, found.astype(np.int64), bounds[low : high + 1] - bounds[low], 0)
+                    keep = low + np.flatnonzero(similar(both, np.diff(bounds[low : high + 1]), len(held)))
+                    yield pa.RecordBatch.from_arrays([pa.array(hub[keep]), pa.array(rep[keep])], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _linked_in_block(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The edges of a forest of the links between the rows of asked and those of held in another component."""
+
+    def read_sets(table) -> tuple[np.ndarray, ...]:
+        sets = table.column("set")
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        ids, components_ = (table.column(c).to_numpy() if isinstance(table, pa.Table) else table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component"))
+        return ids, components_, sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    ids, group, shingles, n = read_sets(held)
+    names, other, asked_shingles, m = read_sets(asked)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], np.repeat(np.arange(len(ids)), n)[order]
+    low, high = np.searchsorted(shingles, asked_shingles, "left"), np.searchsorted(shingles, asked_shingles, "right")
+    ends = np.concatenate([[0], np.cumsum(m)])
+    found = []
+    for k in range(len(names)):
+        a, b = low[ends[k] : ends[k + 1]], high[ends[k] : ends[k + 1]]
+        both = np.bincount(np.concatenate([owner[x:y] for x, y in zip(a[b > a].tolist(), b[b > a].tolist(), strict=True)] or [np.zeros(0, np.int64)]), minlength=len(ids))
+        links = np.flatnonzero(similar(both, n, m[k]) & (group != other[k]))
+        found.append((np.full(len(links), names[k]), ids[links]))
+    u, v = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+    if len(u):
+        u, v = forest(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def still_apart(sets: DataFrame) -> DataFrame:
+    """Those rows of sets (id, component, keys, n, set) that can link with another one by what they share with any."""
+    shingles = sets.select("id", F.explode("set").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+    core = shingles.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("core"))
+    # a set is like another one only if their common part is PERCENT of it at least
+    return sets.join(core, "id").where(f"100 * core >= {PERCENT} * n").drop("core")
+
+
+def linked_in_buckets(rest: DataFrame) -> DataFrame:
+    """(u, v): edges that connect what links connect among rows (id, component, keys, set) that share a key."""
+    placed = rest.select(F.explode("keys").alias("key"), "id", "component", "set")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main.component")
+    main = main.withColumnRenamed("component", "main")
+    members = placed.join(main, "key")
+    asked = members.where("component != main").drop("main")
+    return meet(members.drop("main"), asked, "key", BLOCK_ROWS, BLOCK_ROWS, _linked_in_block, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -157,7 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts without words, null ones included, have empty sets and link with nothing.  Rows that share a doc_id are one
     document; of different texts the one with the fewest shingles counts.  A null doc_id links with nothing either: each
-    such row comes back with a null component_id, and kept.
+    such row comes back with a null component_id, and kept.  The least doc_id names a component, so ties can't arise.  A
+    text, however long, is one row of one task at a time; no table gives no rows.
     """
     sketches = materialize(sketch(docs), "sketches")
     known = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*")
@@ -166,64 +229,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n", "keys").dropDuplicates(["rep"])
 
     # a key that no other class has can't meet anyone, and neither can a document without a shared key on both sides
-    shared = heads.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    every = heads.select("rep", "n", F.posexplode("keys").alias("at", "key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     side = {k: F.filter("keys", lambda x: x["side"] == k) for k in (0, 1)}
-    place = heads.select("rep", "n", F.posexplode("keys").alias("at", "key")).join(shared, "key", "left_semi")
-    place = place.groupBy("rep", "n").agg(F.collect_list(F.struct((F.col("at") >= TABLES).cast("int").alias("side"), "key")).alias("keys"))
-    tables = place.select("rep", "n", F.explode(side[0]).alias("a"), side[1].alias("bs")).select("rep", "n", "a", F.explode("bs").alias("b"))
-    tables = materialize(tables.select(F.xxhash64("a.key", "b.key").alias("bucket"), "rep", "n"), "tables")
-    member = F.struct("rep", "n")
-    buckets = tables.groupBy("bucket").agg(F.min(member).alias("least"), F.max(member).alias("most"), F.count("*").alias("c")).where("c > 1").drop("c")
+    place = every.join(shared, "key", "left_semi").groupBy("rep", "n").agg(F.collect_list(F.struct((F.col("at") >= TABLES).cast("int").alias("side"), "key")).alias("keys"))
+    tables = place.select("rep", "n", F.explode(side[0]["key"]).alias("a"), side[1]["key"].alias("bs")).select("rep", "n", "a", F.explode("bs").alias("b"))
+    tables = materialize(tables.select(F.xxhash64("a", "b").alias("bucket"), "rep", "n", "a"), "tables")
+    buckets = tables.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("least.rep").alias("hub"), F.col("least.n").alias("hub_n"))
     members = materialize(tables.join(buckets, "bucket"), "members")
     release(tables)
 
-    def against(rows: DataFrame, head: str) -> DataFrame:
-        rows = rows.where(f"rep != {head}.rep").where(f"100 * least(n, {head}.n) >= {PERCENT} * greatest(n, {head}.n)")
-        return rows.select(F.least("rep", f"{head}.rep").alias("u"), F.greatest("rep", f"{head}.rep").alias("v")).distinct()
-
-    needed = members.select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    texts = materialize(texts, "texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text"))
-        right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text"))
-        return materialize(confirmed(pairs.join(left, "u").join(right, "v")).distinct(), "links")
-
-    def apart(found: DataFrame) -> DataFrame:
-        """The members of buckets that still hold several components."""
-        placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        return materialize(placed.join(mixed, "bucket", "left_semi"), "apart")
+    wanted = known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = materialize(set_arrays(docs.select("doc_id", "text").join(wanted, "doc_id")).dropDuplicates(["doc_id"]), "sets")
+    tried = members.where("rep != hub").where(f"100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)").select("hub", "rep").distinct()
+    links = materialize(linked_to_hubs(materialize(tried, "pairs"), sets), "links")
+    found = materialize(components(links), "components")
 
-    tried = materialize(against(members, "least"), "pairs")
-    links = confirm(tried)
+    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    left = placed.join(mixed, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id"), "component").agg(F.collect_set("a").alias("keys"))
+    rest = materialize(still_apart(materialize(left.join(sets, "doc_id").select(F.col("doc_id").alias("id"), "component", "keys", F.size("set").alias("n"), "set"), "left")), "apart")
+    links = links.union(materialize(linked_in_buckets(rest), "links"))
     found = materialize(components(links), "components")
-    rest = apart(found)
-    heads_now = found.select(F.col("id").alias("most_rep"), F.col("component").alias("most_component"))
-    second = rest.withColumn("most_rep", F.col("most.rep")).join(heads_now, "most_rep", "left")
-    second = second.where(F.col("component") != F.coalesce("most_component", "most_rep"))
-    second = materialize(against(second, "most").join(tried, ["u", "v"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = links.union(confirm(second))
-        found = materialize(components(links), "components")
-        tried = tried.union(second)
-        rest = apart(found)
-    left = rest.select(F.col("rep").alias("doc_id"), "component").distinct()
-    sets = materialize(set_rows(texts.join(left, "doc_id")), "sets")
-    prefixes = materialize(shared_prefixes(sets), "prefixes")
-    release(sets)
-    meeting = prefixes.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    met = prefixes.join(meeting, "shingle", "left_semi")
-    one, two = (met.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "own"))) for x in "uv")
-    # neither set can share more than what it doesn't have to itself
-    most = "least(u_n - u_own, v_n - v_own)"
-    third = one.join(two, "shingle").where(f"u_doc_id < v_doc_id and u_component != v_component and 100 * {most} >= {PERCENT} * (u_n + v_n - {most})")
-    third = third.select(F.col("u_doc_id").alias("u"), F.col("v_doc_id").alias("v")).distinct()
-    third = materialize(third.join(tried, ["u", "v"], "left_anti"), "pairs")
-    if not third.isEmpty():
-        links = links.union(confirm(third))
-        found = materialize(components(links), "components")
+    release(members, sets)
 
     joined = known.join(classes, ["n", "s1", "s2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .graph import components
+from .graph import components, forest
 from .vectors import clean, k_means, matrix, meet, nearest, sample
 
 LINK = 0.9
@@ -164,25 +164,5 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     return out.union(nameless).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (least node of its component, node) that connect what the edges (u, v) connect."""
-    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inverse[: len(u)], inverse[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        fresh = label.copy()
-        np.minimum.at(fresh, a, low)
-        np.minimum.at(fresh, b, low)
-        np.minimum.at(fresh, label[a], low)
-        np.minimum.at(fresh, label[b], low)
-        fresh = fresh[fresh]
-        if (fresh == label).all():
-            break
-        label = fresh
-    keep = label != np.arange(len(nodes))
-    return nodes[label[keep]], nodes[keep]
-
-
 def op10_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
