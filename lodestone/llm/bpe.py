@@ -68,13 +68,32 @@ def split_points(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Merges:
+class TokenBytes:
+    """The bytes that ids stand for; ids may leave gaps."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        size = max(ranks.values()) + 1
+        self.lengths = np.zeros(size, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.bytes = np.zeros(self.offsets[-1], np.uint8)
+        for token, rank in ranks.items():
+            self.bytes[self.offsets[rank] : self.offsets[rank + 1]] = np.frombuffer(token, np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes, and how many each id stands for."""
+        count = self.lengths[ids]
+        return self.bytes[spread(self.offsets[ids], count)], count
+
+
+class Merges(TokenBytes):
     """A rank file's vocabulary: bytes by rank, and the rank of each pair that makes a token."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        size = max(self.ranks.values()) + 1
+            super().__init__({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         keys, made = [], []
         for token, rank in self.ranks.items():
@@ -85,13 +104,6 @@ class Merges:
                     made.append(rank)
         order = np.argsort(keys)
         self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
-        self.lengths = np.zeros(size, np.int64)
-        for token, rank in self.ranks.items():
-            self.lengths[rank] = len(token)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.bytes = np.zeros(self.offsets[-1], np.uint8)
-        for token, rank in self.ranks.items():
-            self.bytes[self.offsets[rank] : self.offsets[rank + 1]] = np.frombuffer(token, np.uint8)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair merges to, or -1."""
@@ -99,11 +111,6 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.made[at], -1)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes, and how many each id stands for."""
-        count = self.lengths[ids]
-        return self.bytes[spread(self.offsets[ids], count)], count
-
 
 @lru_cache(4)
 def merges(path: str) -> Merges:
@@ -224,10 +231,13 @@ def replay(words: list[bytes], vocabulary: Merges) -> tuple[np.ndarray, np.ndarr
 
 
 class PieceTable:
-    """Ids of the distinct pieces a worker has met, looked up by fingerprint; at most REMEMBERED stay between batches."""
+    """Ids of the distinct pieces a worker has met, looked up by fingerprint; at most REMEMBERED stay between batches.
+
+    encode gives the ids of pieces; tokens turns ids back into bytes, by which every look-up is checked.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], tokens: TokenBytes):
+        self.encode, self.tokens = encode, tokens
         self.clear()
 
     def clear(self) -> None:
@@ -250,43 +260,69 @@ class PieceTable:
         self.ids = np.concatenate([self.ids, ids])
 
 
-def encode_texts(texts: list[str], table: PieceTable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, ids, bounds) for groups of the texts: the ids one after another, and each text's bounds."""
+def _by_bytes(text: str, start: np.ndarray, end: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a text's pieces and how many each has, looked up by the pieces themselves."""
+    words = [text[i:j].encode() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+    place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    ids, count = table.encode(list(place))
+    rows = np.fromiter((place[w] for w in words), np.int64, len(words))
+    return ids[spread((np.cumsum(count) - count)[rows], count[rows])], count[rows]
+
+
+def encode_texts(texts: list[str], table: PieceTable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, ids, bounds, data, places) for groups of the texts: the ids one after another and each text's bounds,
+    the bytes they decode to and each text's bounds there.
+
+    Pieces are looked up by fingerprint.  The ids are decoded again: unless each piece's give its own bytes, which two
+    pieces with one fingerprint would not, the group's pieces are looked up by their bytes.
+    """
     if len(table.keys) > REMEMBERED:
         table.clear()
     parts, wanted = [], {}
     for first, last in chunks(np.array([len(t) for t in texts], np.int64)) if texts else ():
+        joined = "".join(texts[first:last])
         points, bounds = code_points(texts[first:last])
         if not len(points):
-            parts.append((first, last, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(last - first + 1, np.int64)))
+            parts.append((first, last, joined, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), bounds))
             continue
         start = split_points(points, bounds)
         end = np.append(start[1:], len(points))
         codes, distinct = pd.factorize(ranges(prefixes(point_values(points)), start, end))
         seen = np.maximum.accumulate(codes)
         new = np.flatnonzero(np.concatenate([[True], seen[1:] > seen[:-1]]))
-        joined = "".join(texts[first:last])
         for k in np.flatnonzero(~table.find(distinct)[1]):
             key = int(distinct[k])
             if key not in wanted:
                 wanted[key] = joined[start[new[k]] : end[new[k]]].encode()
-        parts.append((first, last, codes.astype(np.int32), distinct, np.searchsorted(start, bounds)))
+        parts.append((first, last, joined, start.astype(np.int32), codes.astype(np.int32), distinct, bounds))
     if wanted:
         table.add(np.fromiter(wanted, np.uint64, len(wanted)), list(wanted.values()))
-    for first, last, codes, distinct, bounds in parts:
-        if not len(codes):
-            yield first, last, np.zeros(0, np.int64), bounds
-            continue
+    for first, last, joined, start, codes, distinct, bounds in parts:
         rows = table.find(distinct)[0][codes]
         count = table.count[rows]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        yield first, last, table.ids[spread(table.start[rows], count)], ends[bounds]
+        ids = table.ids[spread(table.start[rows], count)]
+        pieces = np.searchsorted(start, bounds)
+        raw = joined.encode()
+        data, size = table.tokens.decode(ids)
+        ends, places = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size)])
+        width = np.concatenate([[0], np.cumsum(_utf8_lengths(code_points([joined])[0]))]) if len(raw) != len(joined) else None
+        begins = start if width is None else width[start]
+        if len(data) != len(raw) or (places[ends[:-1]] != begins).any() or data.tobytes() != raw:
+            ids, count = _by_bytes(joined, start, np.append(start[1:], len(joined)), table)
+            data, size = table.tokens.decode(ids)
+            ends, places = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size)])
+            assert data.tobytes() == raw
+        yield first, last, ids, ends[pieces], data, places[ends[pieces]]
+
+
+def _utf8_lengths(points: np.ndarray) -> np.ndarray:
+    return 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
 
 
 @lru_cache(4)
 def replay_table(path: str) -> PieceTable:
     vocabulary = merges(path)
-    return PieceTable(lambda words: replay(words, vocabulary))
+    return PieceTable(lambda words: replay(words, vocabulary), vocabulary)
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,7 +330,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, REPLAYED):
-            for first, last, ids, bounds in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
+            for first, last, ids, bounds, _, _ in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists], ["id", "ids"])
 
@@ -310,11 +346,8 @@ def encoded_digests(df: DataFrame, path: str) -> DataFrame:
     """The digests of what encode_documents gives and of its decoding, without shipping the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = merges(path)
         for batch in slices(batches, REPLAYED):
-            for first, last, ids, bounds in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
-                data, count = vocabulary.decode(ids)
-                places = np.concatenate([[0], np.cumsum(count)])[bounds]
+            for first, last, ids, bounds, data, places in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
                 raw, low = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
                 text, at = memoryview(data.tobytes()), places.tolist()
                 yield pa.RecordBatch.from_arrays(

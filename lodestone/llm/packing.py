@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PieceTable, encode_texts
+from .bpe import PieceTable, TokenBytes, encode_texts
 from .common import materialize, read
 from .textkit import slices
 
@@ -31,8 +31,8 @@ def _tokenizer(path: str):
     """The tokenizer of a tokenizers file, and a table of its ids for pieces.
 
     Its byte-level model splits by the same pattern as bpe.split_points, and a piece alone is one piece, so a text's ids
-    are those of its pieces.  Distinct pieces go through the same vocabulary read as ranks: the ids are the places in
-    the vocabulary and merges are listed in that order.
+    are those of its pieces.  Distinct pieces go through the same vocabulary read as ranks, which gives the same ids only
+    if merges are listed in the order of the ids they make; another file is refused.
     """
     import json
 
@@ -44,15 +44,19 @@ def _tokenizer(path: str):
     letters = _byte_letters()
     back = {c: b for b, c in letters.items()}
     special = {t["content"]: t["id"] for t in said.get("added_tokens", ())}
-    ranks = {bytes(back[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
-    core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    vocabulary = said["model"]["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in said["model"]["merges"]]
+    if said["model"]["type"] != "BPE" or made != sorted(set(made)):
+        raise ValueError(f"{path}: not a BPE whose merges are in the order of their ids")
+    ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [core.encode_single_piece(w) for w in words]
+        found = [core.encode_ordinary(w.decode()) for w in words]
         count = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.int64, int(count.sum())), count
 
-    return PieceTable(encode), special
+    return PieceTable(encode, TokenBytes(ranks)), special
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,9 +67,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 def text_ids(texts: list[str], path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """As bpe.encode_texts with a tokenizers file; strings of its special tokens become their ids, as by default there."""
+    """(first, last, ids, bounds) of bpe.encode_texts with a tokenizers file; strings of its special tokens become their
+    ids, as by default there."""
     table, special = _tokenizer(path)
-    for first, last, ids, bounds in encode_texts(texts, table):
+    for first, last, ids, bounds, _, _ in encode_texts(texts, table):
         odd = [k for k in range(last - first) if any(s in texts[first + k] for s in special)]
         if odd:
             lists = np.split(ids, bounds[1:-1])

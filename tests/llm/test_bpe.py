@@ -28,14 +28,36 @@ def odd_texts(n=2000):
 def test_ids_equal_the_library(name, spark, sf):
     library_ids = library(name)
     texts = odd_texts() + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    table = bpe.PieceTable(lambda words: bpe.replay(words, bpe.merges(P.path(name))))
-    for first, last, ids, bounds in bpe.encode_texts(texts, table):
+    for first, last, ids, bounds, data, places in bpe.encode_texts(texts, bpe.replay_table(P.path(name))):
         for i in range(first, last):
             got = ids[bounds[i - first] : bounds[i - first + 1]]
+            assert data[places[i - first] : places[i - first + 1]].tobytes() == texts[i].encode()
             assert got.tolist() == library_ids.encode_ordinary(texts[i])
             assert bpe.decode_ids(got, P.path(name)) == texts[i].encode()
 
 
+def thue_morse():
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_pieces_with_one_fingerprint_keep_their_own_ids(monkeypatch):
+    """Thue-Morse words, and a fingerprint that is the same for all pieces of the same length, or of any."""
+    texts = [*thue_morse(), "one two six é ten", "", "ab cd", " ab", "É", *odd_texts(30)]
+    known = library(FILES[0])
+
+    def check():
+        for first, last, ids, bounds, _, _ in bpe.encode_texts(texts, bpe.replay_table.__wrapped__(P.path(FILES[0]))):
+            assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [known.encode_ordinary(t) for t in texts[first:last]]
+
+    check()
+    for names in (lambda p, s, e: (e - s).astype(np.uint64), lambda p, s, e: np.zeros(len(s), np.uint64)):
+        monkeypatch.setattr(bpe, "ranges", names)
+        check()
+
+
 def test_words_whose_order_of_merges_matters():
     vocabulary = bpe.merges(P.path(FILES[1]))
     rng = random.Random(2)

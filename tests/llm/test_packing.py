@@ -7,7 +7,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing
-from test_bpe import odd_texts
+from test_bpe import odd_texts, thue_morse
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -47,7 +47,7 @@ def test_plan_places_every_rank_once_without_gaps_as_best_fit_does():
 
 def test_pieces_equal_the_library_and_pack_tightly(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    extra = [*odd_texts(60), "a<|endoftext|> b", "<|endoftext|><|endoftext|>", None, "x y " * 9000]
+    extra = [*odd_texts(60), "a<|endoftext|> b", "<|endoftext|><|endoftext|>", None, "x y " * 9000, *thue_morse()]
     extra = [(10**6 + i, t) for i, t in enumerate(extra)]
     docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = packing.pack_documents(docs, PATH).collect()
@@ -79,3 +79,22 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert Counter((r.doc_id, r.length) for r in rows) == {(1, 2): 2, (None, 1): 1}
     assert sorted(r.offset for r in rows) == [0, 2, 4] and {r.sequence_id for r in rows} == {0}
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_the_query_itself(spark, sf):
+    found = packing.op9_packing(spark, sf)
+    assert found.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def test_a_vocabulary_in_another_order_is_refused(tmp_path):
+    import json
+
+    import pytest
+
+    said = json.load(open(PATH, encoding="utf-8"))
+    said["model"]["merges"] = said["model"]["merges"][::-1]
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError):
+        packing._tokenizer(str(tmp_path / "t.json"))
