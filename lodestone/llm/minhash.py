@@ -5,7 +5,7 @@ and a key from the other is the key of a table, so TABLES**2 tables cost only 2
 similarity s shares a bucket with probability (1 - (1 - s**ROWS)**TABLES)**2: 0.991 at 0.75, 0.22 at 0.5, 0.002 at 0.3.
 
 Documents with equal sets are one class from the start.  In each bucket all classes are compared with its least class.
-Buckets that still hold several components are looked at again: a shingle that no other such document has can't be shared,
+Keys whose buckets still hold several components are looked at again: a shingle that no other such document has can't be shared,
 so a document most of whose set is its own links with nothing; of the rest, those outside a key's largest component are
 compared with all that have the key, in blocks, each against an inverted index of the other.  So no bucket is capped and
 none emits its pairs: a task returns the edges of a forest.
@@ -245,9 +245,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(linked_to_hubs(materialize(tried, "pairs"), sets), "links")
     found = materialize(components(links), "components")
 
-    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    left = placed.join(mixed, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id"), "component").agg(F.collect_set("a").alias("keys"))
+    placed = members.select("rep", "a").distinct().join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("a")
+    left = placed.join(mixed, "a", "left_semi").groupBy(F.col("rep").alias("doc_id"), "component").agg(F.collect_list("a").alias("keys"))
     rest = materialize(still_apart(materialize(left.join(sets, "doc_id").select(F.col("doc_id").alias("id"), "component", "keys", F.size("set").alias("n"), "set"), "left")), "apart")
     links = links.union(materialize(linked_in_buckets(rest), "links"))
     found = materialize(components(links), "components")
