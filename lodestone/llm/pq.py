@@ -1,10 +1,12 @@
 """Near-duplicate vectors by product quantisation.
 
-Unit vectors go to the nearest of a set of coarse centres; what is left of them is coded by subspace.  A vector probes
-every list whose border lies within half of the linking distance: of two linked vectors in different lists the line between
-them crosses the border, so one of them at least is that near to it.  There its distances to the coded vectors are sums of
-table entries.  The coding error of each vector is known exactly, so a candidate is dropped only if it can't be near enough,
-and the rest are confirmed by their exact cosine.
+Unit vectors go to the nearest of a set of coarse centres; what is left of them is coded by subspace.  Of two linked vectors
+in different lists the line between them crosses the border of the lists, so one of them lies within half of its share
+along the border's normal.  A vector probes every list whose border is that near, where the share is REACH standard
+deviations of it as the sample's spread about its centres has them along that very normal, never more than the linking
+distance itself; and more, if pairs of the sample itself need more.  So flat or low-ranked data widen the probes by
+themselves.  In a list distances to the coded vectors are sums of table entries.  The coding error of each vector is known
+exactly, so a candidate is dropped only if it can't be near enough, and the rest are confirmed by their exact cosine.
 """
 
 from __future__ import annotations
@@ -24,23 +26,49 @@ from .vectors import clean, k_means, matrix, meet, nearest, sample
 LINK = 0.9
 #: Vectors the centres and codes are fitted on at most.
 SAMPLE_ROWS = 16_384
-MAX_LISTS = 1_024
 SUBSPACES, CODES = 8, 128
-#: For callers who give up links for fewer probes: how many standard deviations of a random direction's share along a
-#: border's normal the probes allow for.  Vectors of low rank lose links by it; no query uses it.
-REACH = 4.5
+#: Standard deviations of a linked pair's share along a border's normal that probes allow for; None allows for all of it.
+REACH = 4.0
+#: Rows of the sample whose linked pairs in the sample must all be found.
+CHECKED_ROWS = 2_048
 BLOCK_ROWS, SPLIT_ROWS = 2_048, 32_768
 
 
 class Index:
     """Centres and codes for unit vectors."""
 
-    def __init__(self, x: np.ndarray, total: int):
-        lists = int(np.clip(2 ** round(math.log2(max(1.0, math.sqrt(total)))), 1, min(MAX_LISTS, max(1, len(x) // 16))))
+    def __init__(self, x: np.ndarray, total: int, far: float, reach: float | None = REACH):
+        lists = int(np.clip(2 ** round(math.log2(max(1.0, math.sqrt(total)))), 1, max(1, len(x) // 16)))
         self.centres = k_means(x, lists)
-        rest = x - self.centres[nearest(x, self.centres)]
+        home = nearest(x, self.centres)
+        rest = x - self.centres[home]
         self.cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         self.books = [k_means(rest[:, a:b], min(CODES, len(rest)), rounds=6) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        spread = rest.T @ rest
+        deviation = np.sqrt(_squares(self.centres, spread / max(np.trace(spread), 1e-300)))
+        self.apart = np.sqrt(_squares(self.centres, np.eye(x.shape[1])))
+        #: how near a border between two lists must be, from either side
+        self.limit = np.full((len(self.centres), len(self.centres)), far / 2)
+        if reach is not None:
+            each = far / 2 * deviation / np.maximum(self.apart, 1e-12)
+            self.limit = np.minimum(far / 2, each * max(reach, 1.25 * self._needed(x, home, each, 1 - far * far / 2)))
+
+    def _needed(self, x: np.ndarray, home: np.ndarray, each: np.ndarray, link: float) -> float:
+        """The least reach that finds all linked pairs of the sample's first CHECKED_ROWS rows with the rest of it."""
+        most = 0.0
+        for first in range(0, min(CHECKED_ROWS, len(x)), 256):
+            i, j = np.nonzero(x[first : first + 256] @ x.T >= link)
+            i += first
+            i, j = i[home[i] != home[j]], j[home[i] != home[j]]
+            if len(i):
+                gap = [self._gaps(x[a], home[a], home[b]) for a, b in ((i, j), (j, i))]
+                most = max(most, float((np.minimum(*gap) / np.maximum(each[home[i], home[j]], 1e-12)).max()))
+        return most
+
+    def _gaps(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Distances of vectors to the borders of their lists with others."""
+        own, away = (((x - self.centres[c]) ** 2).sum(1) for c in (home, other))
+        return (away - own) / np.maximum(2 * self.apart[home, other], 1e-12)
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, coding error)"""
@@ -52,12 +80,11 @@ class Index:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, reach: float) -> np.ndarray:
-        """vectors x lists: whether the border with a list's cell lies within reach."""
+    def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """vectors x lists: whether the border with a list is near enough."""
         away = -2 * (x @ self.centres.T) + (self.centres**2).sum(1)
         own = away[np.arange(len(x)), home]
-        apart = np.sqrt(((self.centres[:, None] - self.centres[None]) ** 2).sum(2)) if len(self.centres) <= 256 else np.array([np.sqrt(((self.centres - c) ** 2).sum(1)) for c in self.centres])
-        return away - own[:, None] <= 2 * reach * apart[home] + 1e-9
+        return away - own[:, None] <= 2 * self.limit[home] * self.apart[home] + 1e-9
 
     def distances(self, x: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of x to coded vectors of one list, from tables for each subspace."""
@@ -70,17 +97,24 @@ class Index:
         return out
 
 
+def _squares(centres: np.ndarray, form: np.ndarray) -> np.ndarray:
+    """(a - b)' form (a - b) for all pairs of centres."""
+    inner = centres @ form @ centres.T
+    return np.maximum(np.diag(inner)[:, None] + np.diag(inner) - 2 * inner, 0)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, reach: float | None = None) -> DataFrame:
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, reach: float | None = REACH) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each id of df.
 
     Equal vectors are one class, so a vector repeated any number of times is compared once.  Vectors that are null,
     empty, zero, hold null or non-finite components or have an odd size link with nothing.  Of rows that share an id with
     different vectors the least usable vector counts.  Rows with a null id come back with a null component_id, and kept.
+    With reach=None no link can be lost; else see REACH.
     """
     spark = df.sparkSession
     rows = clean(df, key, vector).withColumns({"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), "vector")})
@@ -95,10 +129,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     if not total:
         alone = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return alone.union(nameless).withColumn("kept", F.lit(True))
-    shared = spark.sparkContext.broadcast(Index(unit(points), total))
     far = math.sqrt(max(0.0, 2 - 2 * link))
-    dims = points.shape[1]
-    border = far / 2 if reach is None else min(far / 2, far * reach / math.sqrt(dims))
+    shared = spark.sparkContext.broadcast(Index(unit(points), total, far, reach))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -107,13 +139,13 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 part = batch.slice(first, 2048)
                 x = unit(matrix(part.column("vector")))
                 home, codes, error = index.place(x)
-                near = index.probes(x, home, border)
+                near = index.probes(x, home)
                 flat = pa.array(np.nonzero(near)[1].astype(np.int32))
                 probes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(near.sum(1))]), pa.int32()), flat)
                 coded = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), part.column("vector"), pa.array(home.astype(np.int32)), coded, pa.array(error), probes], ["id", "weight", "vector", "home", "codes", "error", "probes"])
 
-    placed = heads.select("id", "weight", "vector").mapInArrow(place, "id long, weight long, vector array<double>, home int, codes binary, error double, probes array<int>")
+    placed = heads.select("id", "weight", "vector").mapInArrow(place, f"id long, weight long, vector {heads.schema['vector'].dataType.simpleString()}, home int, codes binary, error double, probes array<int>")
     placed = materialize(placed, "coded-vectors")
     members = placed.select(F.col("home").alias("cell"), "id", "weight", "vector", "codes", "error", "home", "probes")
     queries = placed.select(F.explode("probes").alias("cell"), "id", "weight", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "home", F.lit(None).cast("array<int>").alias("probes"))

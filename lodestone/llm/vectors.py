@@ -19,8 +19,12 @@ def usable(vector: str) -> Column:
 
 
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vector): the usable vectors of the most common size, one for each id (of several the least)."""
-    rows = df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    """(id, vector): the usable vectors of the most common size, one for each id (of several the least).
+
+    Single-precision vectors stay so while they travel; all arithmetic is in double precision.
+    """
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
     sizes = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     return rows.where(F.size("vector") == (sizes.n if sizes else 0))
