@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample, the graph of nearest neighbours is cut into parts of about equal size so that few edges are cut, and
-a small network learns to tell a vector's part.  It assigns every row to its most probable part and sends a query to its
-several most probable ones, as many as the sample needs for the recall asked for; there all rows are ranked exactly.
+a small network learns to tell the parts that a vector's neighbours are in.  It assigns every row to its most probable part
+and sends a query to its several most probable ones, as many as the sample needs for the recall asked for; there all rows
+are ranked exactly.  Parts that were neighbours when the sample was split travel as one group, so a query travels once to a
+group.  The sample itself bounds each query's score from below, so only rows that can be among its best come back.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from .vectors import clean, matrix, meet, sample
 
 TOP = 20
 #: Vectors the graph, the parts and the network are fitted on at most.
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS = 16_384
 GRAPH_DEGREE = 10
-#: There are sqrt(rows) / PART_SHARE parts, up to MAX_PARTS: what a query brings back grows slower than the rows.
-PART_SHARE = 16
-MAX_PARTS = 256
+#: There are PARTS * sqrt(rows) parts, but at least PART_ROWS rows of the sample in each.
+PARTS, PART_ROWS = 2, 32
 SLACK = 1.1
 HIDDEN = 96
-#: Recall that the number of parts a query visits is set for, on sample queries the network hasn't seen.
-RECALL = 0.97
-BLOCK_ROWS, SPLIT_ROWS = 32_768, 8_192
+#: Weight of a row's own part among the parts of its neighbours, which have 1 together.
+OWN = 0.2
+#: Recall that the number of parts a query visits is set for, on HELD sample queries the network hasn't seen.
+RECALL, HELD = 0.94, 512
+BLOCK_ROWS, SPLIT_ROWS = 2_048, 8_192
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -109,28 +112,80 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def learn(x: np.ndarray, total: int, top: int, recall: float) -> tuple[Router, int]:
-    """(router, parts that a query visits)"""
-    parts = int(np.clip(round(total**0.5 / PART_SHARE), 1, min(MAX_PARTS, max(1, len(x) // 32))))
-    held = max(1, min(256, len(x) // 8))
-    seen = x[held:] if parts > 1 else x
-    degree = min(GRAPH_DEGREE, len(seen) - 1)
-    if parts == 1 or degree < 1:
-        return Router(x[:1], np.ones((1, 1)), epochs=0), 1
-    graph = neighbour_graph(seen, degree)
-    label = balanced_parts(seen, graph, parts)
-    target = np.zeros((len(seen), parts))
-    target[np.arange(len(seen)), label] = 1.0
-    np.add.at(target, (np.repeat(np.arange(len(seen)), degree), label[graph.ravel()]), 1.0 / degree)
-    router = Router(seen, target / target.sum(1, keepdims=True))
-    home = router.chances(seen).argmax(1)
-    true = np.argsort(-(x[:held] @ seen.T), axis=1)[:, :top]
-    rank = np.argsort(np.argsort(-router.chances(x[:held]), axis=1), axis=1)
-    needed = np.take_along_axis(rank, home[true], 1)
-    for visits in range(1, parts + 1):
-        if (needed < visits).mean() >= recall:
-            return router, visits
-    return router, parts
+class Parts:
+    """A router, how many parts a query visits, the group that each part travels in, and the sample."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, total: int, top: int, recall: float):
+        self.ids, self.x, self.top = ids, x, top
+        self.parts = int(np.clip(round(PARTS * total**0.5), 1, max(1, len(x) // PART_ROWS)))
+        self.groups = max(1, round(self.parts**0.5))
+        self.group = (np.arange(self.parts) * self.groups // self.parts).astype(np.int32)
+        held = min(HELD, len(x) // 8) if self.parts > 1 else 0
+        seen = x[held:]
+        degree = min(GRAPH_DEGREE, len(seen) - 1)
+        label, near = np.zeros(len(seen), np.int64), np.zeros((len(seen), 0), np.int64)
+        if self.parts > 1:
+            near = neighbour_graph(seen, degree)
+            label = balanced_parts(seen, near, self.parts)
+        target = np.zeros((len(seen), self.parts))
+        target[np.arange(len(seen)), label] = OWN
+        np.add.at(target, (np.repeat(np.arange(len(seen)), near.shape[1]), label[near.ravel()]), 1.0 / GRAPH_DEGREE)
+        self.router = Router(seen, target / target.sum(1, keepdims=True))
+        self.visits, self.homes = 1, self.route(x, 1)[:, 0]
+        if held:
+            # the sample's neighbours that lie as near as the top ones among all rows
+            close = max(1, min(len(seen), round(top * len(seen) / total)))
+            home = self.router.chances(seen).argmax(1)
+            true = np.argsort(-(x[:held] @ seen.T), axis=1)[:, :close]
+            rank = np.argsort(np.argsort(-self.router.chances(x[:held]), axis=1), axis=1)
+            needed = np.sort(np.take_along_axis(rank, home[true], 1).ravel())
+            self.visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+    def route(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """The most probable parts of each vector, the most probable one first."""
+        return np.argsort(-self.router.chances(x), axis=1, kind="stable")[:, :visits].astype(np.int32)
+
+    def floors(self, names: np.ndarray, q: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """A score that each query's top rows reach, as the sample alone has that many in the parts best of each query."""
+        out = np.full(len(q), -np.inf)
+        for first in range(0, len(q), 256):
+            scores = q[first : first + 256] @ self.x.T
+            visited = np.zeros((len(scores), self.parts), bool)
+            np.put_along_axis(visited, best[first : first + 256], True, axis=1)
+            scores[(names[first : first + 256, None] == self.ids[None, :]) | ~visited[:, self.homes]] = -np.inf
+            if len(self.ids) > self.top:
+                out[first : first + 256] = np.partition(scores, len(self.ids) - self.top, axis=1)[:, len(self.ids) - self.top]
+        return out
+
+
+def best_of_block(names: np.ndarray, q: np.ndarray, visits: np.ndarray, floors: np.ndarray, ids: np.ndarray, parts: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
+    """(query, id, score) of each query's top rows in the parts it visits, of those that reach its floor.
+
+    x is sorted by part; visits says for each query which distinct parts, in that order, it visits.
+    """
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(parts)) + 1, [len(parts)]])
+    out: tuple[list, list, list] = ([], [], [])
+    size = np.abs(x).max() * x.shape[1]
+    for first in range(0, len(q), 256):
+        rows = slice(first, first + 256)
+        scores = np.full((len(q[rows]), len(ids)), -np.inf)
+        for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            asks = np.flatnonzero(visits[rows, k])
+            scores[asks, low:high] = q[rows][asks] @ x[low:high].T
+        scores[names[rows, None] == ids[None, :]] = -np.inf
+        n = min(top, len(ids))
+        floor = np.maximum(np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n], floors[rows])
+        # all that rounding could place among the best are scored again in one order of summation
+        slack = 1e-13 * size * (np.abs(q[rows]).max(1) + 1e-300)
+        a, b = np.nonzero((scores >= (floor - slack)[:, None]) & (scores > -np.inf))
+        exact = (x[b] * q[rows][a]).sum(1)
+        order = np.lexsort((ids[b], -exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = place < n
+        for column, values in zip(out, (names[rows][a], ids[b], exact), strict=True):
+            column.append(values[keep])
+    return tuple(np.concatenate(c) for c in out)
 
 
 def search(rows: DataFrame, queries: DataFrame, top: int = TOP, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -146,49 +201,51 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, recall: float =
     asked = clean(queries, key, vector)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    _, points = sample(every, SAMPLE_ROWS)
-    shared = spark.sparkContext.broadcast(learn(points, total, top, recall))
-    dims = points.shape[1]
+    names, points = sample(every, SAMPLE_ROWS)
+    shared = spark.sparkContext.broadcast(Parts(names, points, total, top, recall))
+    dims, kind = points.shape[1], every.schema["vector"].dataType.simpleString()
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, visits = shared.value
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 4096):
-                part = batch.slice(first, 4096)
-                chances = router.chances(matrix(part.column("vector")))
-                best = np.argsort(-chances, axis=1, kind="stable")[:, :visits].astype(np.int32)
-                offsets = pa.array(np.arange(len(best) + 1) * best.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))], ["id", "vector", "parts"])
-
-    def routed(df: DataFrame) -> DataFrame:
-        return df.where(F.size("vector") == dims).select("id", "vector").mapInArrow(route, "id long, vector array<double>, parts array<int>")
+            best = shared.value.route(matrix(batch.column("vector")), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.group[best]), batch.column("id"), pa.array(best), batch.column("vector")], ["cell", "id", "part", "vector"])
 
-    members = routed(every).select(F.col("parts")[0].alias("part"), "id", "vector")
-    visitors = routed(asked).select(F.explode("parts").alias("part"), "id", "vector")
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each group that a query visits, with the parts it visits there."""
+        parts = shared.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                q = matrix(part.column("vector"))
+                best = np.sort(parts.route(q, parts.visits), axis=1)
+                floors = parts.floors(part.column("id").to_numpy(zero_copy_only=False), q, best)
+                group = parts.group[best]
+                opens = np.ones(group.shape, bool)
+                opens[:, 1:] = group[:, 1:] != group[:, :-1]
+                owner, _ = np.nonzero(opens)
+                begins = np.append(np.flatnonzero(opens.ravel()), opens.size).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(best.ravel()))
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(group[opens]), part.column("id").take(rows), part.column("vector").take(rows), lists, pa.array(floors[owner])], ["cell", "id", "vector", "parts", "floor"])
+
+    def of_size(df: DataFrame) -> DataFrame:
+        return df.where(F.size("vector") == dims).select("id", "vector")
+
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("parts", "array<int>"), ("floor", "double"))}
+    members = of_size(every).mapInArrow(placed, f"cell int, id long, part int, vector {kind}").select("cell", "id", "part", "vector", nothing["parts"], nothing["floor"])
+    visitors = of_size(asked).mapInArrow(sent, f"cell int, id long, vector {kind}, parts array<int>, floor double").select("cell", "id", nothing["part"], "vector", "parts", "floor")
 
     def rank(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, x = held.column("id").to_numpy(), matrix(held.column("vector"))
-        names, q = asked.column("id").to_numpy(zero_copy_only=False), matrix(asked.column("vector"))
-        out: list[list[np.ndarray]] = [[], [], []]
-        size = np.abs(x).max() * dims
-        for first in range(0, len(q), 256):
-            scores = q[first : first + 256] @ x.T
-            scores[names[first : first + 256, None] == ids[None, :]] = -np.inf
-            n = min(top, len(ids))
-            floor = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
-            for k in range(len(scores)):
-                # all that rounding could place among the best are scored again in one order of summation
-                slack = 1e-13 * size * (np.abs(q[first + k]).max() + 1e-300)
-                near = np.flatnonzero((scores[k] >= floor[k] - slack) & (scores[k] > -np.inf))
-                exact = (x[near] * q[first + k]).sum(1)
-                order = np.lexsort((ids[near], -exact))[:n]
-                out[0].append(np.full(len(order), names[first + k]))
-                out[1].append(ids[near][order])
-                out[2].append(exact[order])
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
-
-    found = meet(members, visitors, "part", BLOCK_ROWS, SPLIT_ROWS, rank, "query_id long, vec_id long, score double")
+        part = held.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        lists = asked.column("parts")
+        visits = np.zeros((asked.num_rows, shared.value.parts), bool)
+        visits[np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)] = True
+        floors = asked.column("floor").to_numpy(zero_copy_only=False)
+        found = best_of_block(asked.column("id").to_numpy(zero_copy_only=False), matrix(asked.column("vector")), visits[:, np.unique(part)], floors, held.column("id").to_numpy()[order], part[order], matrix(held.column("vector"))[order], top)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    found = meet(members, visitors, "cell", BLOCK_ROWS, SPLIT_ROWS, rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

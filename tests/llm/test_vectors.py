@@ -91,7 +91,7 @@ def test_parts_are_balanced_and_cut_few_edges():
 def test_codes_bound_distances():
     rng = np.random.default_rng(3)
     x = pq.unit(rng.standard_normal((2000, 24)))
-    index = pq.Index(x, len(x))
+    index = pq.Index(x, len(x), 0.2**0.5)
     home, codes, error = index.place(x)
     cell = int(home[0])
     rows = np.flatnonzero(home == cell)
@@ -105,11 +105,60 @@ def low_rank(rank=3, n=6000, dims=64):
     return rng.standard_normal((n, rank)) @ rng.standard_normal((rank, dims)) + 0.02 * rng.standard_normal((n, dims))
 
 
-def test_no_link_is_lost_on_vectors_of_low_rank(spark):
-    x = low_rank()
+def uneven(n=6000, dims=64):
+    """A 1/k spectrum, every other row near another one."""
+    rng = np.random.default_rng(13)
+    scale = np.sqrt(1 / np.arange(1, dims + 1))
+    x = rng.standard_normal((n, dims)) * scale
+    x[1::2] = x[::2] + rng.standard_normal((n // 2, dims)) * scale * 0.5 * rng.random((n // 2, 1))
+    return x
+
+
+def planted(n=6000, dims=64):
+    """Even in all directions, every tenth row near another one."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((n, dims))
+    x[::10] = x[1::10] + rng.standard_normal((n // 10, dims)) * 0.6 * rng.random((n // 10, 1))
+    return x
+
+
+@pytest.mark.parametrize("made", [low_rank, uneven, planted])
+def test_links_found_of_all_links(spark, made):
+    x = made().astype(np.float32).astype(np.float64)
     ids = np.random.default_rng(12).permutation(len(x))
-    u = pq.unit(x.astype(np.float32).astype(np.float64))
+    u = pq.unit(x)
     expected = (u @ u.T >= 0.9).sum(1) - 1
     rows = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<float>")
-    got = {r.vec_id: r.n_links for r in pq.near_vectors(rows).collect()}
-    assert [got[int(i)] for i in ids] == expected.tolist()
+    for reach, least in ((pq.REACH, 0.999), (None, 1.0)):
+        got = {r.vec_id: r.n_links for r in pq.near_vectors(rows, reach=reach).collect()}
+        assert all(got[int(i)] <= n for i, n in zip(ids, expected, strict=True))
+        assert sum(got.values()) >= least * expected.sum() > 0
+
+
+def test_probes_are_few_and_search_scans_few_rows(spark):
+    """The figures that the README gives, with their bounds: shares of the rows that a vector or a query is compared with."""
+    for n in (10_000, 50_000):
+        x = planted(n)
+        sample = x[np.random.default_rng(1).permutation(n)[: pq.SAMPLE_ROWS]]
+        index = pq.Index(pq.unit(sample), n, 0.2**0.5)
+        home, _, _ = index.place(pq.unit(x))
+        share = (index.probes(pq.unit(x[:2000]), home[:2000]) * np.bincount(home, minlength=len(index.centres))).sum(1).mean() / n
+        parts = partitions.Parts(np.arange(len(sample)), sample, n, 20, partitions.RECALL)
+        of = parts.route(x, 1)[:, 0]
+        q = x[:400]
+        visited = parts.route(q, parts.visits)
+        scanned = np.bincount(of, minlength=parts.parts)[visited].sum(1).mean() / n
+        true = np.argsort(-(q @ x.T), axis=1)[:, 1:21]
+        recall = np.mean([np.isin(of[t], v).mean() for t, v in zip(true, visited, strict=True)])
+        print(f"{n} rows: {len(index.centres)} lists, {share:.3f} of the rows probed; {parts.parts} parts, {parts.visits} visited, {scanned:.3f} of the rows scanned, recall {recall:.3f}")
+        assert share < 0.15 and scanned < 0.65 and recall >= 0.9
+
+
+def test_the_queries_themselves(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    links = pq.op10_pq(spark, sf)
+    assert links.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert {r.vec_id for r in links.collect()} == {r.vec_id for r in rows}
+    found = partitions.op6_partitions(spark, sf)
+    assert found.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    assert {(r.query_id, r.rank) for r in found.collect()} == {(r.vec_id, k) for r in rows if r.vec_id % 20 == 0 for k in range(1, 21)}
