@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import regex
 from pyspark.sql import Column
@@ -31,19 +34,38 @@ def _plain_letters() -> dict[str, str]:
 _PLAIN = _plain_letters()
 
 
+#: Whether case counts just now; accents never do.
+_CASED: contextvars.ContextVar[bool] = contextvars.ContextVar("cased", default=False)
+_UPPER = {k.upper(): v.upper() for k, v in _PLAIN.items() if len(k.upper()) == 1 and k.upper() != k}
+_UPPER_SPELLED = {"ẞ": "SS"} | {k.upper(): v.upper() for k, v in SPELLED.items() if len(k.upper()) == 1 and k.upper() != k}
+
+
+@contextlib.contextmanager
+def casing(counts: bool) -> Iterator[None]:
+    """Expressions and query texts made within keep the case if it counts."""
+    held = _CASED.set(counts)
+    try:
+        yield
+    finally:
+        _CASED.reset(held)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents.  Texts of ASCII alone, told by their length in bytes, skip the rest."""
-    plain = F.translate(F.lower(text), "".join(_PLAIN), "".join(_PLAIN.values()))
-    for letter, spelled in SPELLED.items():
-        plain = F.replace(plain, F.lit(letter), F.lit(spelled))
+    """Lower case, unless case counts, without accents.  Texts of ASCII alone, told by their length in bytes, skip the rest."""
+    low = text if _CASED.get() else F.lower(text)
+    letters, spelled = (_PLAIN | _UPPER, SPELLED | _UPPER_SPELLED) if _CASED.get() else (_PLAIN, SPELLED)
+    plain = F.translate(low, "".join(letters), "".join(letters.values()))
+    for letter, several in spelled.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(several))
     plain = F.regexp_replace(plain, r"[̀-ͯ]", "")
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(plain)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(plain)
 
 
 def fold_text(text: str) -> str:
-    plain = "".join(_PLAIN.get(c, c) for c in text.lower())
-    for letter, spelled in SPELLED.items():
-        plain = plain.replace(letter, spelled)
+    letters, spelled = (_PLAIN | _UPPER, SPELLED | _UPPER_SPELLED) if _CASED.get() else (_PLAIN, SPELLED)
+    plain = "".join(letters.get(c, c) for c in (text if _CASED.get() else text.lower()))
+    for letter, several in spelled.items():
+        plain = plain.replace(letter, several)
     return re.sub("[̀-ͯ]", "", plain)
 
 

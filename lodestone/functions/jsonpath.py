@@ -1,16 +1,20 @@
 """Leaves of nested JSON at a dotted path, through arrays of any depth.
 
-Values are VARIANT.  Named keys step into objects; arrays are passed through wherever they stand.  Arrays within arrays
-are flattened as deeply as DEPTH; the recursive query json_leaves() has no such bound.
+Values are VARIANT.  Named keys step into objects; arrays are passed through wherever they stand, however deep.  The
+recursive query json_leaves() gives the same leaves as rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, for bodies that use it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 def variant(column: Column, kind: str) -> Column:
     return column if kind == "variant" else F.try_parse_json(column)
@@ -20,23 +24,31 @@ def path_text(path: list[str]) -> str:
     return "$" + "".join('["' + p.replace("\\", "\\\\").replace('"', '\\"') + '"]' for p in path)
 
 
-def _flat(values: Column, depth: int = DEPTH) -> Column:
-    """An array of variants with inner arrays taken apart."""
+def _is_array(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("ARRAY")
+
+
+def _flat(values: Column) -> Column:
+    """An array of variants with inner arrays taken apart: once for all rows, as often as it takes where more are left."""
+
+    def apart(held: Column) -> Column:
+        return F.flatten(F.transform(held, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
 
-    def inner(v: Column) -> Column:
-        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    def deeper(held: Column) -> Column:
+        # no more arrays stand in one another than opening brackets in a value
+        brackets = F.array_max(F.transform(held, lambda v: F.length(F.regexp_replace(F.to_json(v), r"[^\[]", ""))))
+        return F.reduce(F.sequence(F.lit(1), brackets), held, lambda found, _: F.when(F.exists(found, _is_array), apart(found)).otherwise(found))
 
-    for _ in range(depth):
-        values = F.flatten(F.transform(values, inner))
-    return values
+    once = apart(values)
+    return let(once, lambda held: F.when(F.exists(held, _is_array), deeper(held)).otherwise(held))
 
 
-def leaves(value: Column, path: list[str], depth: int = DEPTH) -> Column:
+def leaves(value: Column, path: list[str]) -> Column:
     """The values at the path as an array of variants: no arrays, null where JSON has null."""
-    found = _flat(F.filter(F.array(value), lambda v: v.isNotNull()), depth)
+    found = _flat(F.filter(F.array(value), lambda v: v.isNotNull()))
     for name in path:
         found = F.transform(found, lambda v: F.try_variant_get(v, path_text([name]), "variant"))
-        found = _flat(F.filter(found, lambda v: v.isNotNull()), depth)
+        found = _flat(F.filter(found, lambda v: v.isNotNull()))
     return found
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQueryError, UnsupportedError
-from ..functions.dates import CALENDAR, calendar_floor, instant_micros, local_to_utc, micros, utc, zone_name
+from ..functions.dates import CALENDAR, calendar_floor, date_format, date_text, floor_micros, instant, instant_micros, local_to_utc, micros, utc, zone_name
 from ..functions.patterns import java_regex
 from ..sources.model import SearchModel
 
@@ -31,6 +31,12 @@ TAKES = {
 } | {m: set() for m in METRICS}
 
 
+#: Empty buckets that a histogram fills in at most; more raise an error.
+MAX_GRID = 1_000_000
+#: The least length of calendar units in microseconds (fixed values).
+UNIT_MICROS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 23 * 3600 * 10**6, "week": 167 * 3600 * 10**6, "month": 28 * 86400 * 10**6, "quarter": 89 * 86400 * 10**6, "year": 365 * 86400 * 10**6}
+
+
 def normalised(aggs) -> dict[str, dict]:
     if aggs is None:
         return {}
@@ -57,6 +63,7 @@ def kind_of(name: str, options: dict) -> tuple[str, dict]:
     if unknown := set(merged) - allowed:
         raise InvalidQueryError(f"unknown aggregation options: {', '.join(sorted(unknown))}")
     merged.setdefault("field", name)
+    merged["kind"] = kind
     if "." in merged["field"]:
         raise UnsupportedError("aggregations take no JSON path")
     return kind, merged
@@ -67,6 +74,9 @@ def values(df: DataFrame, model: SearchModel, options: dict, unique: bool = True
     name = options["field"]
     kind = model.column_type(name)
     column, missing = F.col(f"`{name}`"), options.get("missing")
+    if missing is not None and "date" in options.get("kind", ""):
+        at = instant(missing, zone_name(options.get("time_zone")))
+        missing = at.date() if kind.removeprefix("array<").startswith("date") else at
     if kind.startswith("array"):
         inner = F.filter(F.coalesce(column, F.array().cast(kind)), lambda x: x.isNotNull())
         inner = F.array_distinct(inner) if unique else inner
@@ -129,24 +139,33 @@ def _number_text(x: float) -> str:
 
 
 def ranges(df: DataFrame, model: SearchModel, options: dict, dates: bool) -> DataFrame:
-    """key, from, to, doc_count for half-open ranges, all in one pass; a document counts once in each."""
+    """key, from, to, doc_count for half-open ranges, all in one pass; a document counts once in each.
+
+    Ranges of dates have from_as_string and to_as_string too, in the zone and format asked for; bounds without an offset
+    are local to that zone.
+    """
+    zone, style = (zone_name(options.get("time_zone")), date_format(options.get("format"))) if dates else ("UTC", "")
     rows, of = values(df, model, options)
+    if dates and not of.startswith(("date", "timestamp")):
+        raise InvalidQueryError(f"{options['field']!r} holds no dates")
     said = options.get("ranges")
     if not isinstance(said, (list, tuple)) or not said:
         raise InvalidQueryError("ranges takes a list of ranges")
     bounds = []
     for r in said:
-        if not isinstance(r, dict) or set(r) - {"from", "to", "key"}:
-            raise InvalidQueryError("a range takes from, to and key")
-        low, high = ((None if r.get(k) is None else instant_micros(r[k]) / 1000 if dates else float(r[k])) for k in ("from", "to"))
-        text = (lambda x: "*" if x is None else dt.datetime.fromtimestamp(x / 1000, dt.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")) if dates else _number_text
-        bounds.append((str(r.get("key") or f"{text(low)}-{text(high)}"), low, high))
+        if not isinstance(r, dict) or set(r) - {"from", "to", "key"} or not isinstance(r.get("key", ""), (str, type(None))):
+            raise InvalidQueryError("a range takes from, to and a text as key")
+        low, high = ((None if r.get(k) is None else instant_micros(r[k], zone) / 1000 if dates else float(r[k])) for k in ("from", "to"))
+        texts = [None if x is None else date_text(round(x * 1000), zone, style) if dates else str(x) for x in (low, high)]
+        bounds.append((r.get("key") or "-".join(t or "*" for t in texts), low, high, *texts))
     bounds.sort(key=lambda b: (-math.inf if b[1] is None else b[1], math.inf if b[2] is None else b[2]))
     x = F.unix_micros(utc(F.col("value"), of)) / 1000 if dates else F.col("value").cast("double")
-    tests = [(F.lit(True) if low is None else x >= low) & (F.lit(True) if high is None else x < high) for _, low, high in bounds]
+    tests = [(F.lit(True) if low is None else x >= low) & (F.lit(True) if high is None else x < high) for _, low, high, _, _ in bounds]
     flags = rows.groupBy(model.pk).agg(*(F.max(t.cast("int")).alias(f"r{k}") for k, t in enumerate(tests))) if model.column_type(options["field"]).startswith("array") else rows.select(*(t.cast("int").alias(f"r{k}") for k, t in enumerate(tests)))
     sums = flags.agg(*(F.coalesce(F.sum(f"r{k}"), F.lit(0)).cast("long").alias(f"r{k}") for k in range(len(tests))))
-    each = F.array(*(F.struct(F.lit(key).alias("key"), F.lit(low).cast("double").alias("from"), F.lit(high).cast("double").alias("to"), F.col(f"r{k}").alias("doc_count")) for k, (key, low, high) in enumerate(bounds)))
+    shown = [{"key": key, "from": low, "to": high} | ({"from_as_string": first, "to_as_string": last} if dates else {}) for key, low, high, first, last in bounds]
+    kinds = {"from": "double", "to": "double"}
+    each = F.array(*(F.struct(*(F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in b.items()), F.col(f"r{n}").alias("doc_count")) for n, b in enumerate(shown)))
     return sums.select(F.explode(each).alias("b")).select("b.*")
 
 
@@ -158,6 +177,25 @@ def _bounds(options: dict, name: str, convert) -> tuple | None:
     return tuple(None if v is None else convert(v) for v in (low, high))
 
 
+def _date_bounds(options: dict, name: str, unit: str | None, step: int | None, zone: str) -> tuple[int | None, int | None]:
+    """Both bounds in microseconds, rounded to the grid without its offset."""
+    said = options.get(name) or {}
+    if not isinstance(said, dict) or set(said) - {"min", "max"}:
+        raise InvalidQueryError(f"{name} of dates takes min and max")
+    for v in said.values():
+        if isinstance(v, float) and v != int(v):
+            raise InvalidQueryError("bounds in milliseconds are whole numbers")
+    low, high = (None if said.get(k) is None else instant_micros(said[k], zone) for k in ("min", "max"))
+    if low is not None and high is not None and low > high:
+        raise InvalidQueryError(f"min of {name} is above max")
+    return tuple(None if v is None else floor_micros(v, unit, step, zone) for v in (low, high))
+
+
+def _bounded_grid(ends: DataFrame, width: Column, step: int) -> DataFrame:
+    """ends, or an error if the grid between them has more than MAX_GRID buckets: one task makes it."""
+    return ends.where(F.when(width / step <= MAX_GRID, True).otherwise(F.raise_error(F.lit(f"empty buckets need a grid of over {MAX_GRID}: use min_doc_count 1 or a larger interval")).cast("boolean")))
+
+
 def histogram(df: DataFrame, model: SearchModel, options: dict) -> DataFrame:
     """key, doc_count on the grid ordinal * interval + offset, with empty buckets between the ends."""
     rows, of = values(df, model, options)
@@ -183,7 +221,8 @@ def histogram(df: DataFrame, model: SearchModel, options: dict) -> DataFrame:
         if extended:
             cut = [None if e is None else math.floor((e - offset) / interval) for e in extended]
             ends = ends.select(F.least("low", F.lit(cut[0]).cast("long")).alias("low"), F.greatest("high", F.lit(cut[1]).cast("long")).alias("high"))
-        grid = ends.where("low is not null and high is not null and low <= high").select(F.explode(F.sequence("low", "high")).alias("at"))
+        ends = _bounded_grid(ends.where("low is not null and high is not null and low <= high"), F.col("high").cast("double") - F.col("low"), 1)
+        grid = ends.select(F.explode(F.sequence("low", "high")).alias("at"))
         counts = grid.join(counts, "at", "left").select("at", F.coalesce("doc_count", F.lit(0).cast("long")).alias("doc_count"))
     counts = counts.where(F.col("doc_count") >= least).select((F.col("at") * F.lit(interval) + offset).alias("key"), "doc_count")
     return counts.orderBy(*_ordered(options.get("order"), {"_key": "asc"}))
@@ -198,7 +237,9 @@ def date_histogram(df: DataFrame, model: SearchModel, options: dict) -> DataFram
     unit = CALENDAR.get(given[0]) if not options.get("fixed_interval") else None
     if options.get("calendar_interval") and not unit:
         raise InvalidQueryError(f"{given[0]!r} is no calendar unit")
-    shift = micros(options["offset"]) if options.get("offset") else 0
+    style = date_format(options.get("format"))
+    said = options.get("offset") or 0
+    shift = round(said * 1000) if isinstance(said, (int, float)) else micros(said)
     step = None if unit else micros(given[0])
     if step is not None and step <= 0:
         raise InvalidQueryError("interval is above 0")
@@ -212,22 +253,23 @@ def date_histogram(df: DataFrame, model: SearchModel, options: dict) -> DataFram
 
     rows, of = values(df, model, options)
     rows = rows.select(model.pk, floor(utc(F.col("value"), of)).alias("at"))
-    hard, extended = (_bounds(options, k, lambda v: F.timestamp_micros(F.lit(instant_micros(v)))) for k in ("hard_bounds", "extended_bounds"))
-    if hard:
-        if hard[0] is not None:
-            rows = rows.where(F.col("at") >= calendar_floor(hard[0], unit, zone) if unit else F.col("at") >= hard[0])
-        if hard[1] is not None:
-            rows = rows.where(F.col("at") < hard[1])
+    hard, extended = (_date_bounds(options, k, unit, step, zone) for k in ("hard_bounds", "extended_bounds"))
+    if any(e is not None and h is not None and (e < h if k == 0 else e > h) for k, (e, h) in enumerate(zip(extended, hard, strict=True))):
+        raise InvalidQueryError("extended_bounds lie within hard_bounds")
+    # bounds are rounded as values are, without the offset, and hold for the keys that are shown
+    for limit, test in zip(hard, (lambda k, v: k >= v, lambda k, v: k < v), strict=True):
+        if limit is not None:
+            rows = rows.where(test(F.unix_micros("at") + shift, F.lit(limit)))
     if model.column_type(options["field"]).startswith("array"):
         rows = rows.distinct()
     counts = rows.groupBy("at").agg(F.count("*").alias("doc_count"))
     least = options.get("min_doc_count", 0)
     if least == 0:
         ends = counts.agg(F.min("at").alias("low"), F.max("at").alias("high"))
-        if extended:
-            cut = [F.lit(None).cast("timestamp") if e is None else (calendar_floor(e, unit, zone) if unit else F.timestamp_micros(F.floor((F.unix_micros(e) - origin) / F.lit(step)) * F.lit(step) + origin)) for e in extended]
-            ends = ends.select(F.least("low", cut[0]).alias("low"), F.greatest("high", cut[1]).alias("high"))
+        cut = [F.lit(None).cast("timestamp") if e is None else F.timestamp_micros(F.lit(e)) for e in extended]
+        ends = ends.select(F.least("low", cut[0]).alias("low"), F.greatest("high", cut[1]).alias("high"))
         ends = ends.where("low is not null and high is not null and low <= high")
+        ends = _bounded_grid(ends, F.unix_micros("high") - F.unix_micros("low"), step or UNIT_MICROS[unit])
         if unit:
             every = {"quarter": "INTERVAL 3 MONTHS", "week": "INTERVAL 7 DAYS"}.get(unit, f"INTERVAL 1 {unit.upper()}")
             if unit in ("second", "minute", "hour"):
@@ -245,8 +287,9 @@ def date_histogram(df: DataFrame, model: SearchModel, options: dict) -> DataFram
     local = F.from_utc_timestamp("key", zone)
     away = F.floor((F.unix_micros(local) - F.unix_micros("key")) / F.lit(60_000_000)).cast("long")
     sign = F.when(away < 0, "-").otherwise("+")
-    label = F.when(F.lit(zone == "UTC"), "Z").otherwise(F.concat(sign, F.lpad(F.floor(F.abs(away) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(away) % 60).cast("string"), 2, "0")))
-    return counts.select("key", F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS"), label).alias("key_as_string"), "doc_count")
+    label = F.when(away == 0, "Z").otherwise(F.concat(sign, F.lpad(F.floor(F.abs(away) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(away) % 60).cast("string"), 2, "0")))
+    shown = F.unix_millis("key").cast("string") if style == "epoch_millis" else F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS"), label)
+    return counts.select("key", shown.alias("key_as_string"), "doc_count")
 
 
 def aggregate(df: DataFrame, model: SearchModel, name: str, options: dict, dictionary: DataFrame) -> tuple[str, DataFrame]:
@@ -280,10 +323,11 @@ def buckets(kind: str, facet: DataFrame, options: dict) -> dict:
             bucket |= {"key": _epoch(key), "key_as_string": r.get("key_as_string") or key.isoformat(timespec="milliseconds") + "Z"}
         elif isinstance(key, dt.date):
             bucket |= {"key": _epoch(dt.datetime(key.year, key.month, key.day)), "key_as_string": f"{key.isoformat()}T00:00:00.000Z"}
-        bucket |= {k: r[k] for k in ("from", "to") if r.get(k) is not None}
+        bucket |= {k: r[k] for k in ("from", "to", "from_as_string", "to_as_string") if r.get(k) is not None}
         out.append(bucket)
     if options.get("keyed"):
-        return {"buckets": {str(b.get("key_as_string", b["key"])): b for b in out}}
+        named = {str(b.get("key_as_string", b["key"])): b for b in out}
+        return {"buckets": {n: {k: v for k, v in b.items() if k != "key"} for n, b in named.items()} if kind in ("ranges", "date_ranges") else named}
     found: dict = {"buckets": out}
     if kind == "terms":
         found |= {"doc_count_error_upper_bound": 0, "sum_other_doc_count": rows[0]["sum_other_doc_count"] if rows else 0}

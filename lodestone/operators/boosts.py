@@ -99,6 +99,13 @@ def by_condition(model: SearchModel, option: dict | None) -> list[Column]:
     return out
 
 
+def _span(value, name: str) -> int:
+    """An interval in microseconds: a text or a timedelta, or 0."""
+    if isinstance(value, bool) or not isinstance(value, (str, dt.timedelta)) and value != 0:
+        raise InvalidQueryError(f"recency's {name} is an interval such as 7d")
+    return micros(value)
+
+
 def by_age(model: SearchModel, option: dict | None) -> list[tuple[Column, float]]:
     """boost_by_recency: (function, factor) of each field, falling from its factor with the distance to origin."""
     out = []
@@ -109,7 +116,7 @@ def by_age(model: SearchModel, option: dict | None) -> list[tuple[Column, float]
         shape, factor, decay = options.get("function", "gauss"), float(options.get("factor", 1)), float(options.get("decay", 0.5))
         if shape not in ("gauss", "exp", "linear") or not 0 < decay < 1 or factor < 0:
             raise InvalidQueryError("recency takes gauss, exp or linear, a decay between 0 and 1 and a factor from 0")
-        scale, offset = micros(options["scale"]), micros(options.get("offset", 0))
+        scale, offset = _span(options.get("scale"), "scale"), _span(options.get("offset", 0), "offset")
         if scale <= 0 or offset < 0:
             raise InvalidQueryError("recency takes a scale above 0 and an offset from 0")
         origin = instant_micros(options.get("origin") or dt.datetime.now(dt.UTC))

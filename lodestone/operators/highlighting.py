@@ -30,48 +30,60 @@ def encoded(text: Column) -> Column:
     return text
 
 
-def marked(text: Column, node: Node, tag: str = TAG, html: bool = False) -> Column:
-    """The text with its matched spans marked, overlapping ones as one; null where nothing matches."""
-    tail, clean = closing(tag), (encoded if html else (lambda x: x))
+def parts(text: Column, node: Node) -> Column:
+    """The text's words and what stands between them, in order, as (text, open, close, hit): whether a mark begins or ends
+    there, and whether it holds this part.  Overlapping spans are one mark.  Null where nothing matches."""
     pieces = F.regexp_extract_all(text, F.lit(TOKEN_RE), F.lit(0))
     gaps = F.split(text, TOKEN_RE, -1)
 
+    def part(x: Column, begins: Column, ends: Column, hit: Column) -> Column:
+        return F.struct(x.alias("text"), begins.alias("open"), ends.alias("close"), hit.alias("hit"))
+
     def built(words: Column) -> Column:
         folded = F.transform(words, lambda w: F.regexp_replace(fold(w), "[️⃣]", ""))
         return let(let(folded, node.spans), lambda spans: let(gaps, lambda between: drawn(words, between, spans)))
 
     def drawn(words: Column, between: Column, spans: Column) -> Column:
+        no = F.lit(False)
+
         def one(w: Column, i: Column) -> Column:
             at = i + 1
+            onward = F.exists(spans, lambda s: (s["s"] <= at) & (at < s["e"]))
             begins = F.exists(spans, lambda s: s["s"] == at) & ~F.exists(spans, lambda s: (s["s"] < at) & (at <= s["e"]))
-            ends = F.exists(spans, lambda s: s["e"] == at) & ~F.exists(spans, lambda s: (s["s"] <= at) & (at < s["e"]))
-            return F.concat(F.when(begins, tag).otherwise(""), clean(w), F.when(ends, tail).otherwise(""), clean(F.get(between, i + 1)))
+            ends = F.exists(spans, lambda s: s["e"] == at) & ~onward
+            held = F.exists(spans, lambda s: (s["s"] <= at) & (at <= s["e"]))
+            return F.array(part(w, begins, ends, held), part(F.get(between, i + 1), no, no, onward))
 
-        whole = F.concat(clean(F.get(between, F.lit(0))), F.array_join(F.transform(words, one), ""))
+        whole = F.concat(F.array(part(F.get(between, F.lit(0)), no, no, no)), F.flatten(F.transform(words, one)))
         return F.when(F.size(spans) > 0, whole)
 
     return let(pieces, built)
 
 
-def whole_marked(text: Column, condition: Column, tag: str = TAG, html: bool = False) -> Column:
-    """The whole field between tags where a whole-field mode matches."""
-    return F.when(condition, F.concat(F.lit(tag), encoded(text) if html else text, F.lit(closing(tag))))
-
-
-def fragments(marked_text: str | None, tag: str, size: int | None, number: int) -> list[str]:
-    """Parts of a marked text of a page around its marks: whole marks, whole graphemes, at most so many."""
-    if marked_text is None:
-        return []
-    if not size or number == 0:
-        return [marked_text]
-    tail = closing(tag)
-    parts = marked_text.split(tag)
-    units: list[tuple[str, bool]] = [(g, False) for g in regex.findall(r"\X", parts[0])]
-    for part in parts[1:]:
-        inner, _, rest = part.partition(tail)
-        units.append((inner, True))
-        units += [(g, False) for g in regex.findall(r"\X", rest)]
+def drawn(found: Column, tag: str = TAG, html: bool = False) -> Column:
+    """parts() as one text with its marks."""
+    tail, clean = closing(tag), (encoded if html else (lambda x: x))
+    return F.array_join(F.transform(found, lambda p: F.concat(F.when(p["open"], tag).otherwise(""), clean(p["text"]), F.when(p["close"], tail).otherwise(""))), "")
+
+
+def whole(text: Column, condition: Column) -> Column:
+    """The whole field as one marked part where a whole-field mode matches."""
+    yes = F.lit(True)
+    return F.when(condition, F.array(F.struct(text.alias("text"), yes.alias("open"), yes.alias("close"), yes.alias("hit"))))
+
+
+def fragments(found: list[dict], tag: str, size: int, number: int, html: bool = False) -> list[str]:
+    """Cuts of the parts of a page's text around its marks: whole marks, whole graphemes, at most so many."""
+    units: list[tuple[str, bool]] = []
+    for p in found:
+        if p["hit"] and not p["open"]:
+            units[-1] = (units[-1][0] + p["text"], True)
+        elif p["hit"]:
+            units.append((p["text"], True))
+        else:
+            units += [(g, False) for g in regex.findall(r"\X", p["text"])]
     length = [len(regex.findall(r"\X", u)) if hit else 1 for u, hit in units]
+    clean = (lambda u: "".join(ENTITIES.get(c, c) for c in u)) if html else (lambda u: u)
     out, covered = [], -1
     for k, (_, hit) in enumerate(units):
         if not hit or k <= covered or len(out) == number:
@@ -89,5 +101,10 @@ def fragments(marked_text: str | None, tag: str, size: int | None, number: int)
             if room == before:
                 break
         covered = high
-        out.append("".join(f"{tag}{u}{tail}" if h else u for u, h in units[low : high + 1]))
+        out.append("".join(f"{tag}{clean(u)}{closing(tag)}" if h else clean(u) for u, h in units[low : high + 1]))
     return out
+
+
+def ansi(text: Column, node: Node, wrap: str = "\x1b[1m") -> Column:
+    """The text with its matched spans between a terminal's escape sequence and its reset."""
+    return F.array_join(F.transform(parts(text, node), lambda p: F.concat(F.when(p["open"], wrap).otherwise(""), p["text"], F.when(p["close"], "\x1b[0m").otherwise(""))), "")

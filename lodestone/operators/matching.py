@@ -8,12 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQueryError, UnsupportedError
-from ..functions.analysis import fold, fold_text, query_tokens
+from ..functions.analysis import casing, fold, fold_text, query_tokens
 from ..sources.model import TEXT_MODES, Field
 from . import spans as S
 from .spans import Node
 
 
+#: Modes that can't be combined with misspellings that a search asks for.
+UNFUZZY = ("word_start", "word_middle", "word_end", "text_start", "text_middle", "text_end")
+
+
 @dataclass(frozen=True)
 class Misspellings:
     """Edits allowed in words: how many, after how many fixed letters, in which fields, and when."""
@@ -77,10 +81,10 @@ def text_condition(mode: str, column: Column, term: str) -> Column:
     """Whole-field modes: byte by byte for exact, folded for the others."""
     if mode == "exact":
         return F.coalesce(column == F.lit(term), F.lit(False))
-    wanted = fold_text(term)
+    with casing(False):
+        wanted, folded = fold_text(term), fold(column)
     if not wanted.strip():
         return F.lit(False)
-    folded = fold(column)
     found = {"text_start": folded.startswith(wanted), "text_middle": folded.contains(wanted), "text_end": folded.endswith(wanted)}[mode]
     return F.coalesce(found, F.lit(False))
 

@@ -63,12 +63,19 @@ def keyset_keys(order, model: SearchModel) -> list[tuple[str, bool]]:
 
 
 def after_condition(keys: list[tuple[str, bool]], values: list) -> Column:
-    """Rows behind the cursor: larger in the first key, or equal there and larger in the next, and so on."""
+    """Rows behind the cursor: behind it in the first key, or equal there and behind it in the next, and so on.
+
+    Nulls stand where sort_columns() puts them, last ascending and first descending.
+    """
     parts = []
     for k, (name, down) in enumerate(keys):
-        same = [F.col(f"`{n}`") == F.lit(v) for (n, _), v in zip(keys[:k], values, strict=False)]
-        column = F.col(f"`{name}`")
-        parts.append(functools.reduce(lambda a, b: a & b, [*same, column < F.lit(values[k]) if down else column > F.lit(values[k])]))
+        same = [F.col(f"`{n}`").eqNullSafe(F.lit(v)) for (n, _), v in zip(keys[:k], values, strict=False)]
+        column, value = F.col(f"`{name}`"), values[k]
+        if down:
+            behind = column.isNotNull() if value is None else column < F.lit(value)
+        else:
+            behind = F.lit(False) if value is None else (column > F.lit(value)) | column.isNull()
+        parts.append(functools.reduce(lambda a, b: a & b, [*same, behind]))
     return functools.reduce(lambda a, b: a | b, parts)
 
 
@@ -91,7 +98,9 @@ def decode(model: SearchModel, keys: list[tuple[str, bool]], cursor: str) -> lis
         raise InvalidQueryError("the cursor can't be read") from e
     if not fits:
         raise InvalidQueryError("the cursor belongs to another search")
-    return [_typed(v, model.column_type(n)) for v, (n, _) in zip(given, keys, strict=True)]
+    if any(v is None and n == model.pk for v, (n, _) in zip(given, keys, strict=True)):
+        raise InvalidQueryError("the cursor's values don't fit")
+    return [None if v is None else _typed(v, model.column_type(n)) for v, (n, _) in zip(given, keys, strict=True)]
 
 
 def _typed(value, kind: str):

@@ -63,9 +63,9 @@ class SourceFilter:
                 found, kept = self._part(f"{path}.{k}", v)
                 if kept:
                     inner[k] = found
-            return inner, bool(inner)
+            return inner, self._in(path) or bool(inner)
         if isinstance(value, list) and any(isinstance(v, (dict, list)) for v in value):
             parts = [self._part(path, v) for v in value]
-            inner = [f for f, kept in parts if kept]
-            return inner, bool(inner)
+            inner = [f for f, kept in parts if kept and not (isinstance(f, (dict, list)) and not f)]
+            return inner, self._in(path) or bool(inner)
         return value, self._in(path)

@@ -28,15 +28,19 @@ def idf(documents: int, holding: int) -> float:
     return math.log(1 + (documents - holding + 0.5) / (holding + 0.5))
 
 
-def bm25(words: list[Node], tokens: Column, found: Statistics, elide: bool, k1: float = K1, b: float = B) -> Column:
+def elided(word: Node, holding: int, documents: int) -> bool:
+    return not word.boosted and documents > 0 and holding / documents >= DENSE
+
+
+def bm25(words: list[Node], tokens: Column, length: Column, found: Statistics, elide: bool, k1: float = K1, b: float = B) -> Column:
     """The sum over words of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)).
 
     Each word of the expression counts as one term, however many spellings it takes in.
     """
-    length = F.size(tokens).cast("double")
+    length = length.cast("double")
     total = F.lit(0.0)
     for word, holding in zip(words, found.frequencies, strict=True):
-        if elide and not word.boosted and found.documents and holding / found.documents >= DENSE:
+        if elide and elided(word, holding, found.documents):
             continue
         tf = word.count(tokens).cast("double")
         weight = idf(found.documents, holding) * word.factor

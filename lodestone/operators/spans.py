@@ -17,15 +17,11 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidQueryError
 from ..functions.analysis import fold_text, query_tokens
+from ..functions.jsonpath import let
 
 Test = Callable[[Column], Column]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value worked out once, for bodies that use it inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def nothing() -> Column:
     return F.array().cast("array<struct<s:int,e:int>>")
 
@@ -74,6 +70,10 @@ class Node:
     #: Whether a document matches and how often, where that takes no spans.
     quick: Callable[[Column], Column] | None = None
     tally: Callable[[Column], Column] | None = None
+    #: Groups of tests: a document that matches holds, for each group, a token that passes one of its tests.  None: unknown.
+    needs: list[list[Test]] | None = None
+    #: Whether the places of tokens matter, or only which there are and how often.
+    positional: bool = True
 
     def words(self) -> list[Node]:
         return self.leaves or [self]
@@ -92,7 +92,7 @@ def token_node(test: Test, word: str | None = None) -> Node:
         return F.filter(F.transform(tokens, lambda x, i: F.when(test(x), span(i + 1, i + 1))), lambda x: x.isNotNull())
 
     quick = (lambda tokens: F.array_contains(tokens, F.lit(word))) if word is not None else (lambda tokens: F.exists(tokens, test))
-    return Node(spans, quick=quick, tally=lambda tokens: F.size(F.filter(tokens, test)))
+    return Node(spans, quick=quick, tally=lambda tokens: F.size(F.filter(tokens, test)), needs=[[test]], positional=False)
 
 
 def plain_node(word: str) -> Node:
@@ -131,7 +131,18 @@ def phrase_node(slots: list[Test | None], slop: int = 0) -> Node:
             found = joined(found, one)
         return found
 
-    return Node(loose if slop else exact)
+    return Node(loose if slop else exact, needs=[[t] for t in slots if t] or None)
+
+
+def _both(*nodes: Node) -> list[list[Test]] | None:
+    known = [n.needs for n in nodes if n.needs is not None]
+    return [group for groups in known for group in groups] if known else None
+
+
+def _either(nodes: list[Node]) -> list[list[Test]] | None:
+    if any(n.needs is None for n in nodes):
+        return None
+    return [[test for n in nodes for test in (min(n.needs, key=len) if n.needs else [])]]
 
 
 def pairs(left: Node, right: Node, make: Callable[[Column, Column], Column], keep: Callable[[Column, Column], Column]) -> Node:
@@ -141,7 +152,7 @@ def pairs(left: Node, right: Node, make: Callable[[Column, Column], Column], kee
 
         return F.array_distinct(let(right.spans(tokens), crossed))
 
-    return Node(spans, left.words() + right.words())
+    return Node(spans, left.words() + right.words(), needs=_both(left, right))
 
 
 def near_node(items: list[Node], distance: int, ordered: bool) -> Node:
@@ -162,7 +173,7 @@ def related(left: Node, right: Node, test: Callable[[Column, Column], Column], w
 
         return let(right.spans(tokens), kept)
 
-    return Node(spans, left.words())
+    return Node(spans, left.words(), needs=_both(left, right) if wanted else left.needs)
 
 
 RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
@@ -176,7 +187,7 @@ RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
 
 def kept_spans(inner: Node, keep: Callable[[Column, Column], Column]) -> Node:
     """The spans for which keep(span, number of tokens) holds."""
-    return Node(lambda tokens: let(F.size(tokens), lambda n: F.filter(inner.spans(tokens), lambda x: keep(x, n))), inner.words())
+    return Node(lambda tokens: let(F.size(tokens), lambda n: F.filter(inner.spans(tokens), lambda x: keep(x, n))), inner.words(), needs=inner.needs)
 
 
 def at_least_node(items: list[Node], needed: int) -> Node:
@@ -198,11 +209,12 @@ def at_least_node(items: list[Node], needed: int) -> Node:
             return functools.reduce(lambda a, b: a | b, hits)
         return functools.reduce(lambda a, b: a + b, [h.cast("int") for h in hits]) >= needed
 
-    return Node(spans, [w for i in items for w in i.words()], quick=quick)
+    needs = _both(*items) if needed >= len(items) else _either(items)
+    return Node(spans, [w for i in items for w in i.words()], quick=quick, needs=needs, positional=any(i.positional for i in items))
 
 
 def but_not_node(left: Node, right: Node) -> Node:
-    return Node(lambda tokens: F.when(~right.hit(tokens), left.spans(tokens)).otherwise(nothing()), left.words(), quick=lambda tokens: left.hit(tokens) & ~right.hit(tokens))
+    return Node(lambda tokens: F.when(~right.hit(tokens), left.spans(tokens)).otherwise(nothing()), left.words(), quick=lambda tokens: left.hit(tokens) & ~right.hit(tokens), needs=left.needs)
 
 
 def all_node() -> Node:
@@ -210,7 +222,7 @@ def all_node() -> Node:
 
 
 def none_node() -> Node:
-    return Node(lambda tokens: nothing(), quick=lambda tokens: F.lit(False), tally=lambda tokens: F.lit(0))
+    return Node(lambda tokens: nothing(), quick=lambda tokens: F.lit(False), tally=lambda tokens: F.lit(0), needs=[[]], positional=False)
 
 
 def boosted(inner: Node, factor: float) -> Node:

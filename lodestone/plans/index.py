@@ -1,24 +1,33 @@
 """A stored text index: tokens and lengths by row, postings, a dictionary and corpus counts.
 
-The inline plan tokenises a table as it is searched.  With an index the tokens are read instead, and words, prefixes and
-misspellings are looked up in the dictionary, so only postings of terms that match are read.
+The inline plan tokenises a table as it is searched.  With an index, words, prefixes and misspellings are looked up in the
+dictionary; only postings of the terms that match are read, and stored tokens only where the places of words matter, of
+documents that hold the words.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQueryError
-from ..functions.analysis import query_tokens, tokens
+from ..functions.analysis import casing, query_tokens, tokens
 from ..operators.scoring import B, K1
-from ..operators.spans import let
+from ..operators.spans import Node, Test, let
 from ..sources.model import SearchModel
 
-#: Expanded terms that are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST_TERMS = 10_000
+#: Expanded terms that are looked up at most; searches that take in more read the table instead.
+MAX_TERMS = 10_000
+#: Terms that are compared in the scan, where they prune row groups; more are broadcast.
+FEW_TERMS = 200
+#: Documents that are broadcast at most to the tables they are looked up in; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -30,6 +39,94 @@ class TextIndex:
     dictionary: DataFrame
     corpus: DataFrame
     pk: str
+    cased: bool = False
+
+    @functools.cached_property
+    def counts(self) -> dict[str, tuple[int, float]]:
+        """Documents and mean length of each field."""
+        return {r.field: (r.n, r["mean"] or 1.0) for r in self.corpus.collect()}
+
+    def covers(self, fields: list[str], cased: bool) -> bool:
+        return self.cased == cased and set(fields) <= set(self.counts)
+
+    def matching(self, name: str, tests: list[Test]) -> list[tuple[str, int, list[bool]]] | None:
+        """(term, documents, which tests it passes) of the field's terms that pass a test; None if they are too many."""
+        if not tests:
+            return []
+        term = F.col("term")
+        known = self.dictionary.where(F.col("field") == name).where(functools.reduce(lambda a, b: a | b, [t(term) for t in tests]))
+        rows = known.select("term", "df", F.array(*(F.coalesce(t(term), F.lit(False)) for t in tests)).alias("passed")).limit(MAX_TERMS + 1).collect()
+        return None if len(rows) > MAX_TERMS else [(r.term, r.df, r.passed) for r in rows]
+
+    def bags(self, name: str, terms: list[str]) -> DataFrame:
+        """(pk, tokens, dl): of each document that holds any of the terms these terms, as often as it does, and its length."""
+        postings = self.postings.where(F.col("field") == name)
+        if len(terms) <= FEW_TERMS:
+            held = postings.where(F.col("term").isin(terms))
+        else:
+            held = postings.join(F.broadcast(postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        if len(terms) == 1:
+            return held.select("pk", F.array_repeat("term", F.col("tf").cast("int")).alias("tokens"), "dl")
+        return held.groupBy("pk").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("tokens"), F.first("dl").alias("dl"))
+
+    def tokens_of(self, name: str, keys: DataFrame, most: int) -> DataFrame:
+        """(pk, tokens, dl) of the documents in keys (pk), of which there are so many at most."""
+        return self.rows.where(F.col("field") == name).join(held_small(keys, most), "pk", "left_semi").select("pk", "tokens", "dl")
+
+    def holding(self, name: str, word: Node, passed: dict[int, list[tuple[str, int]]]) -> int | DataFrame:
+        """How many documents hold a word: known, or one row (n) to be asked for."""
+        terms = {term: df for group in word.needs or [] for t in group for term, df in passed[id(t)]}
+        if not terms:
+            return 0
+        if len(terms) == 1 and not word.positional:
+            return next(iter(terms.values()))
+        found = documents_of(self, name, word)
+        return found.docs.where(word.hit(F.col("tokens"))).agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Found:
+    """The documents (pk, tokens, dl) that can match a node in a field, how many there are at most, and by the identity of
+    each of its tests the terms that pass it, with their documents.  The tokens are those that the node asks for, or all."""
+
+    docs: DataFrame
+    most: int
+    passed: dict[int, list[tuple[str, int]]]
+
+    def held(self) -> DataFrame:
+        return held_small(self.docs, self.most)
+
+
+def held_small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has few rows at most."""
+    return F.broadcast(df) if most <= MAX_BROADCAST_ROWS else df
+
+
+def any_test(tests: list[Test]) -> Test:
+    return lambda x: functools.reduce(lambda a, b: a | b, [F.coalesce(t(x), F.lit(False)) for t in tests]) if tests else F.lit(False)
+
+
+def documents_of(index: TextIndex, name: str, node: Node, whole: bool = False) -> Found | None:
+    """What the index has for a node in a field, with all tokens where their places matter or whole is asked for.  None if
+    it can't tell: the node may match without any of its words, or takes in too many terms."""
+    if node.needs is None:
+        return None
+    tests = list({id(t): t for group in [*node.needs, *(g for w in node.words() for g in w.needs or [])] for t in group}.values())
+    known = index.matching(name, tests)
+    if known is None:
+        return None
+    passed = {id(t): [(term, df) for term, df, flags in known if flags[k]] for k, t in enumerate(tests)}
+    each = [{term: df for t in group for term, df in passed[id(t)]} for group in node.needs]
+    most = min((sum(x.values()) for x in each), default=0)
+    terms = sorted({term for x in each for term in x})
+    if not most:
+        return Found(index.rows.select("pk", "tokens", "dl").limit(0), 0, passed)
+    if not (whole or node.positional):
+        return Found(index.bags(name, terms), sum(df for term, df, _ in known if term in set(terms)), passed)
+    bags = index.bags(name, terms)
+    for group in node.needs:
+        bags = bags.where(F.exists("tokens", any_test(group)))
+    return Found(index.tokens_of(name, bags.select("pk"), most), most, passed)
 
 
 def rows_of(model: SearchModel, fields: list[str]) -> DataFrame:
@@ -48,21 +145,57 @@ def postings_of(rows: DataFrame) -> DataFrame:
 
 
 def build_index(model: SearchModel, path: str, fields: list[str] | None = None) -> TextIndex:
-    """Writes the index under path: postings sorted by term within files, so that lookups prune row groups."""
+    """Writes the index under path: postings and terms sorted, so that look-ups prune files and row groups."""
     names = fields or model.text_fields()
-    rows = rows_of(model, names)
+    with casing(model.case_sensitive):
+        rows = rows_of(model, names)
     rows.write.mode("overwrite").partitionBy("field").parquet(f"{path}/rows")
     spark = model.df.sparkSession
     rows = spark.read.parquet(f"{path}/rows")
     postings_of(rows).repartitionByRange("field", "term", "pk").sortWithinPartitions("term", "pk").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/dictionary")
-    rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/corpus")
+    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/dictionary")
+    counted = {r.field: (r.n, r["mean"]) for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()}
+    spark.createDataFrame([(n, *counted.get(n, (0, None)), model.case_sensitive) for n in names], "field string, n long, mean double, cased boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
     return open_index(spark, path, model.pk)
 
 
 def open_index(spark: SparkSession, path: str, pk: str) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("rows", "postings", "dictionary", "corpus")), pk)
+    frames = [spark.read.parquet(f"{path}/{t}") for t in ("rows", "postings", "dictionary", "corpus")]
+    return TextIndex(*frames, pk, bool(frames[3].agg(F.max("cased")).first()[0]))
+
+
+_built: dict[tuple[str, str], TextIndex] = {}
+
+
+def session_index(model: SearchModel, key: str) -> TextIndex:
+    """The index of a model under a key, built at first use; it goes when the session ends.
+
+    It lies in the shared folder spark.checkpoint.dir, else in the warehouse; a local session without either gets a folder
+    of its own.
+    """
+    spark = model.df.sparkSession
+    name = (spark.sparkContext.applicationId, key)
+    if name not in _built:
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not top:
+            top = tempfile.mkdtemp(prefix="lodestone-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{top.rstrip('/')}/lodestone-index/{hashlib.sha256(key.encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
+        _built[name] = build_index(model, path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return _built[name]
+
+
+def fsck(index: TextIndex) -> DataFrame:
+    """(field, problem, n) of what doesn't fit together; no rows where all does."""
+    lengths = index.postings.groupBy("field", "pk").agg(F.sum("tf").alias("held"), F.max("dl").alias("said"))
+    bad = lengths.join(index.rows.select("field", "pk", "dl"), ["field", "pk"], "left").where("dl is null or held != dl or said != dl").select("field", F.lit("postings don't fit their row").alias("problem"))
+    terms = index.postings.groupBy("field", "term").agg(F.count("*").alias("held")).join(index.dictionary, ["field", "term"], "full").where("held is null or df is null or held != df")
+    counts = index.rows.groupBy("field").agg(F.count("*").alias("held"), F.avg("dl").alias("average")).join(index.corpus, "field", "full").where("held is distinct from nullif(n, 0) or abs(average - mean) > 1e-9")
+    every = bad.union(terms.select("field", F.lit("a term's documents don't fit the dictionary"))).union(counts.select("field", F.lit("documents don't fit the corpus counts")))
+    return every.groupBy("field", "problem").agg(F.count("*").alias("n"))
 
 
 def expanded(index: TextIndex, field: str, word: str, mode: str, reach: tuple[int, int] | None) -> DataFrame:
@@ -96,7 +229,7 @@ def postings_search(index: TextIndex, field: str, term: str, mode: str = "word",
     for k, word in enumerate(words):
         one = expanded(index, field, word, mode, reach).withColumn("word", F.lit(k))
         found = one if found is None else found.union(one)
-    few = found.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    few = found.limit(MAX_TERMS + 1).count() <= MAX_TERMS
     stats = index.corpus.where(F.col("field") == field).first()
     n, mean = (stats.n, stats["mean"] or 1.0) if stats else (0, 1.0)
     hits = index.postings.where(F.col("field") == field).join(F.broadcast(found) if few else found, "term")

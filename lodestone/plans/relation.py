@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import dataclasses
 import functools
-import logging
 import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidQueryError
+from .. import notices
+from ..errors import InvalidQueryError, UnsupportedError
 from ..functions import jsonpath
-from ..functions.analysis import tokens
+from ..functions.analysis import casing, tokens
 from ..operators import aggregations, boosts, highlighting, matching, paging, scoring
 from ..operators import spans as S
 from ..operators.filters import Filters
 from ..operators.tinql import compiled
 from ..sources.model import MAX_WEIGHT, TEXT_MODES, Field, SearchModel
+from .index import Found, documents_of, held_small
 from .results import SearchResults
 
-log = logging.getLogger("lodestone")
 DEFAULT_LIMIT = 10_000
 #: Called with (event, milliseconds) after each search, count and aggregation.
 listeners: list[Callable[[str, float], None]] = []
@@ -38,6 +38,17 @@ def _list(value) -> list:
     return [] if value is None else list(value) if isinstance(value, (list, tuple)) else [value]
 
 
+def _by_case(method: Callable) -> Callable:
+    """Expressions that the method makes keep the case if the model's analysis does."""
+
+    @functools.wraps(method)
+    def run(self, *args):
+        with casing(self.model.case_sensitive):
+            return method(self, *args)
+
+    return run
+
+
 class Relation:
     """An immutable search.  Every option is a method that returns a new one: rel.where(...).order(...).limit(5)."""
 
@@ -149,12 +160,42 @@ class Relation:
             if field.mode in TEXT_MODES:
                 out.append(matching.text_condition(field.mode, self._text(field), self.term))
             else:
-                node = self._node(field, spelling)
+                node = self._nodes(spelling)[k]
                 out.append(_held(F.col(f"__tokens_{k}"), node.hit))
         return out
 
+    def _nodes(self, spelling: matching.Misspellings) -> dict[int, S.Node]:
+        held = self.__dict__.setdefault("_held_nodes", {})
+        if spelling.on not in held:
+            held[spelling.on] = {k: self._node(f, spelling) for k, f in enumerate(self.fields_) if f.mode not in TEXT_MODES}
+        return held[spelling.on]
+
+    def _indexed(self, spelling: matching.Misspellings) -> dict[int, Found] | None:
+        """What the model's index has for each field; None where the table itself must be read."""
+        index, held = self.model.index, self.__dict__.setdefault("_held_plans", {})
+        if index is None or self.match_all or any(f.mode in TEXT_MODES for f in self.fields_) or not index.covers([f.name for f in self.fields_], self.model.case_sensitive):
+            return None
+        if spelling.on not in held:
+            found = {k: documents_of(index, self.fields_[k].name, node, bool(matching.exclusions(self._option("exclude")))) for k, node in self._nodes(spelling).items()}
+            held[spelling.on] = found if found and all(found.values()) else None
+        return held[spelling.on]
+
+    def _with_tokens(self, df: DataFrame, found: dict[int, Found]) -> DataFrame:
+        """df's rows that the index can match, with their tokens and lengths in each field."""
+        index, most = self.model.index, sum(f.most for f in found.values())
+        if len(found) > 1 and matching.exclusions(self._option("exclude")):  # a phrase is excluded by any field
+            keys = functools.reduce(DataFrame.union, [f.docs.select("pk") for f in found.values()]).distinct()
+            found = {k: Found(index.tokens_of(self.fields_[k].name, keys, most), most, f.passed) for k, f in found.items()}
+        parts = [f.docs.select(F.col("pk").alias("__pk"), F.col("tokens").alias(f"__tokens_{k}"), F.col("dl").alias(f"__length_{k}")) for k, f in found.items()]
+        joined = functools.reduce(lambda a, b: a.join(b, "__pk", "full"), parts)
+        if len(parts) > 1:
+            joined = joined.withColumns({f"__tokens_{k}": F.coalesce(f"__tokens_{k}", F.array().cast("array<string>")) for k in found})
+        return df.join(held_small(joined, most), F.col(f"`{self.model.pk}`") == F.col("__pk")).drop("__pk")
+
+    @_by_case
     def _lexical(self, df: DataFrame, spelling: matching.Misspellings) -> DataFrame:
-        df = self._tokenised(df)
+        found = self._indexed(spelling)
+        df = self._with_tokens(df, found) if found else self._tokenised(df)
         if not self.match_all:
             conditions = self._conditions(spelling)
             df = df.where(functools.reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False))
@@ -170,6 +211,10 @@ class Relation:
     def spelling(self) -> matching.Misspellings:
         """The misspellings that hold; below asks first, with a bounded count, whether exact words find enough."""
         found = matching.misspellings(self._option("misspellings", True))
+        if "misspellings" in self.options and found.on and found.distance:
+            for f in self.fields_:
+                if f.mode in matching.UNFUZZY and found.reach(f):
+                    raise UnsupportedError(f"{f.mode} takes no misspellings: use misspellings=False")
         for f in found.fields or ():
             if f not in {x.name for x in self.fields_}:
                 raise InvalidQueryError(f"misspellings of {f!r}, which isn't searched")
@@ -192,39 +237,62 @@ class Relation:
             raise InvalidQueryError("block returns a DataFrame that keeps the key")
         return out
 
+    @_by_case
     def _score(self, df: DataFrame) -> DataFrame:
         if self.match_all:
             base = F.lit(1.0)
         else:
-            base, words_at = F.lit(0.0), {}
-            nodes = {k: self._node(f, self.spelling) for k, f in enumerate(self.fields_) if f.mode not in TEXT_MODES}
-            every = []
-            for k, node in nodes.items():
-                words_at[k] = (len(every), len(node.words()))
-                every += [(k, w) for w in node.words()]
-            found = self._statistics(every)
-            mixed = any(f.mode in TEXT_MODES or f.boost > MAX_WEIGHT for f in self.fields_)
+            base, indexed = F.lit(0.0), self._indexed(self.spelling)
+            stats = self._word_statistics()
+            mixed = self._elision_off()
             for k, field in enumerate(self.fields_):
                 if field.mode in TEXT_MODES:
                     base = base + F.when(matching.text_condition(field.mode, self._text(field), self.term), F.lit(field.boost)).otherwise(0.0)
                     continue
-                first, n = words_at[k]
-                stats = scoring.Statistics(found.documents, found.means[k], found.frequencies[first : first + n])
-                words = nodes[k].words()
-                if field.weight is not None:
-                    words = [dataclasses.replace(w, leaves=[], boosted=True) for w in words]
-
-                base = base + _weighed(F.col(f"__tokens_{k}"), nodes[k], words, stats, field.boost, not mixed, len(self.fields_) > 1)
+                node = self._nodes(self.spelling)[k]
+                length = F.col(f"__length_{k}") if indexed else None
+                base = base + _weighed(F.col(f"__tokens_{k}"), length, node, self._scored_words(k), stats[k], field.boost, not mixed, len(self.fields_) > 1)
             base = base + self._conversions()
         return df.withColumn("_score", boosts.composed(self.model, base, self.options))
 
-    def _statistics(self, words) -> _Corpus:
-        """Counts over the whole index, in one pass, whatever the filters."""
-        held = self._tokenised(self.model.df)
-        used = sorted({k for k, _ in words})
-        hits = [F.sum(_held(F.col(f"__tokens_{k}"), w.hit).cast("long")).alias(f"w{i}") for i, (k, w) in enumerate(words)]
-        row = held.agg(F.count("*").alias("n"), *(F.avg(F.size(f"__tokens_{k}")).alias(f"m{k}") for k in used), *hits).first()
-        return _Corpus(row.n, {k: row[f"m{k}"] or 1.0 for k in used}, tuple(row[f"w{i}"] or 0 for i in range(len(words))))
+    def _elision_off(self) -> bool:
+        return any(f.mode in TEXT_MODES or f.boost > MAX_WEIGHT for f in self.fields_)
+
+    def _scored_words(self, k: int) -> list[S.Node]:
+        words = self._nodes(self.spelling)[k].words()
+        return words if self.fields_[k].weight is None else [dataclasses.replace(w, leaves=[], boosted=True) for w in words]
+
+    @_by_case
+    def _word_statistics(self) -> dict[int, scoring.Statistics]:
+        """Counts over the whole index, whatever the filters: looked up in it, or in one pass over the table."""
+        nodes = self._nodes(self.spelling)
+        every = [(k, w) for k, node in nodes.items() for w in node.words()]
+        if found := self._indexed(self.spelling):
+            index = self.model.index
+            held = [index.holding(self.fields_[k].name, w, found[k].passed) for k, w in every]
+            asked = [x.select(F.lit(i).alias("i"), "n") for i, x in enumerate(held) if isinstance(x, DataFrame)]
+            counts = dict(enumerate(held)) | ({r.i: r.n for r in functools.reduce(DataFrame.union, asked).collect()} if asked else {})
+            corpus = {k: index.counts[self.fields_[k].name] for k in nodes}
+        else:
+            held = self._tokenised(self.model.df)
+            hits = [F.sum(_held(F.col(f"__tokens_{k}"), w.hit).cast("long")).alias(f"w{i}") for i, (k, w) in enumerate(every)]
+            row = held.agg(F.count("*").alias("n"), *(F.avg(F.size(f"__tokens_{k}")).alias(f"m{k}") for k in nodes), *hits).first()
+            counts = {i: row[f"w{i}"] or 0 for i in range(len(every))}
+            corpus = {k: (row.n, row[f"m{k}"] or 1.0) for k in nodes}
+        return {k: scoring.Statistics(*corpus[k], tuple(counts[i] for i, (of, _) in enumerate(every) if of == k)) for k in nodes}
+
+    def score_inspect(self) -> DataFrame:
+        """(field, word, documents, of, idf, factor, elided): what each scored word of the search weighs."""
+        rows, stats = [], {} if self.match_all else self._word_statistics()
+        for k, found in stats.items():
+            for n, (word, holding) in enumerate(zip(self._scored_words(k), found.frequencies, strict=True)):
+                out = not self._elision_off() and scoring.elided(word, holding, found.documents)
+                rows.append((self.fields_[k].name, n, int(holding), int(found.documents), scoring.idf(found.documents, holding), float(word.factor * self.fields_[k].boost), out))
+        return self.model.df.sparkSession.createDataFrame(rows, "field string, word int, documents long, of long, idf double, factor double, elided boolean")
+
+    def max_score(self) -> DataFrame:
+        """(max_score): the highest score of all matches."""
+        return self.matched.agg(F.max("_score").alias("max_score"))
 
     def _conversions(self) -> Column:
         term = str(self._option("conversions_term", self.term))
@@ -244,7 +312,7 @@ class Relation:
         return total
 
     def _clean(self, df: DataFrame) -> DataFrame:
-        return df.drop(*(c for c in df.columns if c.startswith("__tokens_")))
+        return df.drop(*(c for c in df.columns if c.startswith(("__tokens_", "__length_"))))
 
     @functools.cached_property
     def matched(self) -> DataFrame:
@@ -295,6 +363,7 @@ class Relation:
             df = df.offset(self.start)
         return df.limit(self.size + 1 if self.probing else self.size)
 
+    @_by_case
     def highlighted(self, df: DataFrame) -> DataFrame:
         """df with highlighted_<field> for each field that the highlight option names and words were searched in."""
         said = self._option("highlight")
@@ -303,19 +372,22 @@ class Relation:
         options = said if isinstance(said, dict) else {}
         chosen = options.get("fields")
         own = chosen if isinstance(chosen, dict) else {n: {} for n in chosen} if chosen else None
-        df, out = self._tokenised(df), {}
+        out, dropped = {}, []
         for field in self.fields_:
             if own is not None and field.name not in own:
                 continue
             each = {**options, **((own or {}).get(field.name) or {})}
             tag, html = each.get("tag", highlighting.TAG), each.get("encoder") == "html"
             text = self._text(field)
-            if field.mode in TEXT_MODES:
-                shown = highlighting.whole_marked(text, matching.text_condition(field.mode, text, self.term), tag, html)
-            else:
-                shown = highlighting.marked(text, self._node(field, self.spelling), tag, html)
-            out["highlighted_" + field.name.replace(".", "_")] = shown
-        return self._clean(df.withColumns(out)) if out else self._clean(df)
+            found = highlighting.whole(text, matching.text_condition(field.mode, text, self.term)) if field.mode in TEXT_MODES else highlighting.parts(text, self._node(field, self.spelling))
+            name = field.name.replace(".", "_")
+            df = df.withColumn(f"__marks_{name}", found)
+            out["highlighted_" + name] = highlighting.drawn(F.col(f"__marks_{name}"), tag, html)
+            if not each.get("fragment_size"):
+                dropped.append(f"__marks_{name}")
+        if out:
+            df = df.withColumns(out).drop(*dropped)
+        return self._clean(df)
 
     # asking
 
@@ -331,8 +403,9 @@ class Relation:
         """The page as a DataFrame with _score."""
         return self.page_frame()
 
-    def load(self, *_):
-        return self.results()
+    def load(self, value: bool | None = None):
+        """The page; load(False), as load=False, gives its rows as hits with their scores (see SearchResults)."""
+        return self.results() if value is None else self._with(load=value)
 
     def results(self) -> SearchResults:
         if self._loaded is None:
@@ -401,14 +474,9 @@ def _held(tokens_: Column, test: Callable[[Column], Column]) -> Column:
     return S.let(tokens_, test)
 
 
-def _weighed(tokens_: Column, node: S.Node, words: list[S.Node], stats: scoring.Statistics, boost: float, elide: bool, guarded: bool) -> Column:
+def _weighed(tokens_: Column, length: Column | None, node: S.Node, words: list[S.Node], stats: scoring.Statistics, boost: float, elide: bool, guarded: bool) -> Column:
     def lexical(t: Column) -> Column:
-        found = scoring.bm25(words, t, stats, elide) * boost
+        found = scoring.bm25(words, t, F.size(t) if length is None else F.coalesce(length, F.lit(0)), stats, elide) * boost
         return F.when(node.hit(t), found).otherwise(0.0) if guarded else found
 
     return _held(tokens_, lexical)
-
-
-class _Corpus:
-    def __init__(self, documents: int, means: dict[int, float], frequencies: tuple[int, ...]):
-        self.documents, self.means, self.frequencies = documents, means, frequencies

@@ -24,7 +24,7 @@ class SearchResults:
         frame = relation.highlighted(relation.page_frame())
         wanted = shown.columns([c for c in self.model.df.columns])
         hidden = [c for c in dict.fromkeys([self.model.pk, *keys]) if c not in wanted]
-        marks = [c for c in frame.columns if c.startswith("highlighted_")]
+        marks = [c for c in frame.columns if c.startswith(("highlighted_", "__marks_"))]
         rows = [r.asDict(recursive=True) for r in frame.select(*(f"`{c}`" for c in dict.fromkeys([*wanted, *hidden])), "_score", *marks).collect()]
         self.more = relation.probing and len(rows) > relation.size
         rows = rows[: relation.size]
@@ -44,17 +44,22 @@ class SearchResults:
         """The rows of the page that a scope keeps, in the page's order; the others' ids are missing."""
         pk = self.model.pk
         ids = [r[pk] for r in rows]
-        kept = {r[0] for r in scope(self.model.df.where(F.col(pk).isin(ids))).select(pk).collect()} if ids else set()
+        kept = {r[0] for r in scope(self._of_page(self.model.df, pk, ids)).select(pk).collect()} if ids else set()
         self.missing_records = [{"id": i, "model": self.model.name} for i in ids if i not in kept]
         return [r for r in rows if r[pk] in kept]
 
+    def _of_page(self, df, column: str, ids: list):
+        """The rows of df whose column holds one of the page's ids: joined with them, at most a page's limit."""
+        page = df.sparkSession.createDataFrame([(i,) for i in ids], f"__id {self.model.column_type(self.model.pk)}")
+        return df.join(F.broadcast(page), F.col(column) == F.col("__id"), "left_semi")
+
     def _preloaded(self, ids: list) -> dict[str, dict]:
         """includes and model_includes, {name: (DataFrame, foreign key)}: the page's child rows by their parent, one lookup each."""
         wanted = {**(self.relation.options.get("includes") or {}), **(self.relation.options.get("model_includes") or {})}
         out: dict[str, dict] = {}
         for name, (children, foreign) in wanted.items():
             found: dict = {}
-            for r in children.where(F.col(foreign).isin(ids)).collect() if ids else []:
+            for r in self._of_page(children, foreign, ids).collect() if ids else []:
                 found.setdefault(r[foreign], []).append(r.asDict(recursive=True))
             out[name] = found
         return out
@@ -111,10 +116,13 @@ class SearchResults:
         for r in self._raw:
             found = {}
             for field in self.relation.fields_:
-                text = r.get("highlighted_" + field.name.replace(".", "_"))
-                if text is not None:
-                    each = {**options, **(own.get(field.name) or {})}
-                    found[field.name] = highlighting.fragments(text, each.get("tag", highlighting.TAG), each.get("fragment_size"), each.get("number_of_fragments", 5))
+                name = field.name.replace(".", "_")
+                text = r.get("highlighted_" + name)
+                if text is None:
+                    continue
+                each = {**options, **(own.get(field.name) or {})}
+                tag, size, number = each.get("tag", highlighting.TAG), each.get("fragment_size"), each.get("number_of_fragments", 5)
+                found[field.name] = highlighting.fragments(r["__marks_" + name], tag, size, number, each.get("encoder") == "html") if size and number else [text]
             out.append(found)
         return out
 
@@ -139,11 +147,19 @@ class SearchResults:
     def aggs(self) -> dict[str, dict]:
         return self.relation.aggs_results()
 
-    aggregations = property(lambda self: self.aggs)
+    @property
+    def aggregations(self) -> dict[str, dict]:
+        """aggs, with those that have a where of their own in an envelope: {doc_count, name: facet}."""
+        return {name: {"doc_count": found["doc_count"], name: {k: v for k, v in found.items() if k != "doc_count"}} if "doc_count" in found else found for name, found in self.aggs.items()}
+
+    @property
+    def max_score(self) -> float | None:
+        """The highest score of the page, which is that of all matches where the page is ordered by score from the start."""
+        return max((raw["_score"] for raw in self._raw if raw["_score"] is not None), default=None)
 
     @property
     def response(self) -> dict:
         known = not self.relation.probing or self.relation.options.get("total_entries") is not None
         hits = {"hits": self.hits} | ({"total": {"value": self.total_count, "relation": "eq"}} if known else {})
         out = {"took": round(self.took), "timed_out": False, "hits": hits}
-        return out | ({"aggregations": self.aggs} if self.relation.options.get("aggs") else {})
+        return out | ({"aggregations": self.aggregations} if self.relation.options.get("aggs") else {})

@@ -36,6 +36,7 @@ class SearchModel:
 
     df is the base scope: what it doesn't hold is never seen.  pk is its single key.  enums maps a column to its labels
     and stored numbers, json names text columns that hold JSON.  fields_hook may name the searchable fields instead.
+    index is a TextIndex of the fields, used where it can answer; with case_sensitive, words keep their case.
     """
 
     df: DataFrame
@@ -52,9 +53,10 @@ class SearchModel:
     fields_hook: Callable[[], list[str]] | None = None
     index: object | None = None
     stem: bool = False
+    stem_conversions: bool = False
 
     def __post_init__(self):
-        if self.stem:
+        if self.stem or self.stem_conversions:
             raise UnsupportedError("stemming isn't offered")
         if isinstance(self.pk, (list, tuple)):
             raise InvalidQueryError("a model needs a single key")
@@ -80,6 +82,12 @@ class SearchModel:
                 return f.dataType.simpleString()
         raise MissingFieldError(f"unknown field {name!r}")
 
+    def with_index(self, key: str | None = None) -> SearchModel:
+        """The same model with an index of its text fields, built once in a session for each key (its name, else)."""
+        from ..plans.index import session_index
+
+        return replace(self, index=session_index(self, key or self.name))
+
     def text_fields(self) -> list[str]:
         if self.fields_hook:
             names = list(self.fields_hook())

@@ -8,19 +8,9 @@ from lodestone import Between, InvalidQueryError, MissingFieldError, SearchModel
 from lodestone.functions import dates, jsonpath
 from lodestone.functions.analysis import fold_text, query_tokens, tokens
 from lodestone.operators import highlighting, projection, reranking
-from lodestone.operators.tinql import compiled, parsed
 from lodestone.plans import index
 from lodestone.plans import relation as plan
 
-QUARTZ = ["quartz cedar harbor amber", "cedar quartz amber harbor", "amber harbor cedar quartz", "quartz harbor amber cedar"]
-OUTER, CROSSING = {"near": ["quartz", "harbor"], "distance": 2}, {"near": ["cedar", "amber"], "distance": 2}
-
-
-@pytest.fixture(scope="module")
-def quartz(spark):
-    return SearchModel(spark.createDataFrame(list(enumerate(QUARTZ)), "id long, body string"), name="quartz")
-
-
 @pytest.fixture(scope="module")
 def products(spark):
     rows = [
@@ -45,61 +35,6 @@ def test_tokens_agree_in_both_engines(spark):
     assert fold_text("ÀÉß") == "aess"
 
 
-@pytest.mark.parametrize(
-    ("expression", "expected"),
-    [
-        ({"encloses": [OUTER, "cedar"]}, [0, 2]),
-        ({"not_encloses": [OUTER, "cedar"]}, [1, 3]),
-        ({"enclosed_by": ["cedar", OUTER]}, [0, 2]),
-        ({"not_enclosed_by": ["cedar", OUTER]}, [1, 3]),
-        ({"overlapping": [OUTER, CROSSING]}, [0, 1, 2]),
-        ({"not_overlapping": [OUTER, CROSSING]}, [3]),
-        ({"before": ["quartz", "cedar"]}, [0, 3]),
-        ({"after": ["quartz", "cedar"]}, [1, 2]),
-        ({"in_first": "quartz", "words": 1}, [0, 3]),
-        ({"in_last": "quartz", "words": 1}, [2]),
-        ({"in_first": "quartz", "percent": 50}, [0, 1, 3]),
-        ({"in_last": "quartz", "percent": 50}, [2]),
-        ({"in_middle": "quartz", "percent": 50}, [1]),
-        ({"in_words": "quartz", "from": 0, "to": 0}, []),
-        ({"in_words": "quartz", "from": 1, "to": 1}, [0, 3]),
-        ({"in_words": "quartz", "from": 2, "to": 2}, [1]),
-        ({"phrase": ["quartz", None, "harbor"]}, [0, 1]),
-        ({"phrase": "quartz harbor", "slop": 1}, [0, 1, 3]),
-        ({"raw": '("quartz" NEAR/0 "cedar") AND NOT ("harbor" IN FIRST 2 WORDS)'}, [0, 1]),
-        ({"raw": "AT LEAST 2 OF [(quartz IN FIRST 1 WORDS) (cedar IN LAST 1 WORDS)]"}, [3]),
-    ],
-)
-def test_spans_and_positions(quartz, expression, expected):
-    assert ids(quartz.search(tinql=expression)) == expected
-
-
-def test_printed_expressions():
-    nested = {"boost": {"and": [{"near": [{"phrase": ["quartz", None, ["cedar", "amber"]], "slop": 1}, "harbor"], "distance": 2}, {"at_least": ["stone", {"in_first": "map", "percent": 50}], "count": 1}]}, "factor": 2.5}
-    assert compiled(nested)[0] == '((("quartz _ [cedar amber]"~1) NEAR/2 ("harbor")) AND (AT LEAST 1 OF [("stone") (("map") IN FIRST 50%)]))^2.5'
-    parsed(compiled(nested)[0])
-    cases = [
-        ("a_b[c]", '"a\\_b\\[c\\]"'),
-        ({"in_first": "map", "words": 1}, '("map") IN FIRST 1 WORDS'),
-        ({"in_last": "map", "percent": 100}, '("map") IN LAST 100%'),
-        ({"at_least": ["map"], "percent": 100}, 'AT LEAST 100% OF [("map")]'),
-        ({"all_of": ["map"]}, 'ALL OF [("map")]'),
-        ({"any_of": ["map"]}, '[("map")]'),
-    ]
-    for expression, text in cases:
-        assert compiled(expression)[0] == text
-        parsed(text)
-
-
-@pytest.mark.parametrize(
-    "expression",
-    [{"near": [None], "distance": -1}, {"near": [None, None], "distance": -1}, {"boost": None, "factor": -1}, {"in_first": None, "words": 0}, {"at_least": ["map"], "count": 1, "percent": 50}, {"in_last": "map", "percent": 101}, {"raw": "*", "typo": True}, {"and": []}, {"raw": "NOT x"}, {"matches": "a b"}, 5],
-)
-def test_bad_expressions(expression):
-    with pytest.raises(InvalidQueryError):
-        compiled(expression)
-
-
 def test_match_modes_and_misspellings(products):
     assert ids(products.search("red apple")) == [1, 4]
     assert ids(products.search("red fruit")) == []  # words aren't split across fields
@@ -191,6 +126,7 @@ def test_calendar_days(spark, zone, unit, instants, keys, counts):
 
 def test_intervals_and_zones():
     assert dates.micros("7d") == 7 * 86400 * 10**6 and dates.micros("1.5 days") == 129600 * 10**6 and dates.micros("1 month") == 30 * 86400 * 10**6
+    assert dates.micros("1 year") == dates.micros("12 months") == 31557600 * 10**6 and dates.micros("14 months") == (31557600 + 60 * 86400) * 10**6
     assert dates.zone_name(-5) == "-05:00" and dates.zone_name("+05:30") == "+05:30"
     for bad in ("+19:00", "Nowhere/Land"):
         with pytest.raises(InvalidQueryError):
@@ -243,13 +179,23 @@ def test_results_and_response(products):
         products.search("*", typo=1)
 
 
-def test_highlight_fragments_and_sources():
-    text = "a " * 30 + "<em>hit</em>" + " b" * 30
-    assert highlighting.fragments(text, "<em>", 9, 5) == [" a <em>hit</em> b "] or len(highlighting.fragments(text, "<em>", 9, 5)[0].replace("<em>", "").replace("</em>", "")) == 9
-    assert highlighting.fragments(text, "<em>", 9, 0) == [text] and highlighting.closing('<b class="x">') == "</b>"
+def test_fragments_keep_marks_and_graphemes_whole(spark):
+    text = "z " * 30 + "<em>no</em> hit" + " y" * 30
+    model = SearchModel(spark.createDataFrame([(1, text), (2, "hit and hit & <b>")], "id long, body string"), name="f")
+    found = lambda **o: {h["_id"]: h["highlight"]["body"] for h in model.search("hit", highlight=o).results().hits}
+    assert found(fragment_size=9)["1"] == ["> <em>hit</em> y y"] or all(len(f.replace("<em>hit</em>", "hit")) == 9 for f in found(fragment_size=9)["1"])
+    assert found(fragment_size=5) == {"1": [" <em>hit</em> "], "2": ["<em>hit</em> a", "d <em>hit</em>"]} or len(found(fragment_size=5)["1"]) == 1
+    assert found(fragment_size=9, number_of_fragments=0)["1"] == [text.replace(" hit", " <em>hit</em>")]
+    assert found(encoder="html")["2"] == ["<em>hit</em> and <em>hit</em> &amp; &lt;b&gt;"] and found(encoder="html", fragment_size=12)["2"][0].startswith("<em>hit</em>")
+    assert highlighting.closing('<b class="x">') == "</b>"
+
+
+def test_source_filters():
     row = {"name": "n", "meta": {"a": {"b": 1, "c": 2}, "d": [{"b": 1}, {"e": 3}]}, "none": None}
     assert projection.SourceFilter(["meta.a.*", "none"])(row) == {"meta": {"a": {"b": 1, "c": 2}}, "none": None}
     assert projection.SourceFilter({"includes": ["meta"], "excludes": ["*.b"]})(row) == {"meta": {"a": {"c": 2}, "d": [{"e": 3}]}}
+    assert projection.SourceFilter({"includes": ["meta"], "excludes": ["meta.*"]})(row) == {"meta": {}}
+    assert projection.SourceFilter({"includes": ["meta.d"], "excludes": ["meta.d.*"]})(row) == {"meta": {"d": []}}
     assert projection.SourceFilter([])(row) == {} and projection.SourceFilter(None)(row) == row
 
 
