@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.analysis import SPELLED, TOKEN_RE
 from .operators import aggregations, reranking
 from .operators.filters import Between
-from .plans.index import postings_of, rows_of
+from .plans.index import fsck
 from .plans.relation import Relation
 from .sources.model import SearchModel, parquet_model
 
@@ -25,10 +25,16 @@ def query(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLE_SQL[name] = sql
 
 
-def documents(spark: SparkSession, sf: str) -> SearchModel:
+def plain_documents(spark: SparkSession, sf: str) -> SearchModel:
+    """Documents without an index: texts are tokenised as they are searched."""
     return parquet_model(spark, f"{sf}/documents.parquet", pk="doc_id", name="documents", searchable=("text",))
 
 
+def documents(spark: SparkSession, sf: str) -> SearchModel:
+    """Documents with the index of their text, built at the first search of a session."""
+    return plain_documents(spark, sf).with_index(f"{sf}/documents.parquet")
+
+
 def parts(spark: SparkSession, sf: str) -> SearchModel:
     return parquet_model(spark, f"{sf}/part.parquet", pk="p_partkey", name="part", searchable=("p_name", "p_type", "p_brand"))
 
@@ -73,8 +79,8 @@ def found(relation: Callable[[SparkSession, str], Relation], *columns: str) -> C
     return make
 
 
-def doc_query(name: str, sql: str | None, term: str = "*", **options) -> None:
-    query(name, found(lambda s, d: documents(s, d).search(term, **options)), None if sql is None else TOKENS + sql)
+def doc_query(name: str, sql: str, term: str = "*", make: Callable[[SparkSession, str], SearchModel] = documents, **options) -> None:
+    query(name, found(lambda s, d: make(s, d).search(term, **options)), TOKENS + sql)
 
 
 def part_query(name: str, where: str, term: str = "*", **options) -> None:
@@ -93,6 +99,10 @@ doc_query("word_start", "SELECT doc_id FROM tok WHERE len(list_filter(t, lambda
 doc_query("word_middle", "SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: contains(x, 'uequ'))) > 0", "uequ", match="word_middle")
 doc_query("word_end", "SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: suffix(x, 'censed'))) > 0", "censed", match="word_end")
 doc_query("exclude_phrase", "SELECT doc_id FROM tok WHERE list_contains(t, 'licensed') AND doc_id NOT IN (SELECT a.doc_id FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.w = 'gnu' AND b.w = 'general')", "licensed", exclude=["GNU general"], **EXACT)
+PHRASE = "SELECT DISTINCT a.doc_id FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.w = 'licensed' AND b.w = 'under'"
+doc_query("phrase_inline", PHRASE, "licensed under", match="phrase", make=plain_documents)
+doc_query("word_and_inline", "SELECT doc_id FROM tok WHERE list_contains(t, 'licensed') AND list_contains(t, 'under')", "Licensed UNDER", make=plain_documents, **EXACT)
+doc_query("word_start_inline", "SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: starts_with(x, 'achkeit'))) > 0", "achkeit", match="word_start", make=plain_documents)
 part_query("exact", "p_name = 'red widget'", "red widget", match="exact", fields=["p_name"])
 part_query("text_start", "starts_with(lower(p_name), 'red w')", "Red W", match="text_start", fields=["p_name"])
 part_query("text_middle", "contains(lower(p_name), 'ed wi')", "ED wi", match="text_middle", fields=["p_name"])
@@ -126,6 +136,7 @@ def tinql_query(name: str, expression, sql: str) -> None:
 
 tinql_query("term", "licensed", "SELECT doc_id FROM tok WHERE list_contains(t, 'licensed')")
 tinql_query("near", {"near": ["the", "licensed"], "distance": 1}, PAIR.format("the", "licensed", "abs(a.p - b.p) BETWEEN 1 AND 2"))
+doc_query("tinql_near_inline", PAIR.format("the", "licensed", "abs(a.p - b.p) BETWEEN 1 AND 2"), tinql={"near": ["the", "licensed"], "distance": 1}, make=plain_documents)
 tinql_query("then", {"then": ["licensed", "the"], "distance": 1}, PAIR.format("licensed", "the", "b.p - a.p BETWEEN 1 AND 2"))
 tinql_query("within", {"within": GNU, "words": 8}, f", {OUTER}x AS (SELECT 1) SELECT DISTINCT doc_id FROM o WHERE e - s + 1 <= 8")
 tinql_query("phrase_gap", {"phrase": ["licensed", None, "the"]}, PAIR.format("licensed", "the", "b.p = a.p + 2 AND 1 = 1"))
@@ -187,6 +198,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 query("search_word_and", flagship, bm25_sql("'licensed', 'under'", "SELECT doc_id, lang, round(x, 6) AS score FROM sc JOIN documents USING (doc_id) WHERE least > 0 ORDER BY x DESC, doc_id LIMIT 10"))
 query("bm25_topk", scored(lambda s, d: documents(s, d).search("thintion estion", operator="or", **EXACT), 20), bm25_sql("'thintion', 'estion'", "SELECT doc_id, round(x, 6) AS score FROM sc WHERE most > 0 ORDER BY x DESC, doc_id LIMIT 20"))
+query("bm25_topk_inline", scored(lambda s, d: plain_documents(s, d).search("thintion estion", operator="or", **EXACT), 20), ORACLE_SQL["bm25_topk"])
+query("bm25_fuzzy", scored(lambda s, d: documents(s, d).search("licensd", misspellings={"edit_distance": 1, "prefix_length": 3})), TOKENS + ", f AS (SELECT doc_id, len(list_filter(t, lambda x: starts_with(x, 'lic') AND levenshtein(x, 'licensd') <= 1)) AS f, len(t) AS l FROM tok), s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE f > 0) AS d FROM f) SELECT doc_id, round(CASE WHEN d * 1.0 / n >= 0.1 THEN 0 ELSE ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m)) END, 6) AS score FROM f, s WHERE f > 0")
+query("bm25_phrase", scored(lambda s, d: documents(s, d).search("licensed under", match="phrase", fields=["text^1"])), TOKENS + ", f AS (SELECT a.doc_id, count(*) AS f FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.w = 'licensed' AND b.w = 'under' GROUP BY 1), s AS (SELECT count(*) AS n, avg(n) AS m, (SELECT count(*) FROM f) AS d FROM len) SELECT doc_id, round(ln(1 + (s.n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len.n / m)), 6) AS score FROM f JOIN len USING (doc_id), s")
 query("bm25_all", scored(lambda s, d: documents(s, d).search("licensed", **EXACT)), bm25_sql("'licensed'", "SELECT doc_id, round(x, 6) AS score FROM sc WHERE most > 0"))
 query("bm25_dense_elision", scored(lambda s, d: documents(s, d).search("the licensed", **EXACT)), bm25_sql("'the', 'licensed'", "SELECT doc_id, round(x, 6) AS score FROM sc WHERE least > 0"))
 query("field_boost", scored(lambda s, d: documents(s, d).search("the licensed", fields=["text^3"], **EXACT)), bm25_sql("'the', 'licensed'", "SELECT doc_id, round(3 * x, 6) AS score FROM sc WHERE least > 0", "false"))
@@ -194,12 +208,17 @@ query("weighted_exact", scored(lambda s, d: parts(s, d).search("red widget", fie
 query("tinql_boosted_score", scored(lambda s, d: documents(s, d).search(tinql={"or": [{"boost": "queque", "factor": 2}, {"boost": "licensed", "factor": 2}]})), bm25_sql("'queque', 'licensed'", "SELECT doc_id, round(2 * x, 6) AS score FROM sc WHERE most > 0", "false"))
 
 
-def postings_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """The index's postings and dictionary, derived without writing them."""
-    return postings_of(rows_of(documents(spark, sf), ["text"])).where("term like 'licens%'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+def built_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the built index with the documents and the places that hold them."""
+    index = documents(spark, sf).index
+    sums = index.postings.where("term like 'licens%'").groupBy("term").agg(F.sum("tf").cast("long").alias("cf"))
+    return index.dictionary.where("term like 'licens%'").join(sums, "term").select("term", "df", "cf")
 
 
-query("index_dictionary", postings_plan, TOKENS + "SELECT w AS term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS cf FROM pos WHERE w LIKE 'licens%' GROUP BY 1")
+query("index_dictionary", built_terms, TOKENS + "SELECT w AS term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS cf FROM pos WHERE w LIKE 'licens%' GROUP BY 1")
+query("index_corpus", lambda s, d: documents(s, d).index.corpus.select("field", "n", F.round("mean", 6).alias("mean")), TOKENS + "SELECT 'text' AS field, count(*) AS n, round(avg(n), 6) AS mean FROM len")
+query("index_rows", lambda s, d: documents(s, d).index.rows.groupBy(F.col("dl").cast("long").alias("dl")).agg(F.count("*").alias("n")), TOKENS + "SELECT n AS dl, count(*) AS n FROM len GROUP BY ALL".replace("n AS dl", "len.n AS dl"))
+query("index_check", lambda s, d: fsck(documents(s, d).index), "SELECT 'text' AS field, '' AS problem, 0 AS n FROM region WHERE false")
 
 
 # -- filters
@@ -300,7 +319,8 @@ for _unit, _every in (("month", "1 MONTH"), ("week", "7 DAY"), ("quarter", "3 MO
 agg_query("date_hist_day", events, {"ts": {"date_histogram": {"interval": "1d", "min_doc_count": 1}}}, "SELECT epoch_ms(date_trunc('day', ts)::TIMESTAMP) AS key, count(*) AS doc_count FROM events GROUP BY 1", {"key": "unix_millis(key)", "doc_count": "doc_count"})
 agg_query("date_hist_fixed_90m", events, {"ts": {"date_histogram": {"fixed_interval": "90m", "min_doc_count": 1}}}, "SELECT CAST(floor(epoch_us(ts) / 5400000000.0) AS BIGINT) * 5400000 AS key, count(*) AS doc_count FROM events GROUP BY 1", {"key": "unix_millis(key)", "doc_count": "doc_count"})
 agg_query("date_hist_offset", events, {"ts": {"date_histogram": {"interval": "1d", "offset": "+6h", "min_doc_count": 1}}}, "SELECT epoch_ms((date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 6 HOUR)::TIMESTAMP) AS key, count(*) AS doc_count FROM events GROUP BY 1", {"key": "unix_millis(key)", "doc_count": "doc_count"})
-agg_query("date_hist_tz_new_york", orders, {"o_orderdate": {"date_histogram": {"interval": "1M", "time_zone": "America/New_York", "min_doc_count": 1}}}, None, {"key": "unix_millis(key)", "key_as_string": "key_as_string", "doc_count": "doc_count"})
+NEW_YORK = "timezone('America/New_York', timezone('UTC', {0}))"
+agg_query("date_hist_tz_new_york", orders, {"o_orderdate": {"date_histogram": {"interval": "1M", "time_zone": "America/New_York", "min_doc_count": 1}}}, f"WITH l AS (SELECT date_trunc('month', {NEW_YORK.format('o_orderdate')})::TIMESTAMP AS a, count(*) AS doc_count FROM orders GROUP BY 1), k AS (SELECT a, doc_count, timezone('UTC', timezone('America/New_York', a)) AS u FROM l) SELECT epoch_ms(u) AS key, strftime(a, '%Y-%m-%dT%H:%M:%S.000') || CASE WHEN date_diff('hour', a, u) = 4 THEN '-04:00' ELSE '-05:00' END AS key_as_string, doc_count FROM k", {"key": "unix_millis(key)", "key_as_string": "key_as_string", "doc_count": "doc_count"})
 agg_query("date_hist_tz_fixed", orders, {"o_orderdate": {"date_histogram": {"interval": "1M", "time_zone": "-05:00", "min_doc_count": 1}}}, "SELECT epoch_ms((date_trunc('month', o_orderdate - INTERVAL 5 HOUR) + INTERVAL 5 HOUR)::TIMESTAMP) AS key, strftime(date_trunc('month', o_orderdate - INTERVAL 5 HOUR), '%Y-%m-%dT%H:%M:%S.000-05:00') AS key_as_string, count(*) AS doc_count FROM orders GROUP BY ALL", {"key": "unix_millis(key)", "key_as_string": "key_as_string", "doc_count": "doc_count"})
 SMART = {"where": {"p_brand": "Brand#11", "p_type": "SMALL"}}
 agg_query("smart_facet", parts, ["p_brand"], "SELECT p_brand AS key, count(*) AS doc_count FROM part WHERE p_type = 'SMALL' GROUP BY 1", TERMS, **SMART)
@@ -378,10 +398,4 @@ def highlight_html(spark: SparkSession, sf: str) -> DataFrame:
 query("highlight_html", highlight_html, f"SELECT p_partkey, '&lt;i&gt; &amp; ' || regexp_replace(p_name, '\\bwidget\\b', '<em>widget</em>', 'g') AS marked {WIDGETS}")
 
 
-def highlight_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    rel = documents(spark, sf).search("licensed", limit=20, highlight={"fragment_size": 60, "number_of_fragments": 2}, **EXACT)
-    rows = [(r["doc_id"], k, text) for r, h in zip(rel.results().rows, rel.results().highlights, strict=True) for k, text in enumerate(h.get("text", []))]
-    return spark.createDataFrame(rows, "doc_id long, fragment int, marked string")
-
-
-query("highlight_fragments", highlight_fragments, None)
+from . import catalogue_pages  # noqa: E402,F401  pages, facets as they are rendered, refusals: registers its queries here

@@ -337,3 +337,12 @@ def buckets(kind: str, facet: DataFrame, options: dict) -> dict:
 def best_of_group(df: DataFrame, group: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each group by an order; the limit is pushed below the shuffle, so a large group sends k rows a task."""
     return df.withColumn("__place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__place") <= k).drop("__place")
+
+
+def best_with_group_score(df: DataFrame, group: list[str], order: list[Column], score: str = "_score") -> DataFrame:
+    """The first row of each group by an order, with the highest score of the group as group_score.
+
+    The two are found apart, the first row as in best_of_group() and the maximum by a partial aggregation, and joined.
+    """
+    highest = df.groupBy(*group).agg(F.max(score).alias("group_score"))
+    return best_of_group(df, group, order).join(highest, group)

@@ -23,10 +23,19 @@ OPTIONS = {
 }
 
 
+#: Words of the printed form that a plain word can't be (fixed values).
+RESERVED = {"AND", "OR", "NOT", "NEAR", "THEN", "WITHIN", "OF", "IN", "ALL", "AT", "LEAST", "FIRST", "LAST", "MIDDLE", "WORDS", "CONTAINS", "MATCHES", "ENCLOSES", "ENCLOSED_BY", "OVERLAPPING", "BEFORE", "AFTER"}
+
+
 def quoted(text: str) -> str:
     return '"' + re.sub(r'([\\"_\[\]])', r"\\\1", text) + '"'
 
 
+def maybe_quote(text: str) -> str:
+    """The text as it must stand in a printed expression: as it is if it is one plain word, else quoted."""
+    return text if re.fullmatch(r"[^\W_]+", text) and text not in RESERVED else quoted(text)
+
+
 def _integer(value, least: int) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < least:
         raise InvalidQueryError(f"tinql expects an integer >= {least}")

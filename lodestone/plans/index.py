@@ -8,7 +8,6 @@ documents that hold the words.
 from __future__ import annotations
 
 import functools
-import hashlib
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -169,22 +168,24 @@ def open_index(spark: SparkSession, path: str, pk: str) -> TextIndex:
 _built: dict[tuple[str, str], TextIndex] = {}
 
 
-def session_index(model: SearchModel, key: str) -> TextIndex:
-    """The index of a model under a key, built at first use; it goes when the session ends.
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that goes when the session ends, in the shared folder spark.checkpoint.dir, else in the warehouse; a
+    local session without the former gets a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        top = tempfile.mkdtemp(prefix="lodestone-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
-    It lies in the shared folder spark.checkpoint.dir, else in the warehouse; a local session without either gets a folder
-    of its own.
-    """
+
+def session_index(model: SearchModel, key: str) -> TextIndex:
+    """The index of a model under a key, built at first use; it goes when the session ends."""
     spark = model.df.sparkSession
     name = (spark.sparkContext.applicationId, key)
     if name not in _built:
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not top:
-            top = tempfile.mkdtemp(prefix="lodestone-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{top.rstrip('/')}/lodestone-index/{hashlib.sha256(key.encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
-        _built[name] = build_index(model, path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _built[name] = build_index(model, session_folder(spark, "index"))
     return _built[name]
 
 
