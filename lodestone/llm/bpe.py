@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import in_batches, read
 from .textkit import LETTER, SPACE, chunks, classes, code_points, point_values, prefixes, ranges, slices, spread
 
 #: Endings that follow an apostrophe as a piece of their own (fixed values, from the pattern).
@@ -335,7 +335,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists], ["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return in_batches(df.select(id_col, text), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_ids(ids: np.ndarray, path: str) -> bytes:
@@ -360,7 +360,7 @@ def encoded_digests(df: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

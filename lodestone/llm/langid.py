@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, materialize, read
+from .common import in_batches, let, materialize, read
 from .textkit import LETTER, classes, code_points, mix, segment, slices, text_chunks
 
 BUCKETS = 1 << 15
@@ -90,7 +90,7 @@ def trigram_counts(df: DataFrame, languages: list[str], text: str, declared: str
                     keys, counts, held = [key], [n], len(key)
         yield from handed(*merged(keys, counts))
 
-    parts = df.select(F.col(text).cast("string"), F.col(declared).cast("string")).mapInArrow(run, "key long, n long")
+    parts = in_batches(df.select(F.col(text).cast("string"), F.col(declared).cast("string")), run, "key long, n long")
     sums = parts.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
     counts.ravel()[sums.column("key").to_numpy()] = sums.column("n").to_numpy()
@@ -120,7 +120,7 @@ def text_evidence(df: DataFrame, table: np.ndarray, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, lists, pa.array(n[:, 0], pa.int64())], [*names, "__text_loglik", "__n_trigrams"])
 
     made = [T.StructField("__text_loglik", T.ArrayType(T.DoubleType())), T.StructField("__n_trigrams", T.LongType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *made]))
+    return in_batches(df, run, T.StructType([*df.schema.fields, *made]))
 
 
 def _softmax(values: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, read, release
+from .common import in_batches, materialize, parallelism, read, release
 from .graph import components, forest
 from .textkit import byte_values, mix, prefixes, ranges, runs, segment, slices, utf8_chunks
 from .vectors import meet
@@ -111,7 +111,7 @@ def sketch(df: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1) * 2 * TABLES, pa.int32()), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(np.diff(bounds)), pa.array(one), pa.array(two), lists], ["doc_id", "n", "s1", "s2", "keys"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return in_batches(df.select("doc_id", "text"), run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def set_arrays(texts: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def set_arrays(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists], ["doc_id", "set"]).filter(pa.array(fits))
 
-    return texts.select("doc_id", "text", "n", "s1", "s2").mapInArrow(run, "doc_id long, set array<long>")
+    return in_batches(texts.select("doc_id", "text", "n", "s1", "s2"), run, "doc_id long, set array<long>")
 
 
 def similar(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def linked_to_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep = low + np.flatnonzero(similar(both, np.diff(bounds[low : high + 1]), len(held)))
                     yield pa.RecordBatch.from_arrays([pa.array(hub[keep]), pa.array(rep[keep])], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return in_batches(rows, run, "u long, v long")
 
 
 def _linked_in_block(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

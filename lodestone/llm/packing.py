@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceTable, TokenBytes, encode_texts
-from .common import materialize, read
+from .common import in_batches, materialize, read
 from .textkit import slices
 
 MAX_LEN = 1024
@@ -110,7 +110,7 @@ def cut_pieces(df: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = E
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(df.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_slots(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int, int, int, int]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import in_batches, materialize, read
 from .vectors import clean, matrix, meet, sample
 
 TOP = 20
@@ -232,8 +232,8 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, recall: float =
         return df.where(F.size("vector") == dims).select("id", "vector")
 
     nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("parts", "array<int>"), ("floor", "double"))}
-    members = of_size(every).mapInArrow(placed, f"cell int, id long, part int, vector {kind}").select("cell", "id", "part", "vector", nothing["parts"], nothing["floor"])
-    visitors = of_size(asked).mapInArrow(sent, f"cell int, id long, vector {kind}, parts array<int>, floor double").select("cell", "id", nothing["part"], "vector", "parts", "floor")
+    members = in_batches(of_size(every), placed, f"cell int, id long, part int, vector {kind}").select("cell", "id", "part", "vector", nothing["parts"], nothing["floor"])
+    visitors = in_batches(of_size(asked), sent, f"cell int, id long, vector {kind}, parts array<int>, floor double").select("cell", "id", nothing["part"], "vector", "parts", "floor")
 
     def rank(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         part = held.column("part").to_numpy()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import in_batches, materialize, read
 from .graph import components, forest
 from .vectors import clean, k_means, matrix, meet, nearest, sample
 
@@ -145,7 +145,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 coded = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), part.column("vector"), pa.array(home.astype(np.int32)), coded, pa.array(error), probes], ["id", "weight", "vector", "home", "codes", "error", "probes"])
 
-    placed = heads.select("id", "weight", "vector").mapInArrow(place, f"id long, weight long, vector {heads.schema['vector'].dataType.simpleString()}, home int, codes binary, error double, probes array<int>")
+    placed = in_batches(heads.select("id", "weight", "vector"), place, f"id long, weight long, vector {heads.schema['vector'].dataType.simpleString()}, home int, codes binary, error double, probes array<int>")
     placed = materialize(placed, "coded-vectors")
     members = placed.select(F.col("home").alias("cell"), "id", "weight", "vector", "codes", "error", "home", "probes")
     queries = placed.select(F.explode("probes").alias("cell"), "id", "weight", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "home", F.lit(None).cast("array<int>").alias("probes"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, parallelism, read
+from .common import in_batches, materialize, parallelism, read
 from .textkit import U, byte_values, checks, mix, prefixes, ranges, slices, spread, utf8_chunks
 
 LENGTH = 100
@@ -124,7 +124,7 @@ def _ordered(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
             for first in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 100_000]) for c in columns], list(kinds))
 
-    flat = rows.repartition(parallelism(rows.sparkSession), "bucket").mapInArrow(unpack, ", ".join(f"{k} {_KINDS[t]}" for k, t in kinds.items()))
+    flat = in_batches(rows.repartition(parallelism(rows.sparkSession), "bucket"), unpack, ", ".join(f"{k} {_KINDS[t]}" for k, t in kinds.items()))
     return flat.sortWithinPartitions(*kinds)
 
 
@@ -172,7 +172,7 @@ def stretch_rows(docs: DataFrame, buckets: int) -> DataFrame:
                 columns = {"name": name[keep].view(np.int64), "whole": whole[keep].view(np.int64), "check": check[keep], "doc": doc[keep], "first": first[keep].astype(np.int32), "count": (last[keep] - first[keep] + 1).astype(np.int32)}
                 yield _with_done(columns, *merged(first[later], last[later] + 1, doc[later]), buckets)
 
-    return docs.mapInArrow(run, _schema(_STRETCH))
+    return in_batches(docs, run, _schema(_STRETCH))
 
 
 def judged_stretches(rows: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def judged_stretches(rows: DataFrame) -> DataFrame:
                 held = (x["doc"][k], SHARED, x["first"][k], last[k]) if opens[-1] else None
             before = tuple(v[-1] for v in names)
 
-    return _ordered(rows, _STRETCH).mapInArrow(run, _SPANS)
+    return in_batches(_ordered(rows, _STRETCH), run, _SPANS)
 
 
 def window_rows(shared: DataFrame, buckets: int) -> DataFrame:
@@ -237,7 +237,7 @@ def window_rows(shared: DataFrame, buckets: int) -> DataFrame:
                 columns = {"name": name[keep].view(np.int64), "check": check[keep], "doc": doc[keep], "first": place[keep].astype(np.int32), "count": np.ones(len(keep), np.int32)}
                 yield _with_done(columns, *merged(place[later], place[later] + 1, doc[later]), buckets)
 
-    return shared.mapInArrow(run, _schema(_WINDOWS))
+    return in_batches(shared, run, _schema(_WINDOWS))
 
 
 def judged_windows(rows: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def judged_windows(rows: DataFrame) -> DataFrame:
             yield _spans(d, REPEAT, s, e - 1)
             before = tuple(v[-1] for v in names)
 
-    return _ordered(rows, _WINDOWS).mapInArrow(run, _SPANS)
+    return in_batches(_ordered(rows, _WINDOWS), run, _SPANS)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def cut(docs: DataFrame, repeats: DataFrame, carry: tuple[str, ...] = ("doc_id",
                 )
 
     made = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary, left string")
-    found = joined.mapInArrow(run, T.StructType([joined.schema["carried"], *made.fields]))
+    found = in_batches(joined, run, T.StructType([joined.schema["carried"], *made.fields]))
     return found.select("carried.*", *made.fieldNames())
 
 

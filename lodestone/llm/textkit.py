@@ -116,6 +116,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+        pa.default_memory_pool().release_unused()
         _trim()(0)
 
 

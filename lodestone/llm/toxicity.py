@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import in_batches, read
 from .textkit import NUMBER, classes, code_points, mix, point_values, prefixes, ranges, runs, segment, slices, text_chunks
 
 WIDTHS = (1, 2, 3)
@@ -237,7 +237,7 @@ def _word_lists(df: DataFrame) -> DataFrame:
                 parts = [words.parts[words.codes[i:j]].astype("<i4").tobytes() if j - i <= MAX_TRAIN_WORDS else None for i, j in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c)[first:last] for c in ("doc_id", "toxic", "lang")] + [pa.array(parts, pa.binary())], ["doc_id", "toxic", "lang", "parts"])
 
-    return df.select("doc_id", F.col("toxic").cast("int"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, toxic int, lang string, parts binary")
+    return in_batches(df.select("doc_id", F.col("toxic").cast("int"), F.col("lang").cast("string"), "text"), run, "doc_id long, toxic int, lang string, parts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -294,7 +294,7 @@ def score(df: DataFrame, model: Model, text: str = "text", lang: str | None = "l
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array(limit), pa.array(found >= limit)], [*names, *made])
 
     fields = [T.StructField("toxicity", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("toxic_flag", T.BooleanType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return in_batches(df, run, T.StructType([*df.schema.fields, *fields]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import in_batches, parallelism
 
 
 def usable(vector: str) -> Column:
@@ -96,4 +96,4 @@ def meet(members: DataFrame, queries: DataFrame, cell: str, block_rows: int, spl
                     held = held if held is not None else pa.Table.from_batches(parts).combine_chunks()
                     yield from run(held, part)
 
-    return rows.mapInArrow(each, schema)
+    return in_batches(rows, each, schema)
