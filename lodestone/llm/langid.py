@@ -27,6 +27,8 @@ HOST_LEANS = SITE_LEANS = SUFFIX_LEANS = 5.0
 CLEAR_TRIGRAMS = 10
 #: The log-likelihood of a text is scaled down to this many trigrams, as neighbouring trigrams aren't independent.
 EFFECTIVE_TRIGRAMS = 40.0
+#: Numbers that the hosts' priors are broadcast with at most; larger tables are joined by a shuffle.
+MAX_BROADCAST_NUMBERS = 1_000_000
 UNKNOWN = "und"
 #: A row is rejected if its language is unknown or its posterior is below this.
 MIN_POSTERIOR = 0.5
@@ -151,27 +153,35 @@ def host_levels(host: Column) -> dict[str, Column]:
     }
 
 
-def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Column | None = None, train: DataFrame | None = None) -> DataFrame:
+def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Column | None = None, train: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
     """df with language, language_posterior, text_language and language_rejected.
 
     declared names the column with a row's declared language (it may be null or wrong), host an expression of its host.
     Trigrams are counted on train, which has the same two columns (default: df itself).  A text without letters, null
     texts included, carries no text evidence: its language is 'und' and it is rejected.  So is a text that fits no
-    language better than letters at random.  With no declared language at all every row is 'und'.
+    language better than letters at random.  With no declared language at all every row is 'und'.  Of languages with equal
+    posteriors the first by name is taken.  Rows that are repeated count each time and come back each time.  Texts are read
+    whole, one row at a time.  An empty table gives no rows.  With keep_text=False the text column is left out, and the
+    evidence is written down once instead of worked out again for the result.
     """
     made = ("language", "language_posterior", "text_language", "language_rejected")
     df = df.drop(*made)
+    columns = [c for c in df.columns if keep_text or c != text]
     source = df if train is None else train
     languages = declared_languages(source, declared)
     n = len(languages)
     if not n:
-        return df.select("*", F.lit(UNKNOWN).alias(made[0]), F.lit(0.0).alias(made[1]), F.lit(UNKNOWN).alias(made[2]), F.lit(True).alias(made[3]))
+        return df.select(*columns, F.lit(UNKNOWN).alias(made[0]), F.lit(0.0).alias(made[1]), F.lit(UNKNOWN).alias(made[2]), F.lit(True).alias(made[3]))
     counts = trigram_counts(source, languages, text, declared)
     refutable = EFFECTIVE_TRIGRAMS * np.log1p(counts.sum(1) / (0.5 * BUCKETS)) >= UNKNOWN_MARGIN
     table = trigram_table(counts)
     said = F.col(declared).cast("string")
     names = F.array(*map(F.lit, languages))
-    rows = text_evidence(df, table, text)
+    given = df if host is None else df.withColumn("__given_host", host)
+    rows = text_evidence(given, table, text)
+    host = None if host is None else F.col("__given_host")
+    if not keep_text:
+        rows = materialize(rows.drop(text), "language-rows")
     flat = F.slice("__text_loglik", F.lit(1), F.lit(n))
     rows = rows.withColumn("__p", _softmax(flat)).withColumns(host_levels(host if host is not None else F.lit(None).cast("string")))
     rows = rows.withColumn("__said", F.when(F.array_contains(names, said), said))
@@ -193,10 +203,15 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Co
     sites = _shares(clear, "__site", n).withColumn("__suffix", F.substring_index("__site", ".", -1)).join(suffixes, "__suffix", "left")
     sites = sites.select("__site", _lean(F.col("mass"), F.col("__suffix_prior"), SITE_LEANS).alias("__site_prior"))
     hosts = _shares(clear, "__host", n).withColumn("__site", host_levels(F.col("__host"))["__site"]).join(sites, "__site", "left")
-    hosts = hosts.select("__host", _lean(F.col("mass"), F.col("__site_prior"), HOST_LEANS).alias("__prior"))
-
-    rows = rows.join(hosts, "__host", "left").join(F.broadcast(declares), "__said", "left")
-    prior = F.coalesce("__prior", F.when(F.lit(host is None), even), top)
+    hosts = materialize(hosts.select("__host", F.col("mass").alias("__mass"), "__site_prior"), "hosts")
+    few = hosts.limit(MAX_BROADCAST_NUMBERS // (2 * n) + 1).count() <= MAX_BROADCAST_NUMBERS // (2 * n)
+
+    # rows without a host meet none, but not all in one task
+    rows = rows.withColumn("__host", F.coalesce("__host", F.concat(F.lit("\0"), F.xxhash64("__text_loglik").cast("string"))))
+    rows = rows.join(F.broadcast(hosts) if few else hosts, "__host", "left").join(F.broadcast(declares), "__said", "left")
+    # a row's own text is evidence already: its share of the host's mass doesn't count again
+    others = F.zip_with("__mass", "__p", lambda m, x: F.greatest(m - x * weight, F.lit(0.0))) if train is None else F.col("__mass")
+    prior = F.coalesce(_lean(others, F.col("__site_prior"), HOST_LEANS), F.when(F.lit(host is None), even), top)
     hint = F.coalesce("__hint", F.transform(even, lambda x: F.lit(0.0)))
     fused = F.zip_with(F.zip_with(flat, hint, lambda a, b: a + b), F.transform(prior, lambda x: F.ln(x)), lambda a, b: a + b)
     rows = rows.withColumn("__posterior", _softmax(fused))
@@ -212,7 +227,7 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: Co
         }
     )
     rows = rows.withColumn("language_rejected", (F.col("language") == UNKNOWN) | (F.col("language_posterior") < MIN_POSTERIOR))
-    return rows.select(*df.columns, *made)
+    return rows.select(*columns, *made)
 
 
 def visible_text(html: Column) -> Column:
@@ -227,5 +242,5 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = url_parts(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     declared = F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     pages = pages.select("page_id", "host", F.nullif(declared, F.lit("")).alias("declared"), visible_text(F.col("html")).alias("text"))
-    found = identify(pages, "text", "declared", F.col("host"))
+    found = identify(pages, "text", "declared", F.col("host"), keep_text=False)
     return found.select("page_id", "host", "declared", "language", F.round("language_posterior", 6).alias("posterior"), "text_language", F.col("language_rejected").alias("rejected"))

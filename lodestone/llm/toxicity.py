@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +27,10 @@ SIZE = 12
 BUCKETS = 1 << 17
 #: Lengths of the beginnings that share in a longer word's embedding.
 BEGINNINGS = (4, 5, 6, 7)
-#: Labelled rows the model is trained on at most, taken by a hash of the id, and words a training text may have.
+#: Labelled rows the model is trained on at most, taken by a hash of the id, and the characters that they have together:
+#: the row that reaches the bound is the last one, whatever its length.
 MAX_TRAIN_ROWS = 6_000
-MAX_TRAIN_WORDS = 4_000
+MAX_TRAIN_CHARS = 20_000_000
 EPOCHS = 8
 #: Rows of the sample that set the thresholds instead of the weights: one in so many.
 CALIBRATION = 5
@@ -82,7 +83,7 @@ def fresh(seed: int = 11) -> Model:
 
 
 def vectors(model: Model, words: Words) -> np.ndarray:
-    out = np.zeros((len(words.parts), SIZE), np.float32)
+    out = np.zeros((len(words.parts), SIZE), model.embed.dtype)
     for k in range(words.parts.shape[1]):
         out += model.embed[words.parts[:, k]]
     return out[words.codes]
@@ -121,6 +122,48 @@ def gather(texts: list[np.ndarray], rows, parts: np.ndarray) -> Words:
     return Words(codes, bounds, parts[found])
 
 
+@dataclass
+class Gradients:
+    """Of the loss() by each array of a model; embed has rows for the buckets that the texts' words have."""
+
+    buckets: np.ndarray
+    embed: np.ndarray
+    filters: dict[int, np.ndarray]
+    bias: np.ndarray
+    weight: np.ndarray
+    offset: float
+
+
+def gradients(model: Model, text: Words, labels: np.ndarray, balance: np.ndarray) -> Gradients:
+    """Gradients of the mean weighted cross-entropy and 5e-5 times the weights' square; maxima pass them to their places."""
+    words, bounds, kind = text.codes, text.bounds, model.weight.dtype
+    rows = vectors(model, text)
+    best, place = _argmax(model, rows, bounds)
+    z = best @ model.weight + model.offset
+    error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance / len(labels)).astype(kind)
+    back = np.outer(error, model.weight) * (best > 0)
+    places, given, filters, bias = [], [], {}, np.zeros_like(model.bias)
+    for k, width in enumerate(WIDTHS):
+        part = back[:, k * FILTERS : (k + 1) * FILTERS]
+        doc, f = np.nonzero(part)
+        g, at = part[doc, f], place[doc, k * FILTERS + f]
+        filters[width] = np.zeros_like(model.filters[width])
+        for j in range(width):
+            inside = at + j < bounds[doc + 1]
+            w, fj, gj = words[at[inside] + j], f[inside], g[inside]
+            np.add.at(filters[width][j].T, fj, gj[:, None] * rows[at[inside] + j])
+            one = gj[:, None] * model.filters[width][j][:, fj].T
+            for buckets in text.parts[w].T:
+                places.append(buckets)
+                given.append(one)
+        np.add.at(bias, k * FILTERS + f, g)
+    at, inverse = np.unique(np.concatenate(places), return_inverse=True)
+    embed = np.zeros((len(at), SIZE), kind)
+    np.add.at(embed, inverse, np.concatenate(given))
+    embed[at == BUCKETS] = 0
+    return Gradients(at, embed, filters, bias, best.T @ error + 1e-4 * model.weight, float(error.sum()))
+
+
 def train(texts: list[np.ndarray], parts: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = EPOCHS, rate: float = 0.05, seed: int = 11) -> Model:
     """A model for texts given as codes of words, whose buckets are in parts.  Every CALIBRATION-th text only sets the thresholds."""
     model = fresh(seed)
@@ -145,40 +188,14 @@ def train(texts: list[np.ndarray], parts: np.ndarray, labels: np.ndarray, langs:
         order = rng.permutation(rows)
         for first in range(0, len(order), size):
             batch = order[first : first + size]
-            text = gather(texts, batch, parts)
-            words, bounds = text.codes, text.bounds
-            rows_ = vectors(model, text)
-            best, place = _argmax(model, rows_, bounds)
-            z = best @ model.weight + model.offset
-            error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) * balance[batch] / len(batch)).astype(np.float32)
-            back = np.outer(error, model.weight) * (best > 0)
-            weight_gradient = best.T @ error + 1e-4 * model.weight
-            places, gradients = [], []
-            for k, width in enumerate(WIDTHS):
-                part = back[:, k * FILTERS : (k + 1) * FILTERS]
-                doc, f = np.nonzero(part)
-                g, at = part[doc, f], place[doc, k * FILTERS + f]
-                gradient = np.zeros_like(model.filters[width])
-                for j in range(width):
-                    inside = at + j < bounds[doc + 1]
-                    w, fj, gj = words[at[inside] + j], f[inside], g[inside]
-                    np.add.at(gradient[j].T, fj, gj[:, None] * rows_[at[inside] + j])
-                    one = gj[:, None] * model.filters[width][j][:, fj].T
-                    for buckets in text.parts[w].T:
-                        places.append(buckets)
-                        gradients.append(one)
-                bias = np.zeros_like(model.bias)
-                np.add.at(bias, k * FILTERS + f, g)
-                step(model.bias, bias)
-                step(model.filters[width], gradient)
-            at, inverse = np.unique(np.concatenate(places), return_inverse=True)
-            gradient = np.zeros((len(at), SIZE), np.float32)
-            np.add.at(gradient, inverse, np.concatenate(gradients))
-            gradient[at == BUCKETS] = 0
-            step(model.embed, gradient, at)
-            step(model.weight, weight_gradient)
-            offset_grown += float(error.sum()) ** 2
-            model.offset -= rate * float(error.sum()) / (offset_grown**0.5 + eps)
+            found = gradients(model, gather(texts, batch, parts), labels[batch], balance[batch])
+            step(model.bias, found.bias)
+            for width in WIDTHS:
+                step(model.filters[width], found.filters[width])
+            step(model.embed, found.embed, found.buckets)
+            step(model.weight, found.weight)
+            offset_grown += found.offset**2
+            model.offset -= rate * found.offset / (offset_grown**0.5 + eps)
     held_rows = np.flatnonzero(held)
     model.thresholds = calibrate(scores(model, gather(texts, held_rows, parts)), labels[held_rows], [langs[i] for i in held_rows])
     return model
@@ -187,7 +204,7 @@ def train(texts: list[np.ndarray], parts: np.ndarray, labels: np.ndarray, langs:
 def _argmax(model: Model, rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maxima as pooled() has them, and where each stands."""
     n = len(bounds) - 1
-    best, place = np.zeros((n, len(WIDTHS) * FILTERS), np.float32), np.zeros((n, len(WIDTHS) * FILTERS), np.int64)
+    best, place = np.zeros((n, len(WIDTHS) * FILTERS), model.weight.dtype), np.zeros((n, len(WIDTHS) * FILTERS), np.int64)
     if not len(rows):
         return best, place
     end = np.repeat(bounds[1:], np.diff(bounds))
@@ -228,31 +245,35 @@ def calibrate(found: np.ndarray, labels: np.ndarray, langs: list[str]) -> dict[s
 
 
 def _word_lists(df: DataFrame) -> DataFrame:
-    """(doc_id, toxic, lang, parts): the buckets of each text's words, or null for more than MAX_TRAIN_WORDS words."""
+    """(doc_id, toxic, lang, parts): the buckets of each text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for first, last, texts in text_chunks(batch.column("text")):
                 words = read_words(texts)
-                parts = [words.parts[words.codes[i:j]].astype("<i4").tobytes() if j - i <= MAX_TRAIN_WORDS else None for i, j in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+                parts = [words.parts[words.codes[i:j]].astype("<i4").tobytes() for i, j in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c)[first:last] for c in ("doc_id", "toxic", "lang")] + [pa.array(parts, pa.binary())], ["doc_id", "toxic", "lang", "parts"])
 
     return in_batches(df.select("doc_id", F.col("toxic").cast("int"), F.col("lang").cast("string"), "text"), run, "doc_id long, toxic int, lang string, parts binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """A model from docs (doc_id, text, lang) and labels (doc_id, toxic).
 
-    At most max_rows labelled texts of at most MAX_TRAIN_WORDS words are taken, by a hash of doc_id, half of them of
-    label 1 if there are as many.  Null labels don't count; of several labels of a document the largest does.
+    At most max_rows labelled texts are taken whole, by a hash of doc_id, half of them of label 1 if there are as many, and
+    no more once they have max_chars characters.  Null labels don't count; of several labels of a document the largest
+    does.  Equal rows train once, different texts of one doc_id each.  Without rows of both labels the score is a constant.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     half = [known.where(f"toxic {'>' if k else '<='} 0").orderBy(order, "doc_id").limit(max_rows // 2) for k in (0, 1)]
     chosen = half[0].unionAll(half[1])
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    before = Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # max_rows rows at most
+    chosen = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_chars).select("doc_id", "toxic")
     found = _word_lists(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id"))
-    rows = found.where("parts is not null").toArrow().to_pylist()
-    rows.sort(key=lambda r: ((r["doc_id"] * 2654435761) % (1 << 32), r["doc_id"], r["parts"]))
+    rows = list({(r["doc_id"], r["lang"], r["parts"]): r for r in found.toArrow().to_pylist()}.values())
+    rows.sort(key=lambda r: ((r["doc_id"] * 2654435761) % (1 << 32), r["doc_id"], r["parts"], r["lang"] or ""))
     width = 1 + len(BEGINNINGS)
     every = np.frombuffer(b"".join(r["parts"] for r in rows), "<i4").reshape(-1, width)
     sizes = [len(r["parts"]) // (4 * width) for r in rows]
