@@ -31,6 +31,8 @@ PERCENT = 75
 TABLES, ROWS = 20, 5
 #: Members that are compared with one copy of their hub's text, and rows of the blocks compared with one another.
 HUB_ROWS, BLOCK_ROWS = 256, 256
+#: Ids that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _STEPS = _rng.integers(1, 2**63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,5 +261,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps: of rows that share a doc_id the least, all rows without one.
+
+    Texts stay where they are unless more than MAX_BROADCAST_IDS documents go or more share their doc_id with another row.
+    """
+    found = materialize(near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"), "decisions")
+    gone = found.where("not kept").select("doc_id")
+    shared = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "shared-ids")
+    left = docs.join(_small(gone), "doc_id", "left_anti")
+    if shared.isEmpty():
+        return left.select(*docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = left.join(_small(shared), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    return left.join(_small(shared), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

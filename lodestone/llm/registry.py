@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, langid, minhash, packing, partitions, pii, pq, suffixes, toxicity, urls
+from . import bpe, langid, minhash, oracles, packing, partitions, pii, pq, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_minhash": oracles.MINHASH, "op7_suffixes": oracles.SUFFIXES, "op10_pq": oracles.VECTORS}

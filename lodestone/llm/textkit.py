@@ -54,21 +54,19 @@ def _reduced(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = [[np.ones(1, U), np.ones(1, U)] for _ in _POINTS]
-
-
-def powers(k: int, n: int) -> list[np.ndarray]:
-    """The residue's point to the i and to the -i for i up to n."""
-    if len(_powers[k][0]) <= n:
-        size = max(n + 1, 2 * len(_powers[k][0]), 1 << 16)
-        for side, base in enumerate((_POINTS[k], pow(_POINTS[k], -1, _PRIME))):
-            steps = np.ones(size, U)
-            have = 1
-            while have < size:
-                more = min(have, size - have)
-                steps[have : have + more] = _reduced(steps[:more] * U(pow(base, have, _PRIME)))
-                have += more
-            _powers[k][side] = steps
+_powers = [np.ones(1, np.uint32) for _ in _POINTS]
+
+
+def powers(k: int, n: int) -> np.ndarray:
+    """The residue's point to the i for i up to n at least; the last entry's inverse scales the rest to negative powers."""
+    if len(_powers[k]) <= n:
+        steps = np.ones(max(n + 1, 5 * len(_powers[k]) // 4, 1 << 16), np.uint32)
+        have = 1
+        while have < len(steps):
+            more = min(have, len(steps) - have)
+            steps[have : have + more] = _reduced(steps[:more].astype(U) * U(pow(_POINTS[k], have, _PRIME)))
+            have += more
+        _powers[k] = steps
     return _powers[k]
 
 
@@ -77,7 +75,7 @@ def prefixes(values: np.ndarray) -> np.ndarray:
     n = values.shape[1]
     out = np.zeros((len(values), n + 1), U)
     for k, x in enumerate(values):
-        x = x * powers(k, n)[0][:n]
+        x = x * powers(k, n)[:n]
         high = x >> _BITS
         x &= _P
         x += high
@@ -86,7 +84,10 @@ def prefixes(values: np.ndarray) -> np.ndarray:
 
 
 def _residue(prefix: np.ndarray, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _reduced(_reduced(prefix[k][end] - prefix[k][start]) * powers(k, prefix.shape[1])[1][start])
+    up = powers(k, prefix.shape[1])
+    # the point to the -start is its power to the (last - start) times the inverse of the last power
+    down = _reduced(up[len(up) - 1 - start].astype(U) * U(pow(_POINTS[k], -(len(up) - 1), _PRIME)))
+    return _reduced(_reduced(prefix[k][end] - prefix[k][start]) * down)
 
 
 def ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
