@@ -1,8 +1,11 @@
-"""Byte-level BPE: splitting, merge replay over distinct pieces, and decoding.
-
-Texts are split by the GPT-2 pattern with array operations, so the work a text costs is a fingerprint for each piece.
-Only distinct pieces are merged: an inverted index from token pair to the places where it stands is replayed in rank
-order over all of them together, and each merge looks again only at the neighbours it touched.
+"""Byte-level BPE: splitting, merge replay over the corpus's distinct pieces, and decoding.
+
+Texts are split by the GPT-2 pattern with array operations, so the work a text costs is a fingerprint for each piece.  The
+pieces of the whole corpus are counted by a partial aggregation.  Those that occur often are dealt out and merged part by
+part: an inverted index from token pair to the places where it stands is replayed in rank order over all pieces of a part
+together, and each merge looks again only at the neighbours it touched.  Texts are then encoded by looking their pieces up
+in the table so made.  The table is bounded, as every task holds it; pieces that occur too seldom to be in it are merged by
+the same replay where they stand.
 """
 
 from __future__ import annotations
@@ -10,21 +13,30 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import in_batches, read
+from .common import in_batches, materialize, parallelism, read, release
 from .textkit import LETTER, SPACE, chunks, classes, code_points, point_values, prefixes, ranges, slices, spread
 
 #: Endings that follow an apostrophe as a piece of their own (fixed values, from the pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Distinct pieces a worker remembers between batches.
+#: Pieces of the corpus's table, the most frequent ones; some 30 bytes each in every task.
+TABLE_PIECES = 1_000_000
+#: Distinct pieces a worker remembers between batches besides those of the table, or counts before it hands them on.
 REMEMBERED = 400_000
+#: Pieces that are replayed together.
+PART_PIECES = 50_000
+#: Counts above this are alike where the least count of a piece of the table is chosen.
+MANY = 10_000
 #: Rows whose new pieces are merged together.
 REPLAYED = 4_000
 _KEY = 1 << 20
@@ -230,34 +242,47 @@ def replay(words: list[bytes], vocabulary: Merges) -> tuple[np.ndarray, np.ndarr
     return ids, counts
 
 
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]  # fingerprints in order, how many ids each has, and the ids
+
+
 class PieceTable:
-    """Ids of the distinct pieces a worker has met, looked up by fingerprint; at most REMEMBERED stay between batches.
+    """Ids of pieces, looked up by fingerprint: those of a table made before, and those a worker has met since, of which at
+    most REMEMBERED stay between batches.
 
     encode gives the ids of pieces; tokens turns ids back into bytes, by which every look-up is checked.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], tokens: TokenBytes):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], tokens: TokenBytes, table: Table | None = None):
         self.encode, self.tokens = encode, tokens
+        none = np.zeros(0, np.int64)
+        self.known, count, self.first = table if table is not None else (none.view(np.uint64), none, none)
+        self.counts = count.astype(np.int64)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count, self.ids = self.counts, self.first
+        self.start = np.cumsum(self.count) - self.count
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, known)"""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        rows = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return rows, self.keys[rows] == keys
+        rows, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for names, places in ((self.known, None), (self.keys, self.order)):
+            if len(names):
+                at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+                hit = (names[at] == keys) & ~found
+                rows[hit] = at[hit] if places is None else places[at[hit]]
+                found |= hit
+        return rows, found
 
     def add(self, keys: np.ndarray, words: list[bytes]) -> None:
         ids, count = self.encode(words)
-        start = len(self.ids) + np.cumsum(count) - count
-        keys = np.concatenate([self.keys, keys])
+        places = np.arange(len(self.count), len(self.count) + len(keys))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        keys, places = np.concatenate([self.keys, keys]), np.concatenate([self.order, places])
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        self.keys, self.order = keys[order], places[order]
 
 
 def _by_bytes(text: str, start: np.ndarray, end: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
@@ -269,6 +294,88 @@ def _by_bytes(text: str, start: np.ndarray, end: np.ndarray, table: PieceTable)
     return ids[spread((np.cumsum(count) - count)[rows], count[rows])], count[rows]
 
 
+def _pieces(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, start, codes, distinct, first, bounds): the texts as one, where pieces start in it, for each piece its place
+    among the distinct fingerprints, these, the first piece of each, and where each text begins."""
+    points, bounds = code_points(texts)
+    if not len(points):
+        none = np.zeros(0, np.int64)
+        return "", none, none, none.view(np.uint64), none, bounds
+    start = split_points(points, bounds)
+    codes, distinct = pd.factorize(ranges(prefixes(point_values(points)), start, np.append(start[1:], len(points))))
+    seen = np.maximum.accumulate(codes)
+    return "".join(texts), start, codes, distinct, np.flatnonzero(np.concatenate([[True], seen[1:] > seen[:-1]])), bounds
+
+
+def corpus_pieces(df: DataFrame, text: str = "text") -> DataFrame:
+    """(piece, n): the distinct pieces of all texts and how often each occurs.
+
+    A task adds up what it meets, REMEMBERED pieces at a time, so a piece that every text holds is few rows.
+    """
+
+    def handed(keys: list[np.ndarray], counts: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+        for low in range(0, len(first), 20_000):
+            part = first[low : low + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in part.tolist()], pa.binary()), pa.array(n[low : low + 20_000])], ["piece", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, words = [], [], []
+        for batch in slices(batches, REPLAYED):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for first, last in chunks(np.array([len(t) for t in texts], np.int64)):
+                joined, start, codes, distinct, new, _ = _pieces(texts[first:last])
+                end = np.append(start[1:], len(joined))
+                keys.append(distinct)
+                counts.append(np.bincount(codes, minlength=len(distinct)))
+                words += [joined[i:j].encode() for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+                if len(words) > REMEMBERED:
+                    yield from handed(keys, counts, words)
+                    keys, counts, words = [], [], []
+        if words:
+            yield from handed(keys, counts, words)
+
+    return in_batches(df.select(text), run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def corpus_table(df: DataFrame, path: str, text: str = "text", most: int = TABLE_PIECES) -> Table:
+    """Ids of the corpus's most frequent pieces, at most so many: all that occur as often as some least number of times."""
+    pieces = materialize(corpus_pieces(df, text), "pieces")
+    rows = pieces.groupBy(F.least("n", F.lit(MANY)).alias("n")).agg(F.count("*").alias("c")).collect()  # at most MANY rows
+    total, least = 0, MANY + 1
+    for n, c in sorted(((r.n, r.c) for r in rows), reverse=True):
+        if total + c > most:
+            break
+        total, least = total + c, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[bytes] = []
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            while len(words) >= PART_PIECES:
+                yield replayed(words[:PART_PIECES])
+                words = words[PART_PIECES:]
+        if words:
+            yield replayed(words)
+
+    def replayed(words: list[bytes]) -> pa.RecordBatch:
+        ids, count = replay(words, merges(path))
+        points, bounds = code_points([w.decode() for w in words])
+        names = ranges(prefixes(point_values(points)), bounds[:-1], bounds[1:])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), lists], ["name", "ids"])
+
+    chosen = pieces.where(F.col("n") >= least).select("piece").repartition(parallelism(df.sparkSession), "piece")
+    found = in_batches(chosen, run, "name long, ids array<int>").toArrow().combine_chunks()
+    names = found.column("name").to_numpy().view(np.uint64)
+    # of pieces with one fingerprint any may stand for it: look-ups are checked
+    names, first = np.unique(names, return_index=True)
+    lists = found.column("ids").combine_chunks().take(pa.array(first)) if len(names) else pa.array([], pa.list_(pa.int32()))
+    release(pieces)
+    return names, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def encode_texts(texts: list[str], table: PieceTable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, ids, bounds, data, places) for groups of the texts: the ids one after another and each text's bounds,
     the bytes they decode to and each text's bounds there.
@@ -280,16 +387,8 @@ def encode_texts(texts: list[str], table: PieceTable) -> Iterator[tuple[int, int
         table.clear()
     parts, wanted = [], {}
     for first, last in chunks(np.array([len(t) for t in texts], np.int64)) if texts else ():
-        joined = "".join(texts[first:last])
-        points, bounds = code_points(texts[first:last])
-        if not len(points):
-            parts.append((first, last, joined, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), bounds))
-            continue
-        start = split_points(points, bounds)
-        end = np.append(start[1:], len(points))
-        codes, distinct = pd.factorize(ranges(prefixes(point_values(points)), start, end))
-        seen = np.maximum.accumulate(codes)
-        new = np.flatnonzero(np.concatenate([[True], seen[1:] > seen[:-1]]))
+        joined, start, codes, distinct, new, bounds = _pieces(texts[first:last])
+        end = np.append(start[1:], len(joined))
         for k in np.flatnonzero(~table.find(distinct)[1]):
             key = int(distinct[k])
             if key not in wanted:
@@ -321,16 +420,31 @@ def _utf8_lengths(points: np.ndarray) -> np.ndarray:
 
 @lru_cache(4)
 def replay_table(path: str) -> PieceTable:
+    """A table of nothing but what a worker meets."""
     vocabulary = merges(path)
     return PieceTable(lambda words: replay(words, vocabulary), vocabulary)
 
 
+_held: dict[str, PieceTable] = {}
+
+
+def shared_table(path: str, name: str, table: Broadcast) -> PieceTable:
+    """The worker's table over a broadcast one of this name; of several the last stays."""
+    if name not in _held:
+        _held.clear()
+        vocabulary = merges(path)
+        _held[name] = PieceTable(lambda words: replay(words, vocabulary), vocabulary, table.value)
+    return _held[name]
+
+
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ids): the ids of each text, null reading as empty.  Rows with equal or null ids are independent."""
+    """(id, ids): the ids of each text, null reading as empty.  Rows with equal or null ids are independent; texts are read
+    whole, and no rows give no rows."""
+    table, name = df.sparkSession.sparkContext.broadcast(corpus_table(df, path, text)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, REPLAYED):
-            for first, last, ids, bounds, _, _ in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
+            for first, last, ids, bounds, _, _ in encode_texts([t or "" for t in batch.column(1).to_pylist()], shared_table(path, name, table)):
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists], ["id", "ids"])
 
@@ -344,10 +458,11 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
 
 def encoded_digests(df: DataFrame, path: str) -> DataFrame:
     """The digests of what encode_documents gives and of its decoding, without shipping the ids themselves."""
+    table, name = df.sparkSession.sparkContext.broadcast(corpus_table(df, path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, REPLAYED):
-            for first, last, ids, bounds, data, places in encode_texts([t or "" for t in batch.column(1).to_pylist()], replay_table(path)):
+            for first, last, ids, bounds, data, places in encode_texts([t or "" for t in batch.column(1).to_pylist()], shared_table(path, name, table)):
                 raw, low = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
                 text, at = memoryview(data.tobytes()), places.tolist()
                 yield pa.RecordBatch.from_arrays(

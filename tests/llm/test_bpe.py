@@ -58,6 +58,22 @@ def test_pieces_with_one_fingerprint_keep_their_own_ids(monkeypatch):
         check()
 
 
+def test_the_corpus_table_holds_the_most_frequent_pieces(spark):
+    texts = ["one two two two", "two one ten", "two 7 ten", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts = {bytes(r.piece): r.n for r in bpe.corpus_pieces(df).collect()}
+    assert counts == {b"one": 1, b" two": 3, b"two": 2, b" one": 1, b" ten": 2, b" 7": 1}
+    names, count, ids = bpe.corpus_table(df, P.path(FILES[0]), most=4)
+    assert len(names) == 3 and len(ids) == count.sum() and (np.diff(names.astype(object)) > 0).all()
+    assert len(bpe.corpus_table(df, P.path(FILES[0]), most=0)[0]) == 0
+    known = library(FILES[0])
+    table = bpe.PieceTable(lambda words: bpe.replay(words, bpe.merges(P.path(FILES[0]))), bpe.merges(P.path(FILES[0])), (names, count, ids))
+    for _ in range(2):
+        for first, last, found, bounds, _, _ in bpe.encode_texts([t or "" for t in texts], table):
+            assert [x.tolist() for x in np.split(found, bounds[1:-1])] == [known.encode_ordinary(t or "") for t in texts]
+    assert len(table.keys) == 3
+
+
 def test_words_whose_order_of_merges_matters():
     vocabulary = bpe.merges(P.path(FILES[1]))
     rng = random.Random(2)
