@@ -7,6 +7,7 @@ offset.  A piece finds its slot by its rank within its length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,6 @@ from .textkit import slices
 
 MAX_LEN = 1024
 END_ID = 2
-#: Pieces of one length that share a ranking group.
-GROUP_ROWS = 1_000
 
 
 @lru_cache(4)
@@ -159,13 +158,13 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """pieces with sequence_id and offset.
 
     The slots are broadcast: at most one for each length, room and place in it, so under max_len squared small rows
-    whatever the number of pieces.  Ranks within a length come from groups of about GROUP_ROWS pieces and the sums of
-    the groups before, so that no length is ranked in one task.
+    whatever the number of pieces.  Ranks within a length come from groups of about the square root of its pieces, and the
+    sums of the groups before: a task ranks one group, or adds up as many groups as a group has pieces.
     """
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     spark = pieces.sparkSession
     slots = spark.createDataFrame(plan_slots(counts, max_len), "length long, __from long, __ranks long, __sequence long, offset long")
-    groups = spark.createDataFrame([(k, -(-n // GROUP_ROWS)) for k, n in counts.items()], "length long, __groups long")
+    groups = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in counts.items()], "length long, __groups long")
     dealt = pieces.join(F.broadcast(groups), "length").withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__groups"))).drop("__groups")
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("length", "__group").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
