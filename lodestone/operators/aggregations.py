@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import notices
 from ..errors import InvalidQueryError, UnsupportedError
 from ..functions.dates import CALENDAR, calendar_floor, date_format, date_text, floor_micros, instant, instant_micros, local_to_utc, micros, utc, zone_name
 from ..functions.patterns import java_regex
@@ -33,6 +34,8 @@ TAKES = {
 
 #: Empty buckets that a histogram fills in at most; more raise an error.
 MAX_GRID = 1_000_000
+#: Buckets that a facet is rendered with at most; as a DataFrame it has no bound.
+MAX_BUCKETS = 100_000
 #: The least length of calendar units in microseconds (fixed values).
 UNIT_MICROS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 23 * 3600 * 10**6, "week": 167 * 3600 * 10**6, "month": 28 * 86400 * 10**6, "quarter": 89 * 86400 * 10**6, "year": 365 * 86400 * 10**6}
 
@@ -295,6 +298,10 @@ def date_histogram(df: DataFrame, model: SearchModel, options: dict) -> DataFram
 def aggregate(df: DataFrame, model: SearchModel, name: str, options: dict, dictionary: DataFrame) -> tuple[str, DataFrame]:
     """(kind, facet) of the matching documents df."""
     kind, merged = kind_of(name, options)
+    if model.column_type(merged["field"]).startswith("array"):
+        notices.warn(model.name, f"the facet {name!r} takes arrays apart for all matches; filters make it cheaper")
+    if kind == "date_histogram" and merged.get("min_doc_count", 0) == 0:
+        notices.warn(model.name, f"the facet {name!r} fills in empty buckets; with min_doc_count 1 it doesn't")
     if kind == "terms":
         return kind, terms(df, model, merged, dictionary)
     if kind in METRICS:
@@ -311,7 +318,9 @@ def _epoch(value: dt.datetime) -> int:
 
 
 def buckets(kind: str, facet: DataFrame, options: dict) -> dict:
-    rows = [r.asDict() for r in facet.collect()]
+    rows = [r.asDict() for r in facet.limit(MAX_BUCKETS + 1).collect()]
+    if len(rows) > MAX_BUCKETS:
+        raise InvalidQueryError(f"a facet of over {MAX_BUCKETS} buckets isn't rendered: use agg_frames() or a limit")
     if kind in METRICS:
         return {"value": rows[0]["value"]}
     out = []

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import notices
 from ..errors import InvalidQueryError, UnsupportedError
 from ..functions import jsonpath
 from ..functions.dates import instant_micros, micros, utc
@@ -168,6 +169,8 @@ def composed(model: SearchModel, base: Column, options: dict) -> Column:
     if options.get("boost"):
         boost_by = {**{n: o for n, o in boost_by.items() if n != options["boost"] or (o or {}).get("boost_mode") == "multiply"}, options["boost"]: {}}
     summed, multiplied = by_number(model, boost_by)
+    if summed or multiplied or options.get("boost_where"):
+        notices.warn(model.name, "boosts score every match before the page is cut")
     summed += by_condition(model, options.get("boost_where"))
     ages = by_age(model, options.get("boost_by_recency"))
     if len(ages) == 1 and not summed:

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import notices
 from ..errors import InvalidQueryError, UnsupportedError
 from ..functions import jsonpath
 from ..functions.patterns import java_regex, like_pattern
@@ -106,6 +107,7 @@ class Filters:
         if path or head in self.model.json or kind == "variant":
             if kind not in ("variant", "string"):
                 raise InvalidQueryError(f"{head!r} holds no JSON")
+            notices.warn(self.model.name, f"the filter on {name!r} reads the JSON of every row; a column of its own could be pushed down")
             return self._compiled(JsonTarget(jsonpath.leaves(jsonpath.variant(F.col(f"`{head}`"), kind), path), path), value)
         column = F.col(f"`{head}`")
         if head in self.model.enums:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
+from .. import notices
 from ..operators import highlighting, paging
 from ..operators.projection import SourceFilter
 
@@ -19,6 +20,8 @@ class SearchResults:
     def __init__(self, relation):
         began = time.perf_counter()
         self.relation, self.model = relation, relation.model
+        if relation.options.get("load") is False:
+            notices.warn(self.model.name, "load=False gives the same rows")
         shown = SourceFilter(relation.options.get("select"))
         keys = [n for n, _ in relation.keyset_keys]
         frame = relation.highlighted(relation.page_frame())

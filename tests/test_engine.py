@@ -199,6 +199,37 @@ def test_source_filters():
     assert projection.SourceFilter([])(row) == {} and projection.SourceFilter(None)(row) == row
 
 
+def test_notices_can_be_turned_off(products, caplog, monkeypatch):
+    from lodestone import notices
+
+    products.search("*", aggs=["tags"], load=False).results().aggs  # noqa: B018
+    assert any("load=False" in r.message for r in caplog.records) and any("arrays" in r.message for r in caplog.records)
+    caplog.clear()
+    monkeypatch.setattr(notices, "enabled", False)
+    products.search("*", aggs=["tags"], where={"meta.r": 8}).load(False).results().aggs  # noqa: B018
+    assert not caplog.records
+
+
+def test_case_and_index(spark):
+    df = spark.createDataFrame([(1, "Red apple RED"), (2, "red Äpple"), (3, None), (4, "Éclair red apple green")], "id long, body string")
+    for cased, expected in ((True, [1]), (False, [1, 2, 4])):
+        model = SearchModel(df, name=f"case{cased}", searchable=("body",), case_sensitive=cased)
+        for m in (model, model.with_index()):
+            assert ids(m.search("Red", misspellings=False)) == expected
+    plain = SearchModel(df, name="plain", searchable=("body",))
+    indexed = plain.with_index()
+    for term, options in (("red apple", {}), ("red apple", {"match": "phrase"}), ("appl", {"match": "word_start"}), ("red", {"exclude": "apple green"}), ("aple", {"misspellings": {"edit_distance": 1}}), ("none", {}), ("red", {"tinql": {"in_first": "apple", "words": 2}}), ("red green", {"operator": "or"})):
+        rows = [sorted((r.id, round(r["_score"], 9)) for r in m.search(term, **{"misspellings": False, **options}).matched.collect()) for m in (plain, indexed)]
+        assert rows[0] == rows[1], (term, options)
+    assert index.fsck(indexed.index).count() == 0
+
+
+def test_an_indexed_search_tokenises_nothing(spark, sf):
+    model = SearchModel(spark.read.parquet(f"{sf}/documents.parquet"), pk="doc_id", name="documents", searchable=("text",)).with_index(sf)
+    text = model.search("licensed under", limit=5, misspellings=False).to_df()._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in text and "TakeOrderedAndProject" in text
+
+
 def test_fusion():
     got = reranking.rrf(["bear", "cat"], ["dog", "bear", "cat"])
     assert [g["result"] for g in got] == ["bear", "cat", "dog"]
