@@ -12,16 +12,18 @@ exactly, so a candidate is dropped only if it can't be near enough, and the rest
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_batches, materialize, read
 from .graph import components, forest
-from .vectors import clean, k_means, matrix, meet, nearest, sample
+from .vectors import SPLIT_ABOVE, SUB_CELLS, clean, k_means, matrix, meet, nearest, sample, split_models
 
 LINK = 0.9
 #: Vectors the centres and codes are fitted on at most.
@@ -34,28 +36,32 @@ CHECKED_ROWS = 2_048
 BLOCK_ROWS, SPLIT_ROWS = 2_048, 32_768
 
 
-class Index:
-    """Centres and codes for unit vectors."""
+class Lists:
+    """Centres for unit vectors, and how near to the border between two lists a vector must be to probe the other one."""
 
-    def __init__(self, x: np.ndarray, total: int, far: float, reach: float | None = REACH):
-        lists = int(np.clip(2 ** round(math.log2(max(1.0, math.sqrt(total)))), 1, max(1, len(x) // 16)))
-        self.centres = k_means(x, lists)
-        home = nearest(x, self.centres)
-        rest = x - self.centres[home]
-        self.cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
-        self.books = [k_means(rest[:, a:b], min(CODES, len(rest)), rounds=6) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        spread = rest.T @ rest
-        deviation = np.sqrt(_squares(self.centres, spread / max(np.trace(spread), 1e-300)))
-        self.apart = np.sqrt(_squares(self.centres, np.eye(x.shape[1])))
-        #: how near a border between two lists must be, from either side
-        self.limit = np.full((len(self.centres), len(self.centres)), far / 2)
+    def __init__(self, centres: np.ndarray, spread: np.ndarray, share: float, reach: float | None):
+        self.centres, self.spread, self.share, self.reach = centres, spread, share, reach
+        self.apart = np.sqrt(_squares(centres, np.eye(centres.shape[1])))
+        self.limit = np.full((len(centres), len(centres)), share)
         if reach is not None:
-            each = far / 2 * deviation / np.maximum(self.apart, 1e-12)
-            self.limit = np.minimum(far / 2, each * max(reach, 1.25 * self._needed(x, home, each, 1 - far * far / 2)))
+            self.limit = np.minimum(share, reach * self.each())
+
+    def each(self) -> np.ndarray:
+        """One standard deviation of a linked pair's share along the normal of each border."""
+        return self.share * np.sqrt(_squares(self.centres, self.spread)) / np.maximum(self.apart, 1e-12)
+
+    @classmethod
+    def fitted(cls, x: np.ndarray, lists: int, share: float, reach: float | None, link: float) -> Lists:
+        centres = k_means(x, lists)
+        home = nearest(x, centres)
+        rest = x - centres[home]
+        spread = rest.T @ rest
+        found = cls(centres, spread / max(np.trace(spread), 1e-300), share, reach)
+        return found if reach is None else cls(centres, found.spread, share, max(reach, 1.25 * found._needed(x, home, link)))
 
-    def _needed(self, x: np.ndarray, home: np.ndarray, each: np.ndarray, link: float) -> float:
+    def _needed(self, x: np.ndarray, home: np.ndarray, link: float) -> float:
         """The least reach that finds all linked pairs of the sample's first CHECKED_ROWS rows with the rest of it."""
-        most = 0.0
+        most, each = 0.0, self.each()
         for first in range(0, min(CHECKED_ROWS, len(x)), 256):
             i, j = np.nonzero(x[first : first + 256] @ x.T >= link)
             i += first
@@ -70,6 +76,27 @@ class Index:
         own, away = (((x - self.centres[c]) ** 2).sum(1) for c in (home, other))
         return (away - own) / np.maximum(2 * self.apart[home, other], 1e-12)
 
+    def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """vectors x lists: whether the border with a list is near enough."""
+        away = -2 * (x @ self.centres.T) + (self.centres**2).sum(1)
+        own = away[np.arange(len(x)), home]
+        return away - own[:, None] <= 2 * self.limit[home] * self.apart[home] + 1e-9
+
+
+def _many(total: int, sample: int) -> int:
+    return int(np.clip(2 ** round(math.log2(max(1.0, math.sqrt(total)))), 1, max(1, sample // 16)))
+
+
+class Index(Lists):
+    """Lists and codes for unit vectors."""
+
+    def __init__(self, x: np.ndarray, total: int, far: float, reach: float | None = REACH):
+        found = Lists.fitted(x, _many(total, len(x)), far / 2, reach, 1 - far * far / 2)
+        super().__init__(found.centres, found.spread, found.share, found.reach)
+        rest = x - self.centres[nearest(x, self.centres)]
+        self.cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
+        self.books = [k_means(rest[:, a:b], min(CODES, len(rest)), rounds=6) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, coding error)"""
         home = nearest(x, self.centres)
@@ -80,12 +107,6 @@ class Index:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
 
-    def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """vectors x lists: whether the border with a list is near enough."""
-        away = -2 * (x @ self.centres.T) + (self.centres**2).sum(1)
-        own = away[np.arange(len(x)), home]
-        return away - own[:, None] <= 2 * self.limit[home] * self.apart[home] + 1e-9
-
     def distances(self, x: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of x to coded vectors of one list, from tables for each subspace."""
         rest = x - centre
@@ -108,7 +129,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, reach: float | None = REACH) -> DataFrame:
+def _part_model(x: np.ndarray, total: int, far: float, reach: float | None) -> tuple:
+    """What Lists() takes for the parts of one list of so many vectors, in single precision where that loses nothing."""
+    found = Lists.fitted(x, _many(total, len(x)), far, reach, 1 - far * far / 2)
+    return found.centres.astype(np.float32), found.spread.astype(np.float32), far, found.reach
+
+
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, reach: float | None = REACH, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each id of df.
 
     Equal vectors are one class, so a vector repeated any number of times is compared once.  Vectors that are null,
@@ -147,13 +174,51 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     placed = in_batches(heads.select("id", "weight", "vector"), place, f"id long, weight long, vector {heads.schema['vector'].dataType.simpleString()}, home int, codes binary, error double, probes array<int>")
     placed = materialize(placed, "coded-vectors")
-    members = placed.select(F.col("home").alias("cell"), "id", "weight", "vector", "codes", "error", "home", "probes")
-    queries = placed.select(F.explode("probes").alias("cell"), "id", "weight", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "home", F.lit(None).cast("array<int>").alias("probes"))
+    columns = ("id", "weight", "vector", "codes", "error", "home", "probes")
+    lone = {"codes": F.lit(None).cast("binary"), "error": F.lit(0.0), "probes": F.lit(None).cast("array<int>")}
+    members = placed.select(F.col("home").alias("cell"), *columns)
+    queries = placed.select(F.explode("probes").alias("cell"), *(lone.get(c, F.col(c)).alias(c) for c in columns))
+    models = split_models(members, "cell", lambda ids, x, total: pickle.dumps(_part_model(unit(x), total, far, reach)), split_above)
+    parts = spark.sparkContext.broadcast(models)
+
+    def dealt(asking: bool) -> Callable:
+        """Rows by the key of their cell's part: its own for members, all those it probes for queries."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, Lists] = {}
+            for batch in batches:
+                cells = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                keys, rows = [], []
+                for cell in np.unique(cells).tolist():
+                    at = np.flatnonzero(cells == cell)
+                    if cell not in parts.value:
+                        keys.append(np.full(len(at), cell * SUB_CELLS))
+                        rows.append(at)
+                        continue
+                    if cell not in held:
+                        held[cell] = Lists(*(x.astype(np.float64) if isinstance(x, np.ndarray) else x for x in pickle.loads(parts.value[cell])))
+                    x = unit(matrix(batch.column("vector").take(pa.array(at))))
+                    home = nearest(x, held[cell].centres)
+                    which, sub = np.nonzero(held[cell].probes(x, home)) if asking else (np.arange(len(at)), home)
+                    keys.append(cell * SUB_CELLS + sub)
+                    rows.append(at[which])
+                keys, rows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, rows))
+                for first in range(0, len(rows), 4_096):
+                    part = pa.array(rows[first : first + 4_096])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[first : first + 4_096]), *(c.take(part) for c in batch.columns[1:])], batch.schema.names)
+
+        return run
+
+    keyed = T.StructType([T.StructField("cell", T.LongType()), *members.schema.fields[1:]])
+    if models:
+        members, queries = in_batches(members, dealt(False), keyed), in_batches(queries, dealt(True), keyed)
+    else:
+        members, queries = (df.withColumn("cell", F.col("cell").cast("long") * SUB_CELLS) for df in (members, queries))
 
     def link_up(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Rows (u, v, n): n links of u if v is null, else an edge of a spanning forest of the links found here."""
         index = shared.value
-        cell = asked.column("cell")[0].as_py()
+        cell = asked.column("cell")[0].as_py() // SUB_CELLS
         ids, weight = held.column("id").to_numpy(), held.column("weight").to_numpy()
         exact = unit(matrix(held.column("vector")))
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, parallelism
@@ -61,6 +61,31 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarra
     return centres
 
 
+#: Members of a cell above which it is split once more, on a sample of its own of at most SPLIT_SAMPLE.
+SPLIT_ABOVE, SPLIT_SAMPLE = 65_536, 4_096
+#: Sub-cells of a cell at most; a cell's key is its number times this, and the sub-cell's number.
+SUB_CELLS = 1 << 16
+
+
+def split_models(members: DataFrame, cell: str, fit: Callable[[np.ndarray, np.ndarray, int], bytes], above: int = SPLIT_ABOVE) -> dict[int, bytes]:
+    """{cell: model} of the cells that hold more than above members; fit(ids, vectors, members) makes each, in a task of its
+    own, from the cell's sample.  Cells are as many at most as the first level has, and a model is as large as its sample
+    allows, so what the driver gets is bounded."""
+    sizes = members.groupBy(cell).agg(F.count("*").alias("c")).where(F.col("c") > above)
+    if not (large := {r[0]: r.c for r in sizes.collect()}):
+        return {}
+    chosen = members.join(F.broadcast(sizes.select(cell)), cell, "left_semi").select(cell, "id", "vector")
+    first = Window.partitionBy(cell).orderBy(F.xxhash64("id", F.lit(2)), "id")
+    sampled = chosen.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= SPLIT_SAMPLE).drop("__k")
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column(0)[0].as_py()
+        model = fit(table.column("id").to_numpy(), matrix(table.column("vector")), large[number])
+        return pa.table({"cell": pa.array([number], pa.int32()), "model": pa.array([model], pa.binary())})
+
+    return {r.cell: bytes(r.model) for r in sampled.groupBy(cell).applyInArrow(run, "cell int, model binary").collect()}
+
+
 def meet(members: DataFrame, queries: DataFrame, cell: str, block_rows: int, split_rows: int, run: Callable, schema: str) -> DataFrame:
     """Brings the members and queries of each cell together in bounded blocks.
 

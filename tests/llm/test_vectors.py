@@ -135,6 +135,16 @@ def test_links_found_of_all_links(spark, made):
         assert sum(got.values()) >= least * expected.sum() > 0
 
 
+@pytest.mark.parametrize("reach", [pq.REACH, None])
+def test_large_lists_are_split_once_more(spark, reach):
+    x = uneven(3000).astype(np.float32).astype(np.float64)
+    u = pq.unit(x)
+    expected = (u @ u.T >= 0.9).sum(1) - 1
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in pq.near_vectors(rows, reach=reach, split_above=60).collect()}
+    assert all(got[i] <= n for i, n in enumerate(expected)) and sum(got.values()) >= (0.998 if reach else 1.0) * expected.sum() > 0
+
+
 def test_probes_are_few_and_search_scans_few_rows(spark):
     """The figures that the README gives, with their bounds: shares of the rows that a vector or a query is compared with."""
     for n in (10_000, 50_000):
