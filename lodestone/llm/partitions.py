@@ -4,11 +4,15 @@ On a bounded sample, the graph of nearest neighbours is cut into parts of about
 a small network learns to tell the parts that a vector's neighbours are in.  It assigns every row to its most probable part
 and sends a query to its several most probable ones, as many as the sample needs for the recall asked for; there all rows
 are ranked exactly.  Parts that were neighbours when the sample was split travel as one group, so a query travels once to a
-group.  The sample itself bounds each query's score from below, so only rows that can be among its best come back.
+group.  The sample itself bounds each query's score from below, so only rows that can be among its best come back.  A part
+that holds too many rows is cut again in the same way, on a sample of its own; a query that visits it visits the most
+probable of its parts.
 """
 
 from __future__ import annotations
 
+import copy
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, materialize, read
-from .vectors import clean, matrix, meet, sample
+from .common import in_batches, materialize, read, release
+from .vectors import SPLIT_ABOVE, SUB_CELLS, clean, matrix, meet, sample, split_models
 
 TOP = 20
 #: Vectors the graph, the parts and the network are fitted on at most.
@@ -141,18 +145,32 @@ class Parts:
             needed = np.sort(np.take_along_axis(rank, home[true], 1).ravel())
             self.visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
+    def light(self) -> bytes:
+        """What routing takes, for a part that is cut again."""
+        held = copy.copy(self)
+        held.ids = held.x = held.homes = None
+        held.router = copy.copy(self.router)
+        held.router.w = [w.astype(np.float32) for w in self.router.w]
+        return pickle.dumps(held)
+
+    def visited(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """queries x parts: the most probable parts of each, visits of them or as many as it takes for enough rows."""
+        order = self.route(x, self.parts)
+        needed = (np.cumsum(sizes[order], axis=1) <= self.top).sum(1) + 1
+        out = np.zeros((len(x), self.parts), bool)
+        np.put_along_axis(out, order, np.arange(self.parts) < np.maximum(self.visits, needed)[:, None], axis=1)
+        return out
+
     def route(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The most probable parts of each vector, the most probable one first."""
         return np.argsort(-self.router.chances(x), axis=1, kind="stable")[:, :visits].astype(np.int32)
 
-    def floors(self, names: np.ndarray, q: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """A score that each query's top rows reach, as the sample alone has that many in the parts best of each query."""
+    def floors(self, names: np.ndarray, q: np.ndarray, visited: np.ndarray) -> np.ndarray:
+        """A score that each query's top rows reach, as the sample alone has that many in the parts it visits whole."""
         out = np.full(len(q), -np.inf)
         for first in range(0, len(q), 256):
             scores = q[first : first + 256] @ self.x.T
-            visited = np.zeros((len(scores), self.parts), bool)
-            np.put_along_axis(visited, best[first : first + 256], True, axis=1)
-            scores[(names[first : first + 256, None] == self.ids[None, :]) | ~visited[:, self.homes]] = -np.inf
+            scores[(names[first : first + 256, None] == self.ids[None, :]) | ~visited[first : first + 256][:, self.homes]] = -np.inf
             if len(self.ids) > self.top:
                 out[first : first + 256] = np.partition(scores, len(self.ids) - self.top, axis=1)[:, len(self.ids) - self.top]
         return out
@@ -188,7 +206,7 @@ def best_of_block(names: np.ndarray, q: np.ndarray, visits: np.ndarray, floors:
     return tuple(np.concatenate(c) for c in out)
 
 
-def search(rows: DataFrame, queries: DataFrame, top: int = TOP, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, top: int = TOP, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's top rows found, by inner product in double precision.
 
     Ties go to the smaller id; a row with the query's own id is no candidate.  Rows and queries with null ids, and vectors
@@ -205,44 +223,85 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, recall: float =
     shared = spark.sparkContext.broadcast(Parts(names, points, total, top, recall))
     dims, kind = points.shape[1], every.schema["vector"].dataType.simpleString()
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = shared.value.route(matrix(batch.column("vector")), 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value.group[best]), batch.column("id"), pa.array(best), batch.column("vector")], ["cell", "id", "part", "vector"])
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each group that a query visits, with the parts it visits there."""
-        parts = shared.value
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                q = matrix(part.column("vector"))
-                best = np.sort(parts.route(q, parts.visits), axis=1)
-                floors = parts.floors(part.column("id").to_numpy(zero_copy_only=False), q, best)
-                group = parts.group[best]
-                opens = np.ones(group.shape, bool)
-                opens[:, 1:] = group[:, 1:] != group[:, :-1]
-                owner, _ = np.nonzero(opens)
-                begins = np.append(np.flatnonzero(opens.ravel()), opens.size).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(best.ravel()))
-                rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(group[opens]), part.column("id").take(rows), part.column("vector").take(rows), lists, pa.array(floors[owner])], ["cell", "id", "vector", "parts", "floor"])
+            yield pa.RecordBatch.from_arrays([pa.array(best), batch.column("id"), batch.column("vector")], ["part", "id", "vector"])
 
     def of_size(df: DataFrame) -> DataFrame:
         return df.where(F.size("vector") == dims).select("id", "vector")
 
-    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("parts", "array<int>"), ("floor", "double"))}
-    members = in_batches(of_size(every), placed, f"cell int, id long, part int, vector {kind}").select("cell", "id", "part", "vector", nothing["parts"], nothing["floor"])
-    visitors = in_batches(of_size(asked), sent, f"cell int, id long, vector {kind}, parts array<int>, floor double").select("cell", "id", nothing["part"], "vector", "parts", "floor")
+    homed = materialize(in_batches(of_size(every), homes, f"part int, id long, vector {kind}"), "homed-vectors")
+    models = split_models(homed, "part", lambda ids, x, total: Parts(ids, x, total, top, recall).light(), split_above)
+    cut = spark.sparkContext.broadcast(models)
+
+    held: dict[int, Parts] = {}
+
+    def inner(part: int) -> Parts:
+        """The parts of a part that is cut again."""
+        if part not in held:
+            held[part] = pickle.loads(cut.value[part])
+        return held[part]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their cell, a group of parts or a part of a part, and their part in it."""
+        for batch in batches:
+            home = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
+            cell, part = shared.value.group[home].astype(np.int64), home.copy()
+            for p in np.unique(home[np.isin(home, list(cut.value))]).tolist():
+                at = np.flatnonzero(home == p)
+                cell[at] = part[at] = (p + 1) * SUB_CELLS + inner(p).route(matrix(batch.column("vector").take(pa.array(at))), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("id"), pa.array(part), batch.column("vector")], ["cell", "id", "part", "vector"])
+
+    members = materialize(in_batches(homed, placed, f"cell long, id long, part long, vector {kind}"), "placed-vectors")
+    release(homed)
+    # a row for each part, and for each part of a part that is cut again
+    counted = spark.sparkContext.broadcast({r.part: r.n for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each cell that a query visits, with the parts it visits there."""
+        parts, count = shared.value, counted.value
+        within = {p: np.array([count.get((p + 1) * SUB_CELLS + k, 0) for k in range(inner(p).parts)]) for p in cut.value}
+        sizes = np.array([within[p].sum() if p in within else count.get(p, 0) for p in range(parts.parts)])
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                rows = batch.slice(first, 1024)
+                q = matrix(rows.column("vector"))
+                visited = parts.visited(q, sizes)
+                whole = visited.copy()
+                whole[:, list(within)] = False
+                floors = parts.floors(rows.column("id").to_numpy(zero_copy_only=False), q, whole)
+                owner, part = np.nonzero(whole)
+                found = [(owner, parts.group[part].astype(np.int64), part)]
+                for p in within:
+                    if len(asks := np.flatnonzero(visited[:, p])):
+                        owner, sub = np.nonzero(inner(p).visited(q[asks], within[p]))
+                        found.append((asks[owner], (p + 1) * SUB_CELLS + sub, (p + 1) * SUB_CELLS + sub))
+                owner, cell, part = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((part, cell, owner))
+                owner, cell, part = owner[order], cell[order], part[order]
+                opens = np.ones(len(owner), bool)
+                opens[1:] = (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1])
+                begins = np.append(np.flatnonzero(opens), len(owner)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(part))
+                of = pa.array(owner[opens])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[opens]), rows.column("id").take(of), rows.column("vector").take(of), lists, pa.array(floors[owner[opens]])], ["cell", "id", "vector", "parts", "floor"])
+
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("part", "long"), ("parts", "array<long>"), ("floor", "double"))}
+    members = members.select("cell", "id", "part", "vector", nothing["parts"], nothing["floor"])
+    visitors = in_batches(of_size(asked), sent, f"cell long, id long, vector {kind}, parts array<long>, floor double").select("cell", "id", nothing["part"], "vector", "parts", "floor")
 
     def rank(held: pa.Table, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         part = held.column("part").to_numpy()
-        order = np.argsort(part, kind="stable")
+        order, known = np.argsort(part, kind="stable"), np.unique(part)
         lists = asked.column("parts")
-        visits = np.zeros((asked.num_rows, shared.value.parts), bool)
-        visits[np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)] = True
+        wanted = lists.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        hit = known[at] == wanted
+        visits = np.zeros((asked.num_rows, len(known)), bool)
+        visits[np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[hit], at[hit]] = True
         floors = asked.column("floor").to_numpy(zero_copy_only=False)
-        found = best_of_block(asked.column("id").to_numpy(zero_copy_only=False), matrix(asked.column("vector")), visits[:, np.unique(part)], floors, held.column("id").to_numpy()[order], part[order], matrix(held.column("vector"))[order], top)
+        found = best_of_block(asked.column("id").to_numpy(zero_copy_only=False), matrix(asked.column("vector")), visits, floors, held.column("id").to_numpy()[order], part[order], matrix(held.column("vector"))[order], top)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     found = meet(members, visitors, "cell", BLOCK_ROWS, SPLIT_ROWS, rank, "query_id long, vec_id long, score double")

@@ -66,6 +66,20 @@ def test_search_reaches_the_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_search_in_parts_that_are_cut_again(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 24)) * 2
+    x = (centres[rng.integers(0, 40, 5000)] + rng.standard_normal((5000, 24)) * 0.4).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = partitions.search(df, df.where("vec_id % 20 = 0"), split_above=40).collect()
+    mine: dict[int, set] = {}
+    for r in got:
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {len(v) for v in mine.values()} == {20} and len(mine) == 250
+    hits = sum(len(mine[k] & {int(j) for j in np.argsort(-(x @ x[k]))[:21] if j != k}) for k in mine)
+    assert hits >= 0.85 * 20 * len(mine)
+
+
 def test_ties_go_to_smaller_ids_and_few_rows(spark):
     df = table(spark, [20, 3, 2, 40, 5], [[1, 0], [1, 0], [1, 0], [2, 0], [-1, 0]])
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in partitions.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
