@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, materialize, parallelism, read
+from .common import in_batches, materialize, parallelism, read, release
 from .textkit import U, byte_values, checks, mix, prefixes, ranges, slices, spread, utf8_chunks
 
 LENGTH = 100
@@ -273,6 +273,44 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return found.union(windows).where(f"kind = {REPEAT}").select("doc_id", "first", "last")
 
 
+def doubled_windows(docs: DataFrame) -> DataFrame:
+    """repeated_windows() by textbook prefix doubling: every place of every text, ranks without fingerprints.
+
+    Spark sorts (rank, rank at the offset) pairs and ranks them anew at lengths of 8, 16, 32 and 64 bytes; places whose rank
+    no other place has leave at each.  A string of LENGTH bytes is its first and its last 64.  Each round joins and sorts a
+    row for each place that is left, which no disk budget allows for a corpus (the README has figures): it is here to hold
+    the other way against.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, high, data, offsets in utf8_chunks(batch.column(1)):
+                if len(data) < 8:
+                    continue
+                names = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(">i8").ravel().astype(np.int64)
+                owner = np.repeat(np.arange(high - low), np.diff(offsets))[: len(names)]
+                place = np.arange(len(names)) - offsets[:-1][owner]
+                keep = (place + 8 <= np.diff(offsets)[owner]) & (np.diff(offsets)[owner] >= LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][owner[keep]]), pa.array(place[keep].astype(np.int32)), pa.array(names[keep])], ["doc_id", "place", "rank"])
+
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    left = materialize(in_batches(known, first, "doc_id long, place int, rank long"), "places")
+    for offset in (8, 16, 32, LENGTH - 64):
+        behind = left.select("doc_id", (F.col("place") - offset).alias("place"), F.col("rank").alias("next"))
+        pairs = materialize(left.join(behind, ["doc_id", "place"]), "rank-pairs")
+        shared = pairs.groupBy("rank", "next").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "place")).alias("earliest")).where("c > 1")
+        ranked = shared.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").withColumn("new", F.monotonically_increasing_id())
+        found = pairs.join(ranked.select("rank", "next", "new", "earliest"), ["rank", "next"])
+        if offset == LENGTH - 64:
+            later = found.where(F.struct("doc_id", "place") != F.col("earliest"))
+            return later.select("doc_id", F.col("place").alias("first"), F.col("place").alias("last"))
+        release(left)
+        left = materialize(found.select("doc_id", "place", F.col("new").alias("rank")), "places")
+        release(pairs)
+    raise AssertionError("unreachable")
+
+
 def cut(docs: DataFrame, repeats: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns carry with n_bytes, n_removed, n_spans, kept and left: texts without the bytes that repeats cover.
 

@@ -111,7 +111,8 @@ def judge(df: DataFrame, rules=RULES, labels: DataFrame | None = None, url: str
 
     A rule's verdict stands.  Other urls get the trees' verdict, fitted on labels (url, label: 1 block, 0 allow) or, by
     default, on the urls that a rule decides.  With no labels of both kinds every other url is allowed.  Null, empty
-    and odd urls have an empty host and path and are judged by their features like any other.
+    and odd urls have an empty host and path and are judged by their features like any other.  Equal urls get equal verdicts,
+    however often they occur; a probability of exactly a half blocks.  Urls are read whole, whatever their length.
     """
     made = ("host", "path", "rule", "verdict", "block_probability")
     rule, verdict = rule_columns(rules)

@@ -66,6 +66,14 @@ def test_groups_larger_than_an_arrow_batch(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_prefix_doubling_finds_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = [(10**6, "ab" * 200), (10**6 + 1, "a" * 400), (10**6 + 2, None), (10**6 + 3, "short"), (None, "ab" * 200)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    places = lambda found: {(r.doc_id, k) for r in found.collect() for k in range(r.first, r.last + 1)}
+    assert places(suffixes.doubled_windows(df)) == places(suffixes.repeated_windows(df)) != set()
+
+
 def test_the_query_itself(spark, sf):
     rows = suffixes.op7_suffixes(spark, sf)
     assert rows.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]

@@ -75,3 +75,49 @@ def test_rare_suffixes_keep_their_statistics_and_unseen_ones_get_the_prior(spark
         assert got[0] == got[1] and len(got[0]) == table.count()
     assert got[0][0][1:] == (0.0, whole[2]) and whole[2] > 0.4
     assert urls._with_suffix(df, capped).where(F.col("suffix_share") == 0).count() == 0
+
+
+def plain_features(url, host, path):
+    """A url's own features, counted one by one."""
+    bits = lambda t: -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+    text, labels = url or "", host.split(".")
+    query = text.split("?", 1)[1].split("#")[0] if "?" in text else ""
+    return [
+        len(text), len(host), len(path), len([x for x in path.split("/") if x]), len(labels), sum("0" <= c <= "9" for c in text) / max(1, len(text)), bits(text), bits(host),
+        len([x for x in query.split("&") if x]), host.count("-"), max(map(len, labels)), float("#" in text),
+    ]
+
+
+def grown(node, x):
+    """What a tree says of a row."""
+    while node.numDescendants() > 0:
+        node = node.leftChild() if x[node.split().featureIndex()] <= node.split().threshold() else node.rightChild()
+    return node.prediction()
+
+
+def test_features_and_trees_against_plain_ones(spark):
+    texts = [f"http://{'x-' * (i % 4)}h{i}.{'abc'[i % 3]}/{'p/' * (i % 5)}{i}?{'&'.join(f'k{j}={j}' for j in range(i % 3))}{'#f' if i % 7 == 0 else ''}" for i in range(150)] + ["", None, "no scheme?a#b", "http://É.a/x y?&&#"]
+    labelled = spark.createDataFrame([(t, float((i // 3 + i % 3) % 2)) for i, t in enumerate(texts)], "__url string, label double")
+    rows = urls.lexical_features(urls.url_parts(labelled, "__url"), "__url")
+    statistics = urls.suffix_statistics(rows)
+    rows = urls._with_suffix(rows, statistics)
+    model = urls.train(rows, url="__url")
+    trees, weights = model.stages[1]._java_obj.trees(), model.stages[1].treeWeights
+    found = model.transform(rows).collect()
+    n, blocked = Counter(), Counter()
+    for r in found:
+        n[r.suffix] += 1
+        blocked[r.suffix] += r.label
+    prior = (sum(blocked.values()) + 1) / (len(found) + 2)
+    for r in found:
+        expected = [*plain_features(r["__url"], *plain(r["__url"])[:2]), n[r.suffix] / len(found), (blocked[r.suffix] + 10 * prior) / (n[r.suffix] + 10)]
+        given = [r[f] for f in urls.FEATURES]
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(expected, given, strict=True))
+        margin = sum(w * grown(t.rootNode(), given) for t, w in zip(trees, weights, strict=True))
+        assert math.isclose(r.probability[1], 1 / (1 + math.exp(-2 * margin)), abs_tol=1e-9)
+
+
+def test_repeated_urls_ties_and_very_long_ones(spark):
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (2, "http://b.net/" + "q1/" * 100_000), (3, "http://b.net/" + "q1/" * 100_000)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(found) == 4 and len({tuple(r)[1:] for r in found if r.page_id in (2, 3)}) == 1 and {r.verdict for r in found if r.page_id == 1} == {"allow"}
