@@ -180,8 +180,11 @@ class Relation:
             held[spelling.on] = found if found and all(found.values()) else None
         return held[spelling.on]
 
-    def _with_tokens(self, df: DataFrame, found: dict[int, Found]) -> DataFrame:
-        """df's rows that the index can match, with their tokens and lengths in each field."""
+    def _from_index(self, found: dict[int, Found], spelling: matching.Misspellings, scored: bool) -> tuple[DataFrame, int]:
+        """((__pk, __lexical), how many at most): the documents that match by the index alone, scored if asked for.
+
+        Tokens are matched, held against exclusions and scored before anything else is joined, and go no further.
+        """
         index, most = self.model.index, sum(f.most for f in found.values())
         if len(found) > 1 and matching.exclusions(self._option("exclude")):  # a phrase is excluded by any field
             keys = functools.reduce(DataFrame.union, [f.docs.select("pk") for f in found.values()]).distinct()
@@ -190,12 +193,11 @@ class Relation:
         joined = functools.reduce(lambda a, b: a.join(b, "__pk", "full"), parts)
         if len(parts) > 1:
             joined = joined.withColumns({f"__tokens_{k}": F.coalesce(f"__tokens_{k}", F.array().cast("array<string>")) for k in found})
-        return df.join(held_small(joined, most), F.col(f"`{self.model.pk}`") == F.col("__pk")).drop("__pk")
+        rows = self._matching(joined, spelling)
+        return rows.select("__pk", self._base(indexed=True).alias("__lexical")) if scored else rows.select("__pk"), most
 
-    @_by_case
-    def _lexical(self, df: DataFrame, spelling: matching.Misspellings) -> DataFrame:
-        found = self._indexed(spelling)
-        df = self._with_tokens(df, found) if found else self._tokenised(df)
+    def _matching(self, df: DataFrame, spelling: matching.Misspellings) -> DataFrame:
+        """The rows of df, which has its tokens, that hold the term and nothing that is excluded."""
         if not self.match_all:
             conditions = self._conditions(spelling)
             df = df.where(functools.reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False))
@@ -207,6 +209,14 @@ class Relation:
             df = df.where(~F.coalesce(out, F.lit(False)))
         return df
 
+    @_by_case
+    def _lexical(self, df: DataFrame, spelling: matching.Misspellings, scored: bool = False) -> DataFrame:
+        """The rows of df that match; with __lexical, their score, or the tokens to work it out from if scored."""
+        if found := self._indexed(spelling):
+            rows, most = self._from_index(found, spelling, scored)
+            return df.join(held_small(rows, most), F.col(f"`{self.model.pk}`") == F.col("__pk")).drop("__pk")
+        return self._matching(self._tokenised(df), spelling)
+
     @functools.cached_property
     def spelling(self) -> matching.Misspellings:
         """The misspellings that hold; below asks first, with a bounded count, whether exact words find enough."""
@@ -242,19 +252,21 @@ class Relation:
         if self.match_all:
             base = F.lit(1.0)
         else:
-            base, indexed = F.lit(0.0), self._indexed(self.spelling)
-            stats = self._word_statistics()
-            mixed = self._elision_off()
-            for k, field in enumerate(self.fields_):
-                if field.mode in TEXT_MODES:
-                    base = base + F.when(matching.text_condition(field.mode, self._text(field), self.term), F.lit(field.boost)).otherwise(0.0)
-                    continue
-                node = self._nodes(self.spelling)[k]
-                length = F.col(f"__length_{k}") if indexed else None
-                base = base + _weighed(F.col(f"__tokens_{k}"), length, node, self._scored_words(k), stats[k], field.boost, not mixed, len(self.fields_) > 1)
+            base = F.col("__lexical") if "__lexical" in df.columns else self._base(indexed=False)
             base = base + self._conversions()
         return df.withColumn("_score", boosts.composed(self.model, base, self.options))
 
+    def _base(self, indexed: bool) -> Column:
+        """The lexical score, from columns of tokens."""
+        base, stats, mixed = F.lit(0.0), self._word_statistics(), self._elision_off()
+        for k, field in enumerate(self.fields_):
+            if field.mode in TEXT_MODES:
+                base = base + F.when(matching.text_condition(field.mode, self._text(field), self.term), F.lit(field.boost)).otherwise(0.0)
+                continue
+            length = F.col(f"__length_{k}") if indexed else None
+            base = base + _weighed(F.col(f"__tokens_{k}"), length, self._nodes(self.spelling)[k], self._scored_words(k), stats[k], field.boost, not mixed, len(self.fields_) > 1)
+        return base
+
     def _elision_off(self) -> bool:
         return any(f.mode in TEXT_MODES or f.boost > MAX_WEIGHT for f in self.fields_)
 
@@ -312,12 +324,12 @@ class Relation:
         return total
 
     def _clean(self, df: DataFrame) -> DataFrame:
-        return df.drop(*(c for c in df.columns if c.startswith(("__tokens_", "__length_"))))
+        return df.drop(*(c for c in df.columns if c.startswith(("__tokens_", "__length_")) or c == "__lexical"))
 
     @functools.cached_property
     def matched(self) -> DataFrame:
         """All matching rows, with _score, whatever the page."""
-        return self._clean(self._hooked(self._score(self._lexical(self._filtered(), self.spelling))))
+        return self._clean(self._hooked(self._score(self._lexical(self._filtered(), self.spelling, True))))
 
     @functools.cached_property
     def rows(self) -> DataFrame:
