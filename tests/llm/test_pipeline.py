@@ -88,3 +88,18 @@ def test_run_and_odd_tables(spark, sf, tmp_path):
     df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/b").count() == 0
     assert cp.language(spark, df, sf).columns == list(cp.COLUMNS) and F is not None
+
+
+def test_each_stage_on_odd_tables(spark, sf):
+    """Nulls in every column, repeated rows, no rows, and further columns whose names the stages use themselves."""
+    text = "and the other one of them is that this was not for you with all and the house of it "
+    rows = [(1, text, "en", "s", 5, "x", 1), (1, text, "en", "s", 5, "x", 1), (None, None, None, None, None, None, None), (2, "", None, None, 0, "x", 2), (3, "that house is the other one for you with this and all of them " * 2, None, "s", None, "x", 3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", spans string, n int")
+    expected = {"language": {1, 3}, "near_duplicates": {1, 2, 3, None}, "repeated_passages": {1, 2, 3, None}, "personal_data": {1, 2, 3, None}, "packing": {1, 2, 3, None}}
+    for name, stage in cp.STAGES:
+        out = stage(spark, df, sf)
+        found = {r.doc_id for r in out.collect()}
+        assert found == expected[name], name
+        assert stage(spark, df.limit(0), sf).count() == 0
+        if name != "packing":
+            assert out.columns == list(cp.COLUMNS)
