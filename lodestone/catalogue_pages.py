@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .catalogue import AWAY, EXACT, NEW_YORK, ORIGIN, TERMS, TOKENS, WIDGETS, agg_query, bm25_sql, documents, events, found, orders, parts, query, scored
 from .errors import InvalidQueryError, MissingFieldError, UnsupportedError
+from .functions.jsonpath import json_leaves
 from .operators import aggregations
 from .operators.highlighting import ansi
 from .operators.tinql import maybe_quote
 from .plans.index import session_folder
+from .plans.relation import listeners
 from .sources import model as registry
 from .sources.model import SearchModel, parquet_model, search
 from .streaming.incremental import index_stream, latest_postings
@@ -92,6 +94,10 @@ for _name, _where, _sql in (
     query(f"filter_json_nested_{_name}", found(lambda s, d, w=_where: nested(s, d).search("*", where=w)), f"SELECT p_partkey FROM part WHERE {_sql}")
 
 
+query("json_walk", lambda s, d: json_leaves(nested(s, d).df.select("p_partkey", F.parse_json("doc").alias("v")), "p_partkey", "v", ["a", "name"]).select("p_partkey", F.col("leaf").cast("string").alias("leaf")), "SELECT p_partkey, p_name AS leaf FROM part UNION ALL SELECT p_partkey, CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, p_brand FROM part")
+query("json_walk_deep", lambda s, d: json_leaves(nested(s, d).df.select("p_partkey", F.parse_json("doc").alias("v")), "p_partkey", "v", ["deep"]).select("p_partkey", F.col("leaf").cast("int").alias("leaf")), "SELECT p_partkey, p_size AS leaf FROM part")
+
+
 # -- scores
 
 for _name, _sql in (("none", "p_size"), ("log", "log10(p_size)"), ("log2p", "log10(p_size + 2)"), ("ln", "ln(p_size)"), ("ln1p", "ln(p_size + 1)"), ("reciprocal", "1.0 / p_size")):
@@ -172,6 +178,26 @@ rows_query("scope_results", lambda s, d: (lambda page: [(r["o_orderkey"], True)
 rows_query("preloaded", lambda s, d: [(r["o_orderkey"], len(r["lines"])) for r in orders(s, d).search("*", order="id", limit=40, includes={"lines": (s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber"), "l_orderkey")}).results()], "o_orderkey long, lines int", "SELECT o_orderkey, count(l_orderkey) AS lines FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 40) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 
 
+rows_query("loaded_as_hits", lambda s, d: [(r["p_partkey"], score) for r, score in parts(s, d).search("*", where={"p_size": 2}, boost_by=["p_size"], load=False).results().with_score()], "p_partkey long, score double", "SELECT p_partkey, ln(4) AS score FROM part WHERE p_size = 2")
+rows_query("model_fields", lambda s, d: [(m.name, ",".join(m.text_fields()), m.column_type(m.pk)) for m in (parts(s, d), documents(s, d), events(s, d))], "model string, fields string, pk string", "SELECT * FROM (VALUES ('part', 'p_name,p_type,p_brand', 'bigint'), ('documents', 'text', 'bigint'), ('events', '{}', 'bigint')) AS v(model, fields, pk)".format("event_type"))
+
+
+def heard(spark: SparkSession, sf: str) -> list[tuple]:
+    """What listeners are told of a search, a count and its facets."""
+    events_: list[tuple] = []
+    listener = lambda event, ms: events_.append((len(events_), event, ms >= 0))
+    listeners.append(listener)
+    try:
+        rel = parts(spark, sf).search("*", where={"p_size": 2}, aggs=["p_type"], limit=2)
+        rel.results(), rel.count(), rel.results().aggs
+    finally:
+        listeners.remove(listener)
+    return events_
+
+
+rows_query("listeners", heard, "place int, event string, timed boolean", "SELECT * FROM (VALUES (0, 'search', true), (1, 'count', true), (2, 'aggregations', true)) AS v(place, event, timed)")
+
+
 def nullable(spark: SparkSession, sf: str) -> SearchModel:
     df = spark.read.parquet(f"{sf}/part.parquet").withColumn("shelf", F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4))
     return SearchModel(df, pk="p_partkey", name="shelves")
