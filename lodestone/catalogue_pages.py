@@ -251,6 +251,8 @@ def marks(name: str, sql: str, term: str, searched: list, columns: dict[str, str
 marks("highlight_whole_field", "SELECT p_partkey, '<em>' || p_name || '</em>' AS marked FROM part WHERE p_name = 'red widget'", "red widget", [{"p_name": "exact"}], {"marked": "highlighted_p_name"})
 marks("highlight_per_field", "SELECT p_partkey, CASE WHEN contains(p_name, 'small') THEN replace(p_name, 'small', '<b>small</b>') END AS name, CASE WHEN p_type = 'SMALL' THEN '<i>SMALL</i>' END AS kind FROM part WHERE p_type = 'SMALL' OR list_contains(string_split(p_name, ' '), 'small')", "small", ["p_name", "p_type"], {"name": "highlighted_p_name", "kind": "highlighted_p_type"}, fields={"p_name": {"tag": "<b>"}, "p_type": {"tag": "<i>"}})
 query("highlight_chosen_field", lambda s, d: s.createDataFrame([(r["p_partkey"], ",".join(sorted(h))) for r, h in parts(s, d).search("small", fields=["p_name", "p_type"], highlight={"fields": ["p_type"]}, where={"p_size": 3}, **EXACT).results().with_highlights(multiple=True)], "p_partkey long, fields string"), "SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'p_type' ELSE '' END AS fields FROM part WHERE p_size = 3 AND (p_type = 'SMALL' OR list_contains(string_split(p_name, ' '), 'small'))")
+marks("highlight_mixed_modes", "SELECT p_partkey, CASE WHEN starts_with(p_name, 'small b') THEN '<em>' || p_name || '</em>' ELSE NULL END AS marked FROM part WHERE starts_with(p_name, 'small b')", "small b", [{"p_name": "text_start"}, {"p_name": "word"}], {"marked": "highlighted_p_name"})
+marks("highlight_words_or_whole", "SELECT p_partkey, CASE WHEN p_name = 'small' THEN '<em>small</em>' ELSE replace(p_name, 'small', '<em>small</em>') END AS marked FROM part WHERE list_contains(string_split(p_name, ' '), 'small')", "small", [{"p_name": "exact"}, {"p_name": "word"}], {"marked": "highlighted_p_name"})
 _FRAGMENT = "right(split_part(p_name, ' ', 1), 1) || ' <em>widget</em>'"
 rows_query("highlight_fragments", lambda s, d: [(r["p_partkey"], f) for r, h in parts(s, d).search("widget", fields=["p_name"], highlight={"fragment_size": 8, "number_of_fragments": 2}, **EXACT).results().with_highlights(multiple=True) for f in h["p_name"]], "p_partkey long, marked string", f"SELECT p_partkey, {_FRAGMENT} AS marked {WIDGETS}")
 
@@ -303,6 +305,8 @@ REFUSED: list[tuple[str, type[Exception], Callable[[SparkSession, str], object]]
     ("cursor of another order", InvalidQueryError, lambda s, d: parts(s, d).search("*", keyset=True, after="x").to_df()),
     ("extended past hard", InvalidQueryError, lambda s, d: orders(s, d).search("*", aggs={"o_orderdate": {"date_histogram": {"interval": "1d", "hard_bounds": {"min": "1995-01-02"}, "extended_bounds": {"min": "1995-01-01"}}}}).agg_frames()),
     ("bare number as interval", InvalidQueryError, lambda s, d: orders(s, d).search("*", boost_by_recency={"o_orderdate": {"scale": 30}}).matched),
+    ("unknown highlight option", InvalidQueryError, lambda s, d: parts(s, d).search("x", highlight={"size": 3}).results()),
+    ("highlight of an unknown field", MissingFieldError, lambda s, d: parts(s, d).search("x", highlight={"fields": ["none"]}).results()),
     ("span without words", InvalidQueryError, lambda s, d: documents(s, d).search(tinql={"near": [], "distance": 1}).rows),
 ]
 

@@ -375,28 +375,47 @@ class Relation:
             df = df.offset(self.start)
         return df.limit(self.size + 1 if self.probing else self.size)
 
+    def _highlights(self) -> tuple[dict | None, dict | None]:
+        """(settings of all fields, those of single fields or None for all that are searched); no settings: no highlights."""
+        said = self._option("highlight")
+        if said is None or said is False:
+            return None, None
+        if said is not True and not isinstance(said, dict):
+            raise InvalidQueryError("highlight takes true, false or options")
+        settings = dict(said) if isinstance(said, dict) else {}
+        chosen = settings.pop("fields", None)
+        own = chosen if isinstance(chosen, dict) else {n: {} for n in chosen} if chosen is not None else None
+        for name, options in {"": settings, **(own or {})}.items():
+            if unknown := set(options or {}) - {"tag", "encoder", "fragment_size", "number_of_fragments"}:
+                raise InvalidQueryError(f"unknown highlight options: {', '.join(sorted(unknown))}")
+            if name:
+                self.model.column_type(name.split(".")[0])
+        return settings, own
+
     @_by_case
     def highlighted(self, df: DataFrame) -> DataFrame:
-        """df with highlighted_<field> for each field that the highlight option names and words were searched in."""
-        said = self._option("highlight")
-        if not said or self.match_all:
+        """df with highlighted_<field> for each field that the highlight option names and the search looked in.
+
+        A field searched in several modes is marked whole where a whole-field mode matches, else by all its words.
+        """
+        settings, own = self._highlights()
+        if settings is None or self.match_all:
             return df
-        options = said if isinstance(said, dict) else {}
-        chosen = options.get("fields")
-        own = chosen if isinstance(chosen, dict) else {n: {} for n in chosen} if chosen else None
         out, dropped = {}, []
-        for field in self.fields_:
-            if own is not None and field.name not in own:
+        for name in dict.fromkeys(f.name for f in self.fields_):
+            if own is not None and name not in own:
                 continue
-            each = {**options, **((own or {}).get(field.name) or {})}
-            tag, html = each.get("tag", highlighting.TAG), each.get("encoder") == "html"
-            text = self._text(field)
-            found = highlighting.whole(text, matching.text_condition(field.mode, text, self.term)) if field.mode in TEXT_MODES else highlighting.parts(text, self._node(field, self.spelling))
-            name = field.name.replace(".", "_")
-            df = df.withColumn(f"__marks_{name}", found)
-            out["highlighted_" + name] = highlighting.drawn(F.col(f"__marks_{name}"), tag, html)
+            each = {**settings, **((own or {}).get(name) or {})}
+            modes = [(k, f) for k, f in enumerate(self.fields_) if f.name == name]
+            text = self._text(modes[0][1])
+            wholes = [highlighting.whole(text, matching.text_condition(f.mode, text, self.term)) for _, f in modes if f.mode in TEXT_MODES]
+            nodes = [self._nodes(self.spelling)[k] for k, f in modes if f.mode not in TEXT_MODES]
+            found = [*wholes, *([highlighting.parts(text, S.at_least_node(nodes, 1))] if nodes else [])]
+            column = name.replace(".", "_")
+            df = df.withColumn(f"__marks_{column}", F.coalesce(*found))
+            out["highlighted_" + column] = highlighting.drawn(F.col(f"__marks_{column}"), each.get("tag", highlighting.TAG), each.get("encoder") == "html")
             if not each.get("fragment_size"):
-                dropped.append(f"__marks_{name}")
+                dropped.append(f"__marks_{column}")
         if out:
             df = df.withColumns(out).drop(*dropped)
         return self._clean(df)

@@ -112,9 +112,8 @@ class SearchResults:
     @functools.cached_property
     def highlights(self) -> list[dict]:
         """For each row its highlighted fields, cut to fragments as asked."""
-        said = self.relation.options.get("highlight")
-        options = said if isinstance(said, dict) else {}
-        own = options.get("fields") if isinstance(options.get("fields"), dict) else {}
+        options, own = self.relation._highlights()
+        options, own = options or {}, own or {}
         out = []
         for r in self._raw:
             found = {}
