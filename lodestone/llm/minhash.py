@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(tables.join(buckets, "bucket"), "members")
     release(tables)
 
-    wanted = known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialize(set_arrays(docs.select("doc_id", "text").join(wanted, "doc_id")).dropDuplicates(["doc_id"]), "sets")
+    wanted = materialize(known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "wanted")
+    sets = materialize(set_arrays(docs.select("doc_id", "text").join(_small(wanted), "doc_id")).dropDuplicates(["doc_id"]), "sets")
     tried = members.where("rep != hub").where(f"100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)").select("hub", "rep").distinct()
     links = materialize(linked_to_hubs(materialize(tried, "pairs"), sets), "links")
     found = materialize(components(links), "components")
