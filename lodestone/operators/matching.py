@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -95,13 +96,15 @@ def exclusions(option) -> list[str]:
     return [str(x).lower() if isinstance(x, bool) else str(x) for x in (option if isinstance(option, (list, tuple)) else [option])]
 
 
-def excluded(field: Field, column: Column, tokens: Column | None, phrases: list[str]) -> Column:
-    """Whether a field holds an excluded phrase, read by the field's mode."""
-    out = F.lit(False)
-    for phrase in phrases:
-        if field.mode in TEXT_MODES:
-            out = out | text_condition(field.mode, column, phrase)
-        else:
-            node = word_node("phrase" if field.mode == "word" else field.mode, phrase, "and", None)
-            out = out | S.let(tokens, node.hit)
-    return out
+def excluded_nodes(field: Field, phrases: list[str]) -> list[Node]:
+    """What a field that is searched by words must not hold, read by its mode."""
+    return [word_node("phrase" if field.mode == "word" else field.mode, phrase, "and", None) for phrase in phrases]
+
+
+def excluded(field: Field, column: Column, tokens: Column | None, phrases: list[str], nodes: list[Node] | None = None) -> Column:
+    """Whether a field holds an excluded phrase; nodes are its excluded_nodes() if they are made already."""
+    if field.mode in TEXT_MODES:
+        each = [text_condition(field.mode, column, phrase) for phrase in phrases]
+    else:
+        each = [S.let(tokens, node.hit) for node in nodes or excluded_nodes(field, phrases)]
+    return functools.reduce(lambda a, b: a | b, each, F.lit(False))

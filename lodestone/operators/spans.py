@@ -72,6 +72,8 @@ class Node:
     tally: Callable[[Column], Column] | None = None
     #: Groups of tests: a document that matches holds, for each group, a token that passes one of its tests.  None: unknown.
     needs: list[list[Test]] | None = None
+    #: All tests of tokens that the expression makes, of what it excludes too.
+    tests: list[Test] = field(default_factory=list)
     #: Whether the places of tokens matter, or only which there are and how often.
     positional: bool = True
 
@@ -79,7 +81,8 @@ class Node:
         return self.leaves or [self]
 
     def hit(self, tokens: Column) -> Column:
-        return self.quick(tokens) if self.quick else F.size(self.spans(tokens)) > 0
+        # tokens may hold nulls, which pass no test
+        return F.coalesce(self.quick(tokens), F.lit(False)) if self.quick else F.size(self.spans(tokens)) > 0
 
     def count(self, tokens: Column) -> Column:
         return self.tally(tokens) if self.tally else F.size(self.spans(tokens))
@@ -92,7 +95,7 @@ def token_node(test: Test, word: str | None = None) -> Node:
         return F.filter(F.transform(tokens, lambda x, i: F.when(test(x), span(i + 1, i + 1))), lambda x: x.isNotNull())
 
     quick = (lambda tokens: F.array_contains(tokens, F.lit(word))) if word is not None else (lambda tokens: F.exists(tokens, test))
-    return Node(spans, quick=quick, tally=lambda tokens: F.size(F.filter(tokens, test)), needs=[[test]], positional=False)
+    return Node(spans, quick=quick, tally=lambda tokens: F.size(F.filter(tokens, test)), needs=[[test]], tests=[test], positional=False)
 
 
 def plain_node(word: str) -> Node:
@@ -131,7 +134,7 @@ def phrase_node(slots: list[Test | None], slop: int = 0) -> Node:
             found = joined(found, one)
         return found
 
-    return Node(loose if slop else exact, needs=[[t] for t in slots if t] or None)
+    return Node(loose if slop else exact, needs=[[t] for t in slots if t] or None, tests=[t for t in slots if t])
 
 
 def _both(*nodes: Node) -> list[list[Test]] | None:
@@ -152,7 +155,7 @@ def pairs(left: Node, right: Node, make: Callable[[Column, Column], Column], kee
 
         return F.array_distinct(let(right.spans(tokens), crossed))
 
-    return Node(spans, left.words() + right.words(), needs=_both(left, right))
+    return Node(spans, left.words() + right.words(), needs=_both(left, right), tests=left.tests + right.tests)
 
 
 def near_node(items: list[Node], distance: int, ordered: bool) -> Node:
@@ -173,7 +176,7 @@ def related(left: Node, right: Node, test: Callable[[Column, Column], Column], w
 
         return let(right.spans(tokens), kept)
 
-    return Node(spans, left.words(), needs=_both(left, right) if wanted else left.needs)
+    return Node(spans, left.words(), needs=_both(left, right) if wanted else left.needs, tests=left.tests + right.tests)
 
 
 RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
@@ -187,7 +190,7 @@ RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
 
 def kept_spans(inner: Node, keep: Callable[[Column, Column], Column]) -> Node:
     """The spans for which keep(span, number of tokens) holds."""
-    return Node(lambda tokens: let(F.size(tokens), lambda n: F.filter(inner.spans(tokens), lambda x: keep(x, n))), inner.words(), needs=inner.needs)
+    return Node(lambda tokens: let(F.size(tokens), lambda n: F.filter(inner.spans(tokens), lambda x: keep(x, n))), inner.words(), needs=inner.needs, tests=inner.tests)
 
 
 def at_least_node(items: list[Node], needed: int) -> Node:
@@ -210,11 +213,11 @@ def at_least_node(items: list[Node], needed: int) -> Node:
         return functools.reduce(lambda a, b: a + b, [h.cast("int") for h in hits]) >= needed
 
     needs = _both(*items) if needed >= len(items) else _either(items)
-    return Node(spans, [w for i in items for w in i.words()], quick=quick, needs=needs, positional=any(i.positional for i in items))
+    return Node(spans, [w for i in items for w in i.words()], quick=quick, needs=needs, tests=[t for i in items for t in i.tests], positional=any(i.positional for i in items))
 
 
 def but_not_node(left: Node, right: Node) -> Node:
-    return Node(lambda tokens: F.when(~right.hit(tokens), left.spans(tokens)).otherwise(nothing()), left.words(), quick=lambda tokens: left.hit(tokens) & ~right.hit(tokens), needs=left.needs)
+    return Node(lambda tokens: F.when(~right.hit(tokens), left.spans(tokens)).otherwise(nothing()), left.words(), quick=lambda tokens: left.hit(tokens) & ~right.hit(tokens), needs=left.needs, tests=left.tests + right.tests)
 
 
 def all_node() -> Node:

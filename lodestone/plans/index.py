@@ -1,8 +1,8 @@
-"""A stored text index: tokens and lengths by row, postings, a dictionary and corpus counts.
+"""A stored text index: postings with places, lengths by row, a dictionary and corpus counts.
 
 The inline plan tokenises a table as it is searched.  With an index, words, prefixes and misspellings are looked up in the
-dictionary; only postings of the terms that match are read, and stored tokens only where the places of words matter, of
-documents that hold the words.
+dictionary, and only postings of the terms that match are read, whatever the expression: where the places of words matter,
+a document's tokens are put together from its postings, with nothing between the words that are asked for.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ MAX_BROADCAST_ROWS = 100_000
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Frames of an index: rows (pk, field, tokens, dl), postings (pk, field, term, tf, dl), dictionary (field, term, df), corpus (field, n, mean)."""
+    """Frames of an index: rows (pk, field, dl), postings (pk, field, term, tf, places, dl), dictionary (field, term, df), corpus
+    (field, n, mean, cased)."""
 
     rows: DataFrame
     postings: DataFrame
@@ -57,21 +58,22 @@ class TextIndex:
         rows = known.select("term", "df", F.array(*(F.coalesce(t(term), F.lit(False)) for t in tests)).alias("passed")).limit(MAX_TERMS + 1).collect()
         return None if len(rows) > MAX_TERMS else [(r.term, r.df, r.passed) for r in rows]
 
-    def bags(self, name: str, terms: list[str]) -> DataFrame:
-        """(pk, tokens, dl): of each document that holds any of the terms these terms, as often as it does, and its length."""
+    def bags(self, name: str, terms: list[str], placed: bool = False) -> DataFrame:
+        """(pk, tokens, dl) of each document that holds any of the terms: these terms as often as it does, in any order, or
+        all its tokens with nulls for other words."""
         postings = self.postings.where(F.col("field") == name)
         if len(terms) <= FEW_TERMS:
             held = postings.where(F.col("term").isin(terms))
         else:
             held = postings.join(F.broadcast(postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        if placed:
+            each = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("term")))
+            docs = held.groupBy("pk").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("held"), F.first("dl").alias("dl"))
+            return docs.select("pk", _spread_out(F.col("held"), F.col("dl")).alias("tokens"), "dl")
         if len(terms) == 1:
             return held.select("pk", F.array_repeat("term", F.col("tf").cast("int")).alias("tokens"), "dl")
         return held.groupBy("pk").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("tokens"), F.first("dl").alias("dl"))
 
-    def tokens_of(self, name: str, keys: DataFrame, most: int) -> DataFrame:
-        """(pk, tokens, dl) of the documents in keys (pk), of which there are so many at most."""
-        return self.rows.where(F.col("field") == name).join(held_small(keys, most), "pk", "left_semi").select("pk", "tokens", "dl")
-
     def holding(self, name: str, word: Node, passed: dict[int, list[tuple[str, int]]]) -> int | DataFrame:
         """How many documents hold a word: known, or one row (n) to be asked for."""
         terms = {term: df for group in word.needs or [] for t in group for term, df in passed[id(t)]}
@@ -83,76 +85,88 @@ class TextIndex:
         return found.docs.where(word.hit(F.col("tokens"))).agg(F.count("*").alias("n"))
 
 
+def _spread_out(held: Column, length: Column) -> Column:
+    """An array of so many tokens: those of held, (place, term) in order, at their places, and nulls."""
+    nothing = F.lit(None).cast("string")
+
+    def spread(words: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(words, i - 1)["place"], F.lit(0))
+            return F.concat(F.array_repeat(nothing, x["place"] - before - 1), F.array(x["term"]))
+
+        rest = F.array_repeat(nothing, (length - F.element_at(words, -1)["place"]).cast("int"))
+        return F.concat(F.flatten(F.transform(words, one)), rest)
+
+    return let(held, spread)
+
+
 @dataclass(frozen=True)
 class Found:
-    """The documents (pk, tokens, dl) that can match a node in a field, how many there are at most, and by the identity of
-    each of its tests the terms that pass it, with their documents.  The tokens are those that the node asks for, or all."""
+    """The documents (pk, tokens, dl) that hold words of a node or of what is excluded, how many can match at most, and by
+    the identity of each test the terms that pass it, with their documents."""
 
     docs: DataFrame
     most: int
     passed: dict[int, list[tuple[str, int]]]
 
-    def held(self) -> DataFrame:
-        return held_small(self.docs, self.most)
-
 
 def held_small(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if it has few rows at most."""
     return F.broadcast(df) if most <= MAX_BROADCAST_ROWS else df
 
 
-def any_test(tests: list[Test]) -> Test:
-    return lambda x: functools.reduce(lambda a, b: a | b, [F.coalesce(t(x), F.lit(False)) for t in tests]) if tests else F.lit(False)
-
-
-def documents_of(index: TextIndex, name: str, node: Node, whole: bool = False) -> Found | None:
-    """What the index has for a node in a field, with all tokens where their places matter or whole is asked for.  None if
-    it can't tell: the node may match without any of its words, or takes in too many terms."""
-    if node.needs is None:
+def documents_of(index: TextIndex, name: str, node: Node, excluded: list[Node] = ()) -> Found | None:
+    """What the index has for a node in a field, and for others that are held against it.  None if it can't tell: the node
+    may match without any of its words, or all take in too many terms."""
+    if node.needs is None or any(x.needs is None for x in excluded):
         return None
-    tests = list({id(t): t for group in [*node.needs, *(g for w in node.words() for g in w.needs or [])] for t in group}.values())
+    tests = list({id(t): t for n in (node, *node.words(), *excluded) for t in n.tests}.values())
     known = index.matching(name, tests)
     if known is None:
         return None
     passed = {id(t): [(term, df) for term, df, flags in known if flags[k]] for k, t in enumerate(tests)}
-    each = [{term: df for t in group for term, df in passed[id(t)]} for group in node.needs]
-    most = min((sum(x.values()) for x in each), default=0)
-    terms = sorted({term for x in each for term in x})
-    if not most:
-        return Found(index.rows.select("pk", "tokens", "dl").limit(0), 0, passed)
-    if not (whole or node.positional):
-        return Found(index.bags(name, terms), sum(df for term, df, _ in known if term in set(terms)), passed)
-    bags = index.bags(name, terms)
-    for group in node.needs:
-        bags = bags.where(F.exists("tokens", any_test(group)))
-    return Found(index.tokens_of(name, bags.select("pk"), most), most, passed)
+    most = min((sum({term: df for t in group for term, df in passed[id(t)]}.values()) for group in node.needs), default=0)
+    terms = [term for term, _, _ in known]
+    if not terms:
+        return Found(index.rows.select("pk", F.array().cast("array<string>").alias("tokens"), "dl").limit(0), 0, passed)
+    return Found(index.bags(name, terms, node.positional or any(x.positional for x in excluded)), most, passed)
 
 
 def rows_of(model: SearchModel, fields: list[str]) -> DataFrame:
+    """(pk, field, tokens, dl)"""
     each = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f"`{f}`").cast("string")).alias("tokens")) for f in fields))
     return model.df.select(F.col(f"`{model.pk}`").alias("pk"), F.explode(each).alias("x")).select("pk", "x.field", "x.tokens", F.size("x.tokens").alias("dl"))
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
-    """One row for each document and distinct term: the sorted tokens' runs are counted within the row, without a shuffle."""
+    """One row for each document and distinct term, with its places: the sorted tokens' runs are cut within the row, without
+    a shuffle."""
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.coalesce(w["term"] != F.get(words, i - 1)["term"], F.lit(True)), i)), lambda i: i.isNotNull())
+
+        def cut(at: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                n = F.coalesce(F.get(at, i + 1), F.size(words)) - x
+                return F.struct(F.get(words, x)["term"].alias("term"), n.alias("tf"), F.transform(F.slice(words, x + 1, n), lambda w: w["place"]).alias("places"))
 
-    def counted(words: Column) -> Column:
-        starts = F.filter(F.transform(words, lambda w, i: F.when(F.coalesce(w != F.get(words, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
-        return let(starts, lambda at: F.transform(at, lambda x, i: F.struct(F.get(words, x).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(words)) - x).alias("tf"))))
+            return F.transform(at, one)
 
-    return rows.select("pk", "field", "dl", F.explode(let(F.array_sort("tokens"), counted)).alias("t")).select("pk", "field", "t.term", "t.tf", "dl")
+        return let(starts, cut)
+
+    placed = F.array_sort(F.transform("tokens", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("place"))))
+    return rows.select("pk", "field", "dl", F.explode(let(placed, runs)).alias("t")).select("pk", "field", "t.term", "t.tf", "t.places", "dl")
 
 
 def build_index(model: SearchModel, path: str, fields: list[str] | None = None) -> TextIndex:
     """Writes the index under path: postings and terms sorted, so that look-ups prune files and row groups."""
     names = fields or model.text_fields()
-    with casing(model.case_sensitive):
-        rows = rows_of(model, names)
-    rows.write.mode("overwrite").partitionBy("field").parquet(f"{path}/rows")
     spark = model.df.sparkSession
-    rows = spark.read.parquet(f"{path}/rows")
-    postings_of(rows).repartitionByRange("field", "term", "pk").sortWithinPartitions("term", "pk").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
+    with casing(model.case_sensitive):
+        made = rows_of(model, names)
+    made.select("pk", "field", "dl").write.mode("overwrite").partitionBy("field").parquet(f"{path}/rows")
+    postings_of(made).repartitionByRange("field", "term", "pk").sortWithinPartitions("term", "pk").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    rows, postings = (spark.read.parquet(f"{path}/{t}") for t in ("rows", "postings"))
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/dictionary")
     counted = {r.field: (r.n, r["mean"]) for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()}

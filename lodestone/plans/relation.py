@@ -176,7 +176,8 @@ class Relation:
         if index is None or self.match_all or any(f.mode in TEXT_MODES for f in self.fields_) or not index.covers([f.name for f in self.fields_], self.model.case_sensitive):
             return None
         if spelling.on not in held:
-            found = {k: documents_of(index, self.fields_[k].name, node, bool(matching.exclusions(self._option("exclude")))) for k, node in self._nodes(spelling).items()}
+            phrases = matching.exclusions(self._option("exclude"))
+            found = {k: documents_of(index, self.fields_[k].name, node, matching.excluded_nodes(self.fields_[k], phrases)) for k, node in self._nodes(spelling).items()}
             held[spelling.on] = found if found and all(found.values()) else None
         return held[spelling.on]
 
@@ -185,14 +186,11 @@ class Relation:
 
         Tokens are matched, held against exclusions and scored before anything else is joined, and go no further.
         """
-        index, most = self.model.index, sum(f.most for f in found.values())
-        if len(found) > 1 and matching.exclusions(self._option("exclude")):  # a phrase is excluded by any field
-            keys = functools.reduce(DataFrame.union, [f.docs.select("pk") for f in found.values()]).distinct()
-            found = {k: Found(index.tokens_of(self.fields_[k].name, keys, most), most, f.passed) for k, f in found.items()}
+        most = sum(f.most for f in found.values())
         parts = [f.docs.select(F.col("pk").alias("__pk"), F.col("tokens").alias(f"__tokens_{k}"), F.col("dl").alias(f"__length_{k}")) for k, f in found.items()]
         joined = functools.reduce(lambda a, b: a.join(b, "__pk", "full"), parts)
         if len(parts) > 1:
-            joined = joined.withColumns({f"__tokens_{k}": F.coalesce(f"__tokens_{k}", F.array().cast("array<string>")) for k in found})
+            joined = joined.withColumns({f"__tokens_{k}": F.coalesce(f"__tokens_{k}", F.array().cast("array<string>")) for k in found})  # of fields without such words
         rows = self._matching(joined, spelling)
         return rows.select("__pk", self._base(indexed=True).alias("__lexical")) if scored else rows.select("__pk"), most
 

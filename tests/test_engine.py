@@ -218,7 +218,7 @@ def test_case_and_index(spark):
             assert ids(m.search("Red", misspellings=False)) == expected
     plain = SearchModel(df, name="plain", searchable=("body",))
     indexed = plain.with_index()
-    for term, options in (("red apple", {}), ("red apple", {"match": "phrase"}), ("appl", {"match": "word_start"}), ("red", {"exclude": "apple green"}), ("aple", {"misspellings": {"edit_distance": 1}}), ("none", {}), ("red", {"tinql": {"in_first": "apple", "words": 2}}), ("red green", {"operator": "or"})):
+    for term, options in (("red apple", {}), ("red apple", {"match": "phrase"}), ("appl", {"match": "word_start"}), ("red", {"exclude": "apple green"}), ("aple", {"misspellings": {"edit_distance": 1}}), ("none", {}), ("red", {"tinql": {"in_first": "apple", "words": 2}}), ("red green", {"operator": "or"}), ("red", {"tinql": {"and_not": ["red", "green"]}}), ("red", {"tinql": {"not_encloses": [{"near": ["red", "red"], "distance": 2}, "apple"]}})):
         rows = [sorted((r.id, round(r["_score"], 9)) for r in m.search(term, **{"misspellings": False, **options}).matched.collect()) for m in (plain, indexed)]
         assert rows[0] == rows[1], (term, options)
     assert index.fsck(indexed.index).count() == 0
