@@ -210,8 +210,8 @@ def linked_in_buckets(rest: DataFrame) -> DataFrame:
     placed = rest.select(F.explode("keys").alias("key"), "id", "component", "set")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main.component")
-    main = main.withColumnRenamed("component", "main")
-    members = placed.join(main, "key")
+    # where few keys hold several components, the members of a common one aren't gathered in one task
+    members = placed.join(_small(materialize(main.withColumnRenamed("component", "main"), "mixed-keys")), "key")
     asked = members.where("component != main").drop("main")
     return meet(members.drop("main"), asked, "key", BLOCK_ROWS, BLOCK_ROWS, _linked_in_block, "u long, v long")
 
