@@ -141,9 +141,9 @@ def linked_to_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A hub's set goes once to every HUB_ROWS of its members, not once to each, and members of one hub to many tasks.
     """
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
+    salts = materialize(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts")), "salts")
     hubs = salts.join(sets.withColumnRenamed("doc_id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("rep"), "set")
-    dealt = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    dealt = pairs.join(_small(salts), "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
     members = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "salt", "rep", "set")
     rows = hubs.union(members).repartition(parallelism(sets.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("rep").asc_nulls_first())
 
