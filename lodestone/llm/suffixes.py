@@ -13,8 +13,8 @@ place is that of all it must be equal in, not that of the next FIRST bytes.  Spa
 
 Names that decide a removal have 93 bits (two residues and a third one, see textkit), so 3e12 of them, which is 100 TB of
 text, hold a false pair with a chance of under 0.1 %.  Each task first reduces its own repeats, so a passage that a third of all documents share is
-one row for some hundred documents.  Rows cross the network packed, many to a bucket, are unpacked batch by batch, sorted by
-the JVM, which spills, and read in order: no task holds a group.
+one row for some hundred documents.  Rows cross the network packed, many to a bucket, and are unpacked and sorted by the JVM,
+which spills; workers read them in order, so no task holds a group.
 """
 
 from __future__ import annotations
@@ -92,39 +92,28 @@ def merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
 
 
 def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket, its values as little-endian bytes."""
+    """One row for each bucket, with its values as arrays."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     cuts = np.concatenate([[0], cuts, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-    arrays = [pa.array(bucket[cuts[:-1]].astype(np.int32))]
-    for values in columns.values():
-        values = np.ascontiguousarray(values[order])
-        raw = pa.py_buffer(values.tobytes())
-        arrays.append(pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int64).tobytes()), raw]).cast(pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
+    lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values[order])) for values in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *lists], ["bucket", *columns])
 
 
-_STRETCH = {"name": "<i8", "whole": "<i8", "check": "<i4", "doc": "<i8", "first": "<i4", "count": "<i4"}
-_WINDOWS = {"name": "<i8", "check": "<i4", "doc": "<i8", "first": "<i4", "count": "<i4"}
+_STRETCH = {"name": "bigint", "whole": "bigint", "check": "int", "doc": "bigint", "first": "int", "count": "int"}
+_WINDOWS = {"name": "bigint", "check": "int", "doc": "bigint", "first": "int", "count": "int"}
 _SPANS = "doc_id long, kind int, first int, last int"
-_KINDS = {"<i8": "long", "<i4": "int"}
 
 
-def _schema(kinds: dict[str, str]) -> T.StructType:
-    return T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(k, T.BinaryType()) for k in kinds)])
+def _schema(kinds: dict[str, str]) -> str:
+    return ", ".join(["bucket int", *(f"{k} array<{t}>" for k, t in kinds.items())])
 
 
 def _ordered(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """The packed rows dealt out by bucket, unpacked and sorted within each task; every value is one column, in order."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            columns = [np.frombuffer(b"".join(batch.column(k).to_pylist()), t) for k, t in kinds.items()]
-            for first in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 100_000]) for c in columns], list(kinds))
-
-    flat = in_batches(rows.repartition(parallelism(rows.sparkSession), "bucket"), unpack, ", ".join(f"{k} {_KINDS[t]}" for k, t in kinds.items()))
+    dealt = rows.repartition(parallelism(rows.sparkSession), "bucket")
+    flat = dealt.select(F.explode(F.arrays_zip(*kinds)).alias("x")).select("x.*")
     return flat.sortWithinPartitions(*kinds)
 
 

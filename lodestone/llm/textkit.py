@@ -25,7 +25,7 @@ _rng = np.random.default_rng(6180339887)
 _POINTS = [int(x) for x in _rng.integers(1 << 20, _PRIME - 1, 3)]
 _BYTES = _rng.integers(1, _PRIME, (3, 256)).astype(U)
 #: Bytes or characters that array operations work on at once, and rows of a batch that are unpacked at once.
-CHUNK = 500_000
+CHUNK = 250_000
 ROWS = 1_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
