@@ -38,19 +38,19 @@ def maybe_quote(text: str) -> str:
 
 def _integer(value, least: int) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < least:
-        raise InvalidQueryError(f"tinql expects an integer >= {least}")
+        raise InvalidQueryError(f"a whole number from {least} on is needed, not {value!r}")
     return value
 
 
 def _percent(value) -> int:
     if _integer(value, 1) > 100:
-        raise InvalidQueryError("tinql percent cannot exceed 100")
+        raise InvalidQueryError(f"{value} is over 100 percent")
     return value
 
 
 def _word(value) -> str:
     if not isinstance(value, str) or not value or re.search(r'[\s"()\[\]^~]', value):
-        raise InvalidQueryError("tinql expects a single term")
+        raise InvalidQueryError(f"{value!r} isn't one plain word")
     return value
 
 
@@ -59,23 +59,23 @@ def compiled(expression) -> tuple[str, Node]:
         return quoted(expression), S.text_node(expression)
     names = [k for k in expression if k in OPTIONS] if isinstance(expression, dict) else []
     if len(names) != 1:
-        raise InvalidQueryError("tinql requires a literal string or an expression hash with one operator")
+        raise InvalidQueryError(f"{expression!r} is neither a text nor a dictionary with one operator")
     name = names[0]
     options = {k: v for k, v in expression.items() if k != name}
     if unknown := set(options) - set(OPTIONS[name]):
-        raise InvalidQueryError(f"Unknown tinql options: {', '.join(sorted(unknown))}")
+        raise InvalidQueryError(f"{name} doesn't take {', '.join(sorted(unknown))}")
     return _OPERATORS[name](expression[name], options)
 
 
 def _two(name: str, value) -> list:
     if not isinstance(value, (list, tuple)) or len(value) != 2:
-        raise InvalidQueryError(f"tinql {name} requires two expressions")
+        raise InvalidQueryError(f"{name} stands between two expressions")
     return list(value)
 
 
 def _many(value) -> list[tuple[str, Node]]:
     if not isinstance(value, (list, tuple)) or not value:
-        raise InvalidQueryError("tinql requires a list of expressions")
+        raise InvalidQueryError("a list of expressions is needed")
     return [compiled(v) for v in value]
 
 
@@ -90,7 +90,7 @@ def _phrase(value, options):
         words = query_tokens(value)
         return quoted(value) + ending, S.phrase_node([S.word_test(w) for w in words], slop) if words else S.none_node()
     if not isinstance(value, (list, tuple)) or not value:
-        raise InvalidQueryError("tinql phrase requires words")
+        raise InvalidQueryError("a phrase has words")
     texts, slots = [], []
     for part in value:
         if part is None:
@@ -142,7 +142,7 @@ def _group(keyword: str, all_needed: bool):
 def _at_least(value, options):
     items = _many(value)
     if len(options) != 1:
-        raise InvalidQueryError("tinql at_least requires exactly one of count or percent")
+        raise InvalidQueryError("at_least takes a count or a percent")
     if "count" in options:
         needed = _integer(options["count"], 1)
         said = str(needed)
@@ -179,7 +179,7 @@ def _position(name: str):
     def build(value, options):
         text, inner = compiled(value)
         if len(options) != 1:
-            raise InvalidQueryError("tinql position requires exactly one of words or percent")
+            raise InvalidQueryError("a position takes words or percent")
         if "words" in options:
             n = _integer(options["words"], 1)
             return f"({text}) {keyword} {n} WORDS", positioned(name, inner, n, None)
@@ -204,7 +204,7 @@ def _within(value, options):
 def _boost(value, options):
     factor = options.get("factor")
     if isinstance(factor, bool) or not isinstance(factor, (int, float)) or not math.isfinite(factor) or not 0 <= factor <= 10_000:
-        raise InvalidQueryError("tinql boost factor must be a finite number between 0 and 10000")
+        raise InvalidQueryError("factors lie between 0 and 10000")
     text, inner = compiled(value)
     return f"({text})^{factor}", S.boosted(inner, float(factor))
 
@@ -223,19 +223,19 @@ def _range(value, options):
 
 def _all(value, options):
     if value is not True:
-        raise InvalidQueryError("tinql all expects true")
+        raise InvalidQueryError("all takes true")
     return "*", S.all_node()
 
 
 def _literal(value, options):
     if not isinstance(value, str):
-        raise InvalidQueryError("tinql requires a literal string")
+        raise InvalidQueryError("a text is needed")
     return quoted(value), S.text_node(value)
 
 
 def _matches(value, options):
     if not isinstance(value, str) or re.search(r"\s", value):
-        raise InvalidQueryError("tinql matches expects a pattern without white space")
+        raise InvalidQueryError("matches takes a pattern without white space")
     return f"MATCHES {value}", S.token_node(S.regex_test(value))
 
 
