@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestone import catalogue
 from lodestone.functions.jsonpath import json_leaves
 
 
@@ -13,3 +14,9 @@ def test_json_walk_takes_more_rows_than_a_recursive_query(spark):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert sorted(map(tuple, found)) == sorted((i, x) for i in range(40) for x in ("1", "2", '{"b":3}', "null"))
+
+
+def test_stream_index_reads_a_table_of_several_files(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    one, several = (sorted(map(tuple, catalogue.QUERIES["stream_index"](spark, d).collect())) for d in (sf, str(tmp_path)))
+    assert one and one == several
