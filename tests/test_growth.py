@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lodestone import catalogue
 from lodestone.functions.jsonpath import json_leaves
+from lodestone.plans import relation
+from lodestone.sources.model import SearchModel
 
 
 def test_json_walk_takes_more_rows_than_a_recursive_query(spark):
@@ -20,3 +22,30 @@ def test_stream_index_reads_a_table_of_several_files(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     one, several = (sorted(map(tuple, catalogue.QUERIES["stream_index"](spark, d).collect())) for d in (sf, str(tmp_path)))
     assert one and one == several
+
+
+def test_hits_go_past_the_page(spark, monkeypatch):
+    monkeypatch.setattr(relation, "DEFAULT_LIMIT", 3)
+    df = spark.createDataFrame([(i, f"big red apple {i} tart", i % 4) for i in range(9)] + [(9, "pear", 1), (10, None, 1)], "id long, name string, n int")
+    rel = SearchModel(df, pk="id", name="fruit").search("apple", fields=["name"], order={"n": "desc"}, highlight={"fragment_size": 9}, misspellings=False)
+    found = [r.asDict(recursive=True) for r in rel.hit_frame().collect()]
+    paged = rel.limit(100).results().hits
+    assert len(paged) == 9 and found == [{"highlight": {}, **h} for h in paged]
+    assert [(r["_id"], r["highlight"]) for r in rel.highlight(True).hit_frame().collect()] == [(h["_id"], h["highlight"]) for h in rel.highlight(True).limit(100).results().hits]
+    plain = SearchModel(df, pk="id", name="fruit").search("*", select=["name"]).hit_frame().collect()
+    assert len(plain) == 11 and plain[0]["_source"].asDict() == {"name": "big red apple 0 tart"} and plain[0]["highlight"] is None
+
+
+def test_a_keyset_is_walked_at_once_as_by_its_cursors(spark):
+    df = spark.createDataFrame([(i, i * 7 % 5 or None) for i in range(40)], "id long, shelf long").repartition(5)
+    for order in (["shelf"], [{"shelf": "desc"}]):
+        rel = SearchModel(df, pk="id", name="shelves").search("*", order=order, keyset=True, limit=7)
+        page, want = rel.results(), []
+        while True:
+            want += [(len(want) // 7, len(want) + k, r["id"]) for k, r in enumerate(page)]
+            if not page.has_next_page:
+                break
+            page = rel.after(page.next_cursor).results()
+        assert sorted(map(tuple, rel.walk().select("__page", "__place", "id").collect())) == want
+        later = rel.after(rel.results().next_cursor).walk().select("__place", "id").collect()
+        assert sorted(map(tuple, later)) == [(place - 7, i) for _, place, i in want[7:]]
