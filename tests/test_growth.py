@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from lodestone import catalogue
 from lodestone.functions.jsonpath import json_leaves
-from lodestone.plans import relation
+from lodestone.functions.analysis import tokens
+from lodestone.plans import index, relation
 from lodestone.sources.model import SearchModel
 
 
@@ -49,3 +50,29 @@ def test_a_keyset_is_walked_at_once_as_by_its_cursors(spark):
         assert sorted(map(tuple, rel.walk().select("__page", "__place", "id").collect())) == want
         later = rel.after(rel.results().next_cursor).walk().select("__place", "id").collect()
         assert sorted(map(tuple, later)) == [(place - 7, i) for _, place, i in want[7:]]
+
+
+def test_an_index_reads_each_text_once_and_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "CUT_TOKENS", 4)
+    texts = [None, "", "...", "b a b a.c b", "Ément ÉMENT ement", "press #️⃣ now #", "x " * 9, "á ß_ß 3.5 o'neil", "😀 😀!", "́ _́"]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string").repartition(3)
+    held = df.withColumn("body", F.udf(seen, "string").asNondeterministic()("body"))
+    made = index.build_index(SearchModel(held, pk="id", name="texts"), f"{tmp_path}/once")
+    assert read.value == len(texts)
+    model = SearchModel(df.withColumn("other/name", F.reverse("body")), pk="id", name="texts")
+    both = index.build_index(model, f"{tmp_path}/both", ["body", "other/name"])
+    for found, field, text in ((made, "body", "body"), (both, "body", "body"), (both, "other/name", "other/name")):
+        words = model.df.select("id", tokens(F.col(f"`{text}`")).alias("t"))
+        want = words.select("id", F.size("t").alias("dl"), F.posexplode("t")).groupBy("id", "col", "dl").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("places"))
+        got = found.postings.where(F.col("field") == field).select("pk", "term", "dl", "places", "tf")
+        assert sorted(map(tuple, got.collect())) == sorted((r.id, r.col, r.dl, r.places, len(r.places)) for r in want.collect())
+        assert sorted(map(tuple, found.rows.where(F.col("field") == field).select("pk", "dl").collect())) == sorted((r.id, len(r.t)) for r in words.collect())
+        assert index.fsck(found).count() == 0
+    nothing = index.build_index(SearchModel(df.limit(0), pk="id", name="texts"), f"{tmp_path}/nothing")
+    assert nothing.postings.count() == 0 and nothing.counts == {"body": (0, 1.0)}
