@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestone import catalogue
 from lodestone.functions.jsonpath import json_leaves
 from lodestone.functions.analysis import tokens
+from lodestone.operators import tinql
 from lodestone.plans import index, relation
 from lodestone.sources.model import SearchModel
 
@@ -76,3 +77,13 @@ def test_an_index_reads_each_text_once_and_whole(spark, tmp_path, monkeypatch):
         assert index.fsck(found).count() == 0
     nothing = index.build_index(SearchModel(df.limit(0), pk="id", name="texts"), f"{tmp_path}/nothing")
     assert nothing.postings.count() == 0 and nothing.counts == {"body": (0, 1.0)}
+
+
+def test_a_phrase_is_counted_with_its_documents_put_together_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x licensed y under licensed under" if i % 2 else "under licensed") for i in range(6)], "id long, body string")
+    made = index.build_index(SearchModel(df, pk="id", name="texts"), f"{tmp_path}/phrase")
+    node = tinql.compiled("licensed under")[1]
+    counted = made.holding("body", node, index.documents_of(made, "body", node).passed)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_repeat(") == 2  # those of putting one document together
+    assert counted.first().n == 3
