@@ -87,3 +87,18 @@ def test_a_phrase_is_counted_with_its_documents_put_together_once(spark, tmp_pat
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_repeat(") == 2  # those of putting one document together
     assert counted.first().n == 3
+
+
+def test_an_index_is_written_in_segments_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SEGMENT_TOKENS", 5)
+    texts = ["b a", "", "c b a", "d " * 12, None, "a", "a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string").coalesce(1)
+    made = index.build_index(SearchModel(df, pk="id", name="texts"), f"{tmp_path}/segments")
+    held = made.segments.select("term", "pks").collect()
+    assert [(r.term, r.pks) for r in held] == [(None, [0, 1, 2]), ("a", [0, 2]), ("b", [0, 2]), ("c", [2]), (None, [3]), ("d", [3]), (None, [4, 5, 6]), ("a", [5, 6]), ("b", [6])]
+    assert index.segments_of(index.rows_of(SearchModel(df, pk="id", name="texts"), ["body"]))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    assert sorted(map(tuple, made.dictionary.select("term", "df").collect())) == [("a", 4), ("b", 3), ("c", 1), ("d", 1)]
+    few = sorted((r.pk, sorted(r.tokens), r.dl) for r in made.bags("body", ["a", "d"]).collect())
+    monkeypatch.setattr(index, "FEW_TERMS", 0)
+    assert few == sorted((r.pk, sorted(r.tokens), r.dl) for r in made.bags("body", ["a", "d"]).collect()) == [(0, ["a"], 2), (2, ["a"], 3), (3, ["d"] * 12, 12), (5, ["a"], 1), (6, ["a"], 2)]
+    assert made.counts == {"body": (7, 20 / 7)} and index.fsck(made).count() == 0
