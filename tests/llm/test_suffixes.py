@@ -93,3 +93,16 @@ def test_nulls_repeated_and_no_rows(spark):
     assert len(rows) == 4 and [r.n_removed for r in rows if r.doc_id is None] == [0]
     assert len({r.n_removed for r in rows if r.doc_id == 1}) == 1
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_no_shuffle_outlives_its_table(spark):
+    def shuffles():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(held.size()) if (name := held.apply(k).getName()).startswith("shuffle_")}
+
+    text = "".join(chr(97 + i * i % 26) + str(i) for i in range(200))
+    df = spark.createDataFrame([(i, text[i:] + text[:i]) for i in range(20)], "doc_id long, text string").repartition(3)
+    before = shuffles()
+    found = suffixes.repeated_windows(df)
+    assert not shuffles() - before
+    assert found.count() > 0
